@@ -159,3 +159,11 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, quantiles:
 def filler_key(key: Column, *ids: Column) -> Column:
     """Join key that spreads rows without a key instead of hashing them all to one task."""
     return F.coalesce(key, F.concat(F.lit("\u0000none:"), F.concat_ws(":", *[i.cast("string") for i in ids])))
+
+
+def checked_broadcast(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
+    """Broadcast hint behind a size check: at most ``max_rows`` narrow rows, else no hint
+    and Spark shuffles both sides (AQE then splits skewed keys).  The check reads at most
+    ``max_rows + 1`` rows.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
