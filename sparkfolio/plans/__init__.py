@@ -7,6 +7,7 @@ import importlib
 _MODULES = (
     "q_ingest",
     "q_search",
+    "q_scalar",
 )
 
 
