@@ -8,6 +8,8 @@ _MODULES = (
     "q_ingest",
     "q_search",
     "q_scalar",
+    "q_resolve",
+    "q_graph",
 )
 
 

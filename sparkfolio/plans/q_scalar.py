@@ -116,7 +116,7 @@ def year_of_id(spark, sf):
 
 @query("strip_survey_words", """
 SELECT doc_id, regexp_replace(regexp_replace(t, '(?i)^([ ,.&-]|(and|of|on|for|in|the|a|an|with)\\b)+', ''), '(?i)([ ,.&-]+(and|of|on|for|in|the|a|an|with)?)+$', '') AS topic
-FROM (SELECT doc_id, regexp_replace(strip_accents(array_to_string(list_slice(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), 1, 6), ' ')), '[^A-Za-z ]', '', 'g') || ' graphs and' AS t FROM documents)
+FROM (SELECT doc_id, regexp_replace(regexp_replace(strip_accents(array_to_string(list_slice(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), 1, 6), ' ')), '[^A-Za-z ]', '', 'g') || ' graphs and', ' +', ' ', 'g') AS t FROM documents)
 WHERE len(string_split(trim(regexp_replace(regexp_replace(t, '(?i)^([ ,.&-]|(and|of|on|for|in|the|a|an|with)\\b)+', ''), '(?i)([ ,.&-]+(and|of|on|for|in|the|a|an|with)?)+$', '')), ' ')) >= 2""")
 def strip_survey_words(spark, sf):
     words = tx.fold_accents(F.array_join(F.slice(F.split(tx.squeeze(F.col("text")), " "), 1, 6), " "))
@@ -219,7 +219,7 @@ def safe_link(spark, sf):
 
 
 @query("fingerprint", """
-SELECT doc_id, substring(sha256(concat(encode(text), '\\x00'::BLOB, encode(coalesce(lang, '')), '\\x00'::BLOB)), 1, 16) AS fp FROM documents""")
+SELECT doc_id, substring(sha256(encode(text) || '\\x00'::BLOB || encode(coalesce(lang, '')) || '\\x00'::BLOB), 1, 16) AS fp FROM documents""")
 def fingerprint(spark, sf):
     return table(spark, sf, "documents").select("doc_id", ids.fingerprint(F.col("text"), F.col("lang")).alias("fp"))
 

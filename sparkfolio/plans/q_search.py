@@ -100,7 +100,7 @@ SELECT a.paper_id AS query_id, b.paper_id FROM (SELECT paper_id, {norm_sql('titl
 JOIN (SELECT paper_id, {norm_sql('title')} AS n FROM papers) b USING (n) WHERE n <> ''""")
 def phrase_title(spark, sf):
     p = papers(spark, sf)
-    asked = p.filter(F.col("doc_id") % 5 == 0).select(F.col("paper_id").alias("query_id"), F.concat(F.initcap("title"), F.lit(" !")).alias("query"))
+    asked = p.filter(F.col("doc_id") % 5 == 0).select(F.col("paper_id").alias("query_id"), F.concat(F.lit("- "), "title", F.lit(" !")).alias("query"))
     return se.exact_title(p, asked)
 
 
