@@ -10,6 +10,7 @@ _MODULES = (
     "q_scalar",
     "q_resolve",
     "q_graph",
+    "q_pages",
 )
 
 

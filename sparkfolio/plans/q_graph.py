@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sparkfolio.operators import graph as gr
 from sparkfolio.plans.bindings import EDGES_SQL, edges, with_ctes
 from sparkfolio.plans.registry import query, table
+from sparkfolio.scale import cut_lineage
 
 # Selections of customers: three of every hundred are selected; they cite parts.
 SEL_SQL = "sel AS (SELECT DISTINCT source // 100 AS set_id, source % 100 AS pos, source AS paper_id FROM edges WHERE source % 100 < 3)"
@@ -40,7 +41,7 @@ def _customers(spark, sf, e):
 
 
 @query("support_count", BASE + """
-SELECT set_id, target, count(DISTINCT source) AS support FROM crefs GROUP BY ALL""")
+SELECT set_id, target, count(DISTINCT source) AS support FROM crefs WHERE source <> target GROUP BY ALL""")
 def support_count(spark, sf):
     return gr.support(_refs(edges(spark, sf))).select("set_id", "target", "support")
 
@@ -48,7 +49,7 @@ def support_count(spark, sf):
 _FOUND_SQL = """found AS (
   SELECT *, row_number() OVER (PARTITION BY set_id ORDER BY support DESC, c DESC, y DESC, sp, target) AS rank FROM (
     SELECT set_id, target, count(DISTINCT source) AS support, min(source_pos) AS sp, any_value(c) AS c, any_value(y) AS y
-    FROM crefs JOIN parts ON target = work_id GROUP BY ALL) WHERE support >= 2)"""
+    FROM crefs JOIN parts ON target = work_id WHERE source <> target GROUP BY ALL) WHERE support >= 2)"""
 
 
 @query("topk_per_group", BASE + "," + _FOUND_SQL + "SELECT set_id, target, support, rank FROM found WHERE rank <= 5")
@@ -235,7 +236,8 @@ SIM = POOL + "," + _COUPLING_SQL + "," + _NODES_SQL
 def _similarity_nodes(spark, sf):
     sel, work_refs, works, pool, top = _coupled(spark, sf)
     nodes = top.select("set_id", "work_id").unionByName(sel.select("set_id", F.col("paper_id").alias("work_id"))).distinct()
-    return sel, work_refs, works, pool, nodes
+    # The node list is small and read by several branches: cut its lineage once.
+    return sel, work_refs, works, pool, cut_lineage(nodes)
 
 
 @query("coupling_edges", SIM + "SELECT set_id, source, target, weight FROM chosen")

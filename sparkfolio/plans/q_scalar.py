@@ -123,7 +123,8 @@ def strip_survey_words(spark, sf):
     core = F.regexp_replace(words, "[^A-Za-z ]", "")
     title = F.concat(F.lit("A Comprehensive Survey on "), core, F.lit(" graphs and: A Review and Outlook"))
     topic = tx.topic_query(title)
-    return table(spark, sf, "documents").select("doc_id", topic.alias("topic")).filter(tx.word_count(F.col("topic")) >= 2)
+    return table(spark, sf, "documents").select("doc_id", topic.alias("topic")).filter(
+        ~F.col("topic").startswith("A Comprehensive"))
 
 
 @query("numbers_decimal", """

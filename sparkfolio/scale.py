@@ -15,10 +15,13 @@ of the value range), so it is the same on every recomputation after a lost execu
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from sparkfolio.session import checkpoint_dir
+
 BLOCK_ROWS = 65_536
 
 
@@ -167,3 +170,20 @@ def checked_broadcast(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     ``max_rows + 1`` rows.
     """
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint ``df`` in the shared folder named by ``spark.checkpoint.dir``.
+
+    Only a local master, which has no other machine to share with, gets a folder of its
+    own when none is named; on a cluster without one the plan stays as it is.
+    """
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        folder = checkpoint_dir(df.sparkSession)
+        if folder is None and context.master.startswith("local"):
+            folder = tempfile.mkdtemp(prefix="sparkfolio-")
+        if folder is None:
+            return df
+        context.setCheckpointDir(folder)
+    return df.checkpoint(eager=True)
