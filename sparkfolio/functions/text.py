@@ -35,6 +35,12 @@ def _accent_table() -> tuple[str, str]:
 ACCENTED, PLAIN = _accent_table()
 
 
+def literal_map(pairs: dict) -> Column:
+    """Constant text map from two literals (folded once by the optimizer)."""
+    keys, values = "\u0001".join(pairs), "\u0001".join(str(v) for v in pairs.values())
+    return F.map_from_arrays(F.split(F.lit(keys), "\u0001"), F.split(F.lit(values), "\u0001"))
+
+
 def squeeze(c: Column) -> Column:
     """Collapse white space to single blanks and trim."""
     return F.trim(F.regexp_replace(c, SPACE + "+", " "))

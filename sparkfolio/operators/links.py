@@ -49,32 +49,32 @@ PROJECT_CUE = (
 )
 
 
-def normalize_link(c: Column) -> Column:
-    """Struct (url, kind): normal form and ``github``, ``other``, ``project_page`` or ``unknown``; NULL when refused."""
-    raw = F.regexp_replace(strip(F.coalesce(c, F.lit(""))), r"""[.,;:)\]}>"']+$""", "")
-    scheme = F.lower(F.regexp_extract(raw, r"^([A-Za-z]+)://", 1))
-    host = F.regexp_replace(url_host(raw), r"^www\.", "")
-    path = F.regexp_extract(raw, r"^[A-Za-z]+://[^/?#]*([^?#]*)", 1)
-    parts = F.filter(F.split(path, "/"), lambda p: p != "")
-    owner, repo = F.get(parts, 0), F.regexp_replace(F.get(parts, 1), r"\.git$", "")
-    bare = F.regexp_replace(path, "/+$", "")
-    link = lambda url, kind: F.struct(url.alias("url"), F.lit(kind).alias("kind"))
-    clean = owner.rlike(r"^[A-Za-z0-9_.-]+$") & repo.rlike(r"^[A-Za-z0-9_.-]+$")
-    free = ~F.lower(owner).isin(*GITHUB_RESERVED)
-    chrome = F.lower(F.concat_ws("/", owner, repo)).isin(*CHROME_REPOS)
-    denied = host.isin(*DENY_HOSTS) | F.lit(False)
-    for name in DENY_HOSTS:
-        denied = denied | host.endswith("." + name)
-    project = F.lit(False)
-    for suffix in PROJECT_SUFFIXES:
-        project = project | host.endswith(suffix)
-    https = F.concat(F.lit("https://"), host, bare)
-    return F.when(scheme.isin("http", "https") & (host != ""), F.when(
-        host == "github.com",
-        F.when((F.size(parts) >= 2) & free & clean & ~chrome, link(F.concat(F.lit("https://github.com/"), owner, F.lit("/"), repo), "github"))
-        .when((F.size(parts) == 1) & free, link(F.concat(F.lit("https://github.com/"), owner), "other")))
-        .when(project, link(https, "project_page")).when(host.isin(*CODE_HOSTS), link(https, "other"))
-        .when(~denied, link(F.concat(scheme, F.lit("://"), host, bare), "unknown")))
+def with_normal_link(df: DataFrame, href: str = "href") -> DataFrame:
+    """Add ``url`` and ``kind`` (``github``, ``other``, ``project_page``, ``unknown``); refused links drop out.
+
+    The parts of the link are columns of their own, so each is computed once.
+    """
+    any_of = lambda names: "(?:" + "|".join(n.replace(".", r"\.") for n in names) + ")"
+    rows = df.withColumn("_raw", F.regexp_replace(strip(F.coalesce(F.col(href), F.lit(""))), r"""[.,;:)\]}>"']+$""", ""))
+    rows = rows.withColumn("_scheme", F.lower(F.regexp_extract("_raw", r"^([A-Za-z]+)://", 1))).filter(
+        F.col("_scheme").isin("http", "https"))
+    rows = rows.withColumn("_host", F.regexp_replace(url_host(F.col("_raw")), r"^www\.", "")).withColumn(
+        "_path", F.regexp_replace(F.regexp_extract("_raw", r"^[A-Za-z]+://[^/?#]*([^?#]*)", 1), "/+$", "")).filter("_host <> ''")
+    rows = rows.withColumn("_parts", F.filter(F.split("_path", "/"), lambda p: p != ""))
+    rows = rows.withColumn("_owner", F.get("_parts", 0)).withColumn("_repo", F.regexp_replace(F.get("_parts", 1), r"\.git$", ""))
+    free = ~F.lower("_owner").isin(*GITHUB_RESERVED)
+    clean = F.col("_owner").rlike(r"^[A-Za-z0-9_.-]+$") & F.col("_repo").rlike(r"^[A-Za-z0-9_.-]+$")
+    chrome = F.lower(F.concat_ws("/", "_owner", "_repo")).isin(*CHROME_REPOS)
+    github = (F.when((F.size("_parts") >= 2) & free & clean & ~chrome, "github").when((F.size("_parts") == 1) & free, "other"))
+    kind = (F.when(F.col("_host") == "github.com", github)
+            .when(F.col("_host").rlike(any_of(PROJECT_SUFFIXES) + "$"), "project_page").when(F.col("_host").isin(*CODE_HOSTS), "other")
+            .when(~F.col("_host").rlike(r"(?:^|\.)" + any_of(DENY_HOSTS) + "$"), "unknown"))
+    rows = rows.withColumn("kind", kind).filter(F.col("kind").isNotNull())
+    scheme = F.when(F.col("kind") == "unknown", F.col("_scheme")).otherwise("https")
+    path = F.when(F.col("_host") != "github.com", F.col("_path")).when(F.col("kind") == "github", F.concat(
+        F.lit("/"), "_owner", F.lit("/"), "_repo")).otherwise(F.concat(F.lit("/"), "_owner"))
+    return rows.withColumn("url", F.concat(scheme, F.lit("://"), "_host", path)).drop(
+        "_raw", "_scheme", "_host", "_path", "_parts", "_owner", "_repo")
 
 
 def link_context(scoped: DataFrame, links: DataFrame) -> DataFrame:
@@ -119,15 +119,15 @@ def links(scoped: DataFrame, anchors: DataFrame) -> DataFrame:
 
     Unknown hosts stay only when the words around them announce a project page.
     """
-    rows = link_context(scoped, anchors.withColumn("n", normalize_link(F.col("href"))).filter(F.col("n").isNotNull()))
+    rows = link_context(scoped, with_normal_link(anchors))
     around = F.concat("before", F.lit(" "), "after")
     announced = ~F.col("in_bib") & around.rlike(PROJECT_CUE) & (F.col("front") | around.rlike(STRONG_CUE))
-    rows = rows.filter((F.col("n.kind") != "unknown") | announced)
-    kind = F.when(F.col("n.kind") == "unknown", "project_page").otherwise(F.col("n.kind"))
+    rows = rows.filter((F.col("kind") != "unknown") | announced)
+    kind = F.when(F.col("kind") == "unknown", "project_page").otherwise(F.col("kind"))
     joined = F.concat_ws(" ", *[F.nullif(c, F.lit("")) for c in (F.col("before"), F.col("link_text"), F.col("after"))])
     cut = F.substring(joined, 1, MAX_CONTEXT)
     context = F.when(F.length(joined) > MAX_CONTEXT, F.coalesce(F.nullif(F.regexp_replace(cut, r" [^ ]*$", ""), F.lit("")), cut)).otherwise(joined)
-    rows = rows.select("page_id", "open_pos", F.col("n.url").alias("url"), kind.alias("kind"), context.alias("context"), "in_bib",
+    rows = rows.select("page_id", "open_pos", "url", kind.alias("kind"), context.alias("context"), "in_bib",
                        is_primary(F.col("before"), F.col("after"), F.col("in_bib"), F.col("front"), F.col("section")).alias("primary"))
     merged = rows.groupBy("page_id", F.lower("url").alias("key")).agg(
         F.min("open_pos").alias("first_pos"), F.min_by("url", "open_pos").alias("url"), F.min_by("kind", "open_pos").alias("kind"),

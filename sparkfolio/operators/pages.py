@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from sparkfolio.functions import headings as hd, ids
 from sparkfolio.functions.tex import tex_to_text
-from sparkfolio.functions.text import clean_block, clean_inline, squeeze, strip
+from sparkfolio.functions.text import clean_block, clean_inline, literal_map, squeeze, strip
+from sparkfolio.scale import cut_lineage
 
 # Limits of the extraction.
 MAX_TABLES, MAX_ROWS, MAX_COLS, MAX_CELL = 40, 80, 24, 160
@@ -45,7 +46,8 @@ def looks_like_paper(page: Column) -> Column:
 
 def unescape(c: Column) -> Column:
     """Resolve numeric and the classic named character references."""
-    names = F.create_map(*[F.lit(x) for n, code in html.entities.name2codepoint.items() for x in (n, chr(code))])
+    known = html.entities.name2codepoint
+    names = literal_map({name: chr(code) for name, code in known.items()})
     parts = F.regexp_extract_all(c, F.lit(r"&#?[A-Za-z0-9]+;|[^&]+|&"), F.lit(0))
     code = lambda p: F.coalesce(
         F.conv(F.nullif(F.regexp_extract(p, r"^&#[xX]([0-9A-Fa-f]{1,6});$", 1), F.lit("")), 16, 10).try_cast("int"),
@@ -59,7 +61,7 @@ def unescape(c: Column) -> Column:
 
 def _attr(raw: Column, name: str) -> Column:
     value = F.regexp_extract(raw, rf"""(?is)\s{name}\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", 1)
-    return unescape(F.regexp_replace(value, r"""^["']|["']$""", ""))
+    return F.regexp_replace(value, r"""^["']|["']$""", "")
 
 
 def raw_events(pages: DataFrame) -> DataFrame:
@@ -69,16 +71,16 @@ def raw_events(pages: DataFrame) -> DataFrame:
     parts = F.regexp_extract_all(body, F.lit(pattern), F.lit(0))
     ev = pages.select("page_id", F.posexplode(parts).alias("pos", "raw")).repartition("page_id")
     is_tag = F.col("raw").rlike(r"^</?[a-zA-Z]")
-    tag = F.lower(F.regexp_extract("raw", r"^</?([a-zA-Z][a-zA-Z0-9:_-]*)", 1))
-    kind = (F.when(F.col("raw").rlike(r"^<[!?]"), "comment").when(~is_tag, "text").when(F.col("raw").startswith("</"), "close")
-            .when(tag.isin(*VOID) | F.col("raw").rlike(r"/>$"), "void").otherwise("open"))
-    data = unescape(F.col("raw"))
-    core = squeeze(data)
-    blank = F.when(F.length("raw") > 0, " ").otherwise("")
-    text = F.when(core == "", blank).otherwise(F.concat(
-        F.when(data.rlike(r"^\s"), " ").otherwise(""), core, F.when(data.rlike(r"\s$"), " ").otherwise("")))
-    return ev.select("page_id", F.col("pos").cast("long").alias("pos"), kind.alias("kind"), tag.alias("tag"), "raw",
-                     F.when(kind == "text", text).otherwise("").alias("text")).filter("kind <> 'comment'")
+    ev = ev.filter(~F.col("raw").rlike(r"^<[!?]")).select(
+        "page_id", F.col("pos").cast("long").alias("pos"), "raw", is_tag.alias("is_tag"),
+        F.lower(F.regexp_extract("raw", r"^</?([a-zA-Z][a-zA-Z0-9:_-]*)", 1)).alias("tag"),
+        F.when(~is_tag, unescape(F.col("raw"))).alias("data"))
+    kind = (F.when(~F.col("is_tag"), "text").when(F.col("raw").startswith("</"), "close")
+            .when(F.col("tag").isin(*VOID) | F.col("raw").endswith("/>"), "void").otherwise("open"))
+    ev = ev.select("page_id", "pos", kind.alias("kind"), "tag", "raw", "data", squeeze(F.col("data")).alias("core"))
+    edge = lambda pattern: F.when(F.col("data").rlike(pattern), " ").otherwise("")
+    text = F.when(F.col("core") == "", " ").otherwise(F.concat(edge(r"^\s"), F.col("core"), edge(r"\s$")))
+    return ev.select("page_id", "pos", "kind", "tag", "raw", F.coalesce(text, F.lit("")).alias("text"))
 
 
 def _element_kind(tag: Column, cls: Column, raw: Column) -> Column:
@@ -93,7 +95,7 @@ def _element_kind(tag: Column, cls: Column, raw: Column) -> Column:
         .when(is_title & (title_type == "document"), "doctitle")
         .when(is_title & title_type.isin(*IGNORED_HEADINGS), "skip")
         .when(is_title & title_type.isin(*LEVELS), "heading")
-        .when((tag == "math") & (strip(_attr(raw, "alttext")) != ""), "math")
+        .when((tag == "math") & raw.rlike(r"""(?i)\salttext\s*=\s*["']?\s*[^\s"']"""), "math")
         .when((tag == "figcaption") | has("ltx_caption"), "caption")
         .when(has("ltx_tag"), "captag")
         .when(tag.isin("figure", "div", "span", "section") & has("ltx_table", "ltx_figure"), "container")
@@ -130,7 +132,7 @@ def page_events(pages: DataFrame) -> DataFrame:
     page = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     delta = F.when(hidden & (F.col("kind") == "open"), 1).when(hidden & (F.col("kind") == "close"), -1).otherwise(0)
     ev = ev.withColumn("_skip", F.sum(delta).over(page))
-    math_text = F.substring(tex_to_text(_attr(F.col("raw"), "alttext")), 1, MAX_MATH)
+    math_text = F.substring(tex_to_text(unescape(_attr(F.col("raw"), "alttext"))), 1, MAX_MATH)
     math_text = F.when(F.lower(_attr(F.col("raw"), "display")) == "block", F.concat(F.lit(" "), math_text, F.lit(" "))).otherwise(math_text)
     is_math = (F.col("role") == "math") & (F.col("kind") == "open") & (F.col("_skip") == 1)
     ev = ev.filter(((F.col("_skip") == 0) & ~F.coalesce(hidden, F.lit(False))) | is_math)
@@ -181,7 +183,8 @@ def routed_events(pages: DataFrame) -> DataFrame:
     route = (F.when(~is_text, None).when(F.col("d_head") > 0, "heading").when(F.col("d_cap") > 0, "caption")
              .when(F.col("d_bib") > 0, "bibliography").when(F.col("d_tab") > 0, "cell").when(F.col("d_doc") > 0, "doctitle")
              .otherwise("section"))
-    return ev.withColumn("route", route)
+    # Headings, tables, references and links all start here: store the events once.
+    return cut_lineage(ev.withColumn("route", route))
 
 
 def _joined(value: Column, order: Column) -> Column:
@@ -193,13 +196,13 @@ def _joined(value: Column, order: Column) -> Column:
 def headings(ev: DataFrame) -> DataFrame:
     """(page_id, open_pos, pos, level, type, title, top_kind, sub_kind): every heading, in force from ``pos`` on."""
     kinds = F.regexp_extract("opener.raw", r"ltx_title_(" + "|".join(LEVELS) + r")\b", 1)
-    level_map = F.create_map(*[F.lit(x) for kv in LEVELS.items() for x in kv])
+    level_map = literal_map(LEVELS)
     closed = ev.filter((F.col("kind") == "close") & (F.col("role") == "heading")).select(
         "page_id", F.col("opener.pos").alias("open_pos"), "pos", kinds.alias("type"))
     text = ev.filter(F.col("route") == "heading").groupBy("page_id", F.col("head_id").alias("open_pos")).agg(
         clean_inline(_joined(F.col("text"), F.col("pos"))).alias("title"))
     rows = closed.join(text, ["page_id", "open_pos"]).filter(F.col("title") != "").withColumn(
-        "level", F.try_element_at(level_map, F.col("type")))
+        "level", F.try_element_at(level_map, F.col("type")).cast("int"))
     appendix = (F.col("type") == "appendix") | F.col("title").rlike(r"(?i)^appendix\b")
     rows = rows.withColumn("raw_kind", F.when(F.col("level") == 1, F.when(F.col("type") == "bibliography", "references").otherwise(
         hd.heading_class(F.col("title"), appendix))))
@@ -238,7 +241,7 @@ def scoped_events(ev: DataFrame, heads: DataFrame) -> DataFrame:
     target = (F.when(F.col("d_abs") > 0, "abstract")
               .when((F.col("d_bib") > 0) | (F.col("scope.top_kind") == "references"), None)
               .otherwise(F.coalesce(F.col("scope.sub_kind"), F.col("scope.top_kind"))))
-    return ev.withColumn("target", target)
+    return cut_lineage(ev.withColumn("target", target))
 
 
 _GRID = T.ArrayType(T.ArrayType(T.StringType()))
@@ -400,8 +403,8 @@ def sections(pages: DataFrame, hardware: bool = True) -> DataFrame:
         hw = lines.select("page_id", F.lit("setup").alias("section"), F.concat(F.lit(HARDWARE_PREFIX + "\n"), "hw").alias("hw"))
         texts = texts.join(hw, ["page_id", "section"], "full").withColumn(
             "text", strip(F.concat_ws("\n", "hw", F.col("text")))).drop("hw")
-    cap = F.create_map(*[F.lit(x) for kv in SECTION_CAPS.items() for x in kv])
-    return texts.select("page_id", "section", F.substring(F.col("text"), F.lit(1), F.try_element_at(cap, F.col("section"))).alias("text")).filter(
+    cap = literal_map(SECTION_CAPS)
+    return texts.select("page_id", "section", F.substring(F.col("text"), F.lit(1), F.try_element_at(cap, F.col("section")).cast("int")).alias("text")).filter(
         F.col("text") != "")
 
 
@@ -439,15 +442,17 @@ def hardware_snippet(text: Column, pattern: str) -> Column:
 
 def anchors(scoped: DataFrame) -> DataFrame:
     """(page_id, open_pos, close_pos, href, front, in_bib, bib_id, section): absolute http links."""
-    raw = strip(_attr(F.col("raw"), "href"))
-    bare = F.array_contains("cls", "ltx_url") & raw.rlike(r"(?i)^(?:[a-z0-9-]+\.)+[a-z]{2,}(?:[/:?#].*)?$") & ~raw.rlike(
-        r"(?i)\.(?:png|jpe?g|gif|svg|pdf|html?|css|js|txt|bib|tex|eps|zip)$")
     opened = scoped.filter((F.col("kind") == "open") & (F.col("role") == "anchor")).select(
-        "page_id", F.col("pos").alias("open_pos"), F.when(bare, F.concat(F.lit("https://"), raw)).otherwise(raw).alias("href"),
-        "front", (F.col("d_bib") > 0).alias("in_bib"), "bib_id", F.col("target").alias("section"))
+        "page_id", F.col("pos").alias("open_pos"), strip(_attr(F.col("raw"), "href")).alias("h"),
+        F.array_contains("cls", "ltx_url").alias("is_url"), "front", (F.col("d_bib") > 0).alias("in_bib"), "bib_id",
+        F.col("target").alias("section"))
+    bare = F.col("is_url") & F.col("h").rlike(r"(?i)^(?:[a-z0-9-]+\.)+[a-z]{2,}(?:[/:?#].*)?$") & ~F.col("h").rlike(
+        r"(?i)\.(?:png|jpe?g|gif|svg|pdf|html?|css|js|txt|bib|tex|eps|zip)$")
+    opened = opened.withColumn("h", F.when(bare, F.concat(F.lit("https://"), "h")).otherwise(F.col("h"))).filter(
+        F.col("h").rlike(r"(?i)^https?://"))
     ends = scoped.filter((F.col("kind") == "close") & (F.col("role") == "anchor")).select(
         "page_id", F.col("opener.pos").alias("open_pos"), F.col("pos").alias("close_pos"))
-    return opened.filter(F.col("href").rlike(r"(?i)^https?://")).join(ends, ["page_id", "open_pos"], "left")
+    return opened.withColumn("href", unescape(F.col("h"))).drop("h", "is_url").join(ends, ["page_id", "open_pos"], "left")
 
 
 def references(ev: DataFrame, links: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ _MODULES = (
     "q_resolve",
     "q_graph",
     "q_pages",
+    "q_ground",
 )
 
 
