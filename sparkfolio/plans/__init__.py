@@ -12,6 +12,7 @@ _MODULES = (
     "q_graph",
     "q_pages",
     "q_ground",
+    "q_events",
 )
 
 
