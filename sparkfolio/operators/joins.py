@@ -78,8 +78,8 @@ def latency_nodes(base: DataFrame, cand: DataFrame) -> DataFrame:
     """(run_id, node, cand_seconds, base_seconds): every node of either side.  Input: (run_id, node, seconds)."""
     total = lambda df, out: df.groupBy("run_id", "node").agg(F.sum("seconds").alias(out))
     j = total(base, "b").join(total(cand, "c"), ["run_id", "node"], "full")
-    return j.select("run_id", "node", F.round(F.coalesce("c", F.lit(0.0)), 1).alias("cand_seconds"),
-                    F.round(F.coalesce("b", F.lit(0.0)), 1).alias("base_seconds"))
+    return j.select("run_id", "node", F.round(F.round(F.coalesce("c", F.lit(0.0)), 6), 1).alias("cand_seconds"),
+                    F.round(F.round(F.coalesce("b", F.lit(0.0)), 6), 1).alias("base_seconds"))
 
 
 def latency_totals(base: DataFrame, cand: DataFrame, target: float = TARGET_SECONDS) -> DataFrame:

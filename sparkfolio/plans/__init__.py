@@ -13,6 +13,7 @@ _MODULES = (
     "q_pages",
     "q_ground",
     "q_events",
+    "q_context",
 )
 
 

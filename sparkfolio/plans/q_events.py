@@ -351,7 +351,7 @@ def step_duration_pick(spark, sf):
 
 @query("latency_compare", """
 WITH n AS (SELECT user_id AS run_id, 'node_' || CAST(event_id % 4 AS VARCHAR) AS node, event_type, value FROM events WHERE event_type IN ('click', 'view'))
-SELECT run_id, node, round(coalesce(sum(value) FILTER (event_type = 'view'), 0), 1) AS cand_seconds, round(coalesce(sum(value) FILTER (event_type = 'click'), 0), 1) AS base_seconds FROM n GROUP BY ALL""")
+SELECT run_id, node, round(round(coalesce(sum(value) FILTER (event_type = 'view'), 0), 6), 1) AS cand_seconds, round(round(coalesce(sum(value) FILTER (event_type = 'click'), 0), 6), 1) AS base_seconds FROM n GROUP BY ALL""")
 def latency_compare(spark, sf):
     from sparkfolio.operators.joins import latency_nodes
 
