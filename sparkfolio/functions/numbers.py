@@ -87,17 +87,18 @@ def single_number(text: Column) -> Column:
     return F.when(F.regexp_count(t, F.lit(r"\d+(?:[.,]\d+)?")) == 1, parse_number(t))
 
 
-def delta_text(method: Column, baseline: Column) -> Column:
-    """Signed difference with the larger number of decimals, ``""`` unless both are plain numbers."""
-    left, right = single_number(method), single_number(baseline)
+def delta_text(left: Column, right: Column) -> Column:
+    """Signed difference of two ``single_number`` texts with the larger number of decimals.
+
+    Pass columns, not expressions: both are read several times.  ``""`` when one is NULL.
+    """
     places = lambda c: F.length(F.regexp_extract(c, r"\.(\d+)$", 1))
     n = F.greatest(places(left), places(right))
     diff = left.try_cast(WIDE) - right.try_cast(WIDE)
-    sign = F.when(diff < 0, "-").otherwise("+")
-    digits = F.replace(F.format_number(F.abs(diff), 12), F.lit(","), F.lit(""))
+    digits = F.abs(diff).cast("decimal(38,12)").cast("string")
     whole, part = F.substring_index(digits, ".", 1), F.substring_index(digits, ".", -1)
     body = F.when(n > 0, F.concat(whole, F.lit("."), F.rpad(F.substring(part, F.lit(1), n), n, F.lit("0")))).otherwise(whole)
-    return F.coalesce(F.concat(sign, body), F.lit(""))
+    return F.coalesce(F.concat(F.when(diff < 0, "-").otherwise("+"), body), F.lit(""))
 
 
 def nonneg_int(text: Column) -> Column:

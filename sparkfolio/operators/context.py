@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sparkfolio.functions.numbers import delta_text
+from sparkfolio.functions.numbers import delta_text, single_number
 from sparkfolio.functions.text import (
     casefold, clip, display_equations, is_blank, squeeze, strip, word_count,
 )
@@ -161,12 +161,13 @@ def results_rows(rows: DataFrame) -> DataFrame:
     metric, unit = strip(F.col("metric")), strip(F.col("unit"))
     named = (unit != "") & ~casefold(metric).contains(casefold(unit)) & ~casefold(F.col("method_value")).contains(casefold(unit))
     base = strip(F.col("baseline_value"))
+    numbered = rows.withColumn("_left", single_number(F.col("method_value"))).withColumn("_right", single_number(base))
     keep = [c for c in rows.columns if c not in ("benchmark", "metric", "unit", "method_value", "baseline_name", "baseline_value")]
-    return rows.select(
+    return numbered.select(
         *keep, squeeze(F.col("benchmark")).alias("setting"),
         F.when(named, F.concat(metric, F.lit(" ("), unit, F.lit(")"))).otherwise(metric).alias("metric"), strip(F.col("method_value")).alias("method"),
         F.when(base != "", strip(F.concat(base, F.lit(" "), strip(F.col("baseline_name"))))).otherwise("").alias("baseline"),
-        F.when(base != "", delta_text(F.col("method_value"), base)).otherwise("").alias("delta"))
+        F.when(base != "", delta_text(F.col("_left"), F.col("_right"))).otherwise("").alias("delta"))
 
 
 def call_quality(calls: DataFrame, payload: str = "response") -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html.entities
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from sparkfolio.functions import headings as hd, ids
@@ -247,8 +248,8 @@ def scoped_events(ev: DataFrame, heads: DataFrame) -> DataFrame:
 _GRID = T.ArrayType(T.ArrayType(T.StringType()))
 
 
-@F.pandas_udf(_GRID)
-def expand_spans(tables):
+@F.arrow_udf(_GRID)
+def expand_spans(tables: pa.Array) -> pa.Array:
     """Rows of (text, colspan, rowspan) cells to plain rows: spans repeat the cell text."""
     def grid(rows):
         out, carry = [], {}           # carry: column -> [rows left, text]
@@ -276,7 +277,7 @@ def expand_spans(tables):
                     line.append("")
             out.append(line)
         return out
-    return tables.map(grid)
+    return pa.array([grid(rows) for rows in tables.to_pylist()], pa.list_(pa.list_(pa.string())))
 
 
 def _span(raw: Column, name: str, most: int) -> Column:

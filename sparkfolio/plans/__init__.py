@@ -14,6 +14,7 @@ _MODULES = (
     "q_ground",
     "q_events",
     "q_context",
+    "q_records",
 )
 
 

@@ -15,12 +15,11 @@ of the value range), so it is the same on every recomputation after a lost execu
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sparkfolio.session import checkpoint_dir
+from sparkfolio.session import checkpoint_dir, work_dir
 
 BLOCK_ROWS = 65_536
 
@@ -180,10 +179,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = checkpoint_dir(df.sparkSession)
-        if folder is None and context.master.startswith("local"):
-            folder = tempfile.mkdtemp(prefix="sparkfolio-")
-        if folder is None:
+        if checkpoint_dir(df.sparkSession) is None and not context.master.startswith("local"):
             return df
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(checkpoint_dir(df.sparkSession) or work_dir(df.sparkSession))
     return df.checkpoint(eager=True)

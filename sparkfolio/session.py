@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -33,3 +36,14 @@ def get_session(app: str = "sparkfolio", master: str | None = None, **conf: str)
 def checkpoint_dir(spark: SparkSession) -> str | None:
     """Shared folder the cluster names for cutting lineage; None when it names none."""
     return spark.conf.get("spark.checkpoint.dir", None)
+
+
+def work_dir(spark: SparkSession) -> str:
+    """A new folder for written tables: under the cluster's shared folder, or, with a
+    local master and no shared folder, a temporary folder of this machine."""
+    shared = checkpoint_dir(spark)
+    if shared is not None:
+        return f"{shared.rstrip('/')}/work-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="sparkfolio-")
