@@ -98,12 +98,11 @@ def _element_kind(tag: Column, cls: Column, raw: Column) -> Column:
         .when(is_title & title_type.isin(*LEVELS), "heading")
         .when((tag == "math") & raw.rlike(r"""(?i)\salttext\s*=\s*["']?\s*[^\s"']"""), "math")
         .when((tag == "figcaption") | has("ltx_caption"), "caption")
-        .when(has("ltx_tag"), "captag")
+        .when(has("ltx_tag_bibitem", "ltx_role_refnum"), "biblabel").when(has("ltx_tag"), "captag")
         .when(tag.isin("figure", "div", "span", "section") & has("ltx_table", "ltx_figure"), "container")
         .when((tag == "table") & has("ltx_tabular"), "tabular")
         .when(tag == "tr", "row").when(tag.isin("td", "th"), "cell")
         .when(has("ltx_bibitem"), "bibitem").when(has("ltx_bibblock"), "bibblock")
-        .when(has("ltx_tag_bibitem", "ltx_role_refnum"), "biblabel")
         .when(has("ltx_note"), "note").when(tag == "a", "anchor").when(tag == "p", "para").otherwise("plain")
     )
 
