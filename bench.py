@@ -24,8 +24,7 @@ def main() -> None:
     from sparkfolio.session import get_session
 
     spark = get_session("bench", master=f"local[{cpus}]", **{
-        "spark.sql.shuffle.partitions": str(2 * int(cpus)), "spark.driver.memory": "20g", "spark.sql.files.maxPartitionBytes": "4m",
-        "spark.sql.files.openCostInBytes": "1m"})
+        "spark.sql.shuffle.partitions": str(2 * int(cpus)), "spark.driver.memory": "20g"})
     spark.sparkContext.setLogLevel("ERROR")
     queries = all_queries()
     only = os.environ.get("BENCH_ONLY")

@@ -45,7 +45,10 @@ def paper_id(doc_id: Column) -> Column:
 def raw_papers(spark: SparkSession, sf: str) -> DataFrame:
     """Metadata rows as the snapshot has them (text not cleaned, date as timestamp)."""
     docs = table(spark, sf, "documents")
-    w = F.split(squeeze(F.col("text")), " ")
+    # Only the first eight words are read for title and authors, not the whole text.
+    head = F.regexp_extract("text", r"^\s*((?:\S+\s+){0,7}\S*)", 1)
+    docs = docs.withColumn("head", F.split(squeeze(head), " "))
+    w = F.col("head")
     part = lambda i: F.get(w, i)
     return docs.select(
         "doc_id",

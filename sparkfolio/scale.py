@@ -183,3 +183,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             return df
         context.setCheckpointDir(checkpoint_dir(df.sparkSession) or work_dir(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores on an input that is read in fewer tasks than there are cores.
+
+    A small file is one scan task however heavy the text work after it is.  Inputs that
+    already have at least as many tasks as cores, which is every large one, stay as they
+    are.  Hashing by ``key`` keeps the placement the same on recomputation.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
