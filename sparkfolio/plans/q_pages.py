@@ -161,16 +161,33 @@ def extract_summary(spark, sf):
         pg.references(ev, found), link_rows)
 
 
-@query("references", None)
+def _marked_pages(spark, sf, swaps):
+    """Pages whose menu list is given the markup of another block (the pages have none of their own)."""
+    html = F.regexp_replace("html", "</?nav>", "")
+    for old, new in swaps:
+        html = F.replace(html, F.lit(old), F.lit(new))
+    html = F.regexp_replace(html, r'href="/([^"]*)"', 'href="https://example.org/abs/2401.0$1"')
+    return table(spark, sf, "pages").select("page_id", html.alias("html"))
+
+
+_MENU = "regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a href=\"/[^\"]*\">([^<]*)</a>', 1)"
+
+
+@query("references", f"""
+SELECT page_id, i + 1 AS ref_index, trim({UNESC.format(x='t')}) AS text FROM (SELECT page_id, unnest({_MENU}) AS t, unnest(range(len({_MENU}))) AS i FROM pages)""")
 def references(spark, sf):
-    ev, scoped, _ = _links(spark, sf)
-    return pg.references(ev, pg.anchors(scoped)).drop("urls")
+    ev = pg.routed_events(_marked_pages(spark, sf, [("<li>", '<li class="ltx_bibitem"><span class="ltx_bibblock">'), ("</li>", "</span></li>")]))
+    scoped = pg.scoped_events(ev, pg.headings(ev))
+    return pg.references(ev, pg.anchors(scoped)).select("page_id", "ref_index", "text")
 
 
-@query("tables", None)
+@query("tables", f"""
+SELECT page_id, CAST(1 AS BIGINT) AS table_index, array_to_string(list_filter(list_transform({_MENU}, lambda t: trim({UNESC.format(x='t')})), lambda t: t <> ''), ';') AS cells FROM pages
+WHERE len(list_filter({_MENU}, lambda t: trim(t) <> '')) >= 2""")
 def tables(spark, sf):
-    ev, scoped, _ = _links(spark, sf)
-    return pg.tables(ev, scoped).select("page_id", "table_index", "label", "caption")
+    ev = pg.routed_events(_marked_pages(spark, sf, [("<ul>", '<table class="ltx_tabular">'), ("</ul>", "</table>"), ("<li>", "<tr><td>"), ("</li>", "</td></tr>")]))
+    scoped = pg.scoped_events(ev, pg.headings(ev))
+    return pg.tables(ev, scoped).select("page_id", "table_index", F.array_join(F.flatten("rows"), ";").alias("cells"))
 
 
 @query("hardware_sentences", """
