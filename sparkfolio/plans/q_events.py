@@ -329,16 +329,18 @@ def lifecycle_once(spark, sf):
 
 
 @query("delta_segments", """
-WITH a AS (SELECT conv_id, turn, string_agg(text, '') OVER (PARTITION BY conv_id ORDER BY turn) AS answer, length(text) AS n FROM conversations WHERE turn % 5 <> 4)
-SELECT conv_id AS run_id, turn AS pos, md5(right(answer, CAST(n AS BIGINT))) AS delta_md5 FROM a WHERE n > 0""")
+WITH a AS (SELECT conv_id * 1000 + turn AS run_id, text, unnest(range(1, 2 + length(text) // 50)) AS pos FROM conversations)
+SELECT run_id, pos, substring(text, 50 * (pos - 1) + 1, 50) AS delta FROM a WHERE length(text) > 50 * (pos - 1)""")
 def delta_segments(spark, sf):
-    from pyspark.sql import Window
-
-    c = table(spark, sf, "conversations").filter("turn % 5 <> 4")
-    # Conversations of the driver table have at most 8 turns; the running answer is the input here.
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    a = c.select(F.col("conv_id").alias("run_id"), F.col("turn").alias("pos"), F.array_join(F.collect_list("text").over(w), "").alias("answer"))
-    return el.delta_segments(a).select("run_id", "pos", F.md5("delta").alias("delta_md5"))
+    # Each message is one answer that grows by 50 characters; every third state arrives twice.
+    c = table(spark, sf, "conversations")
+    grown = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("run_id"), "text", F.explode(
+        F.sequence(F.lit(1), F.floor(F.length("text") / 50).cast("int") + 1)).alias("step"))
+    states = grown.select("run_id", F.explode(F.when(F.col("step") % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("again"),
+                          "step", F.expr("substring(text, 1, 50 * step)").alias("answer"))
+    rows = states.select("run_id", (F.col("step") * 2 + F.col("again")).cast("long").alias("pos"), "answer")
+    out = el.delta_segments(rows)
+    return out.select("run_id", F.floor(F.col("pos") / 2).alias("pos"), "delta")
 
 
 @query("step_duration_pick", """
