@@ -23,10 +23,10 @@ STATS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repe
 #: Measure, share of the rows that a fence leaves room for even in a group without spread.
 #: Every measure is high in bad text; ``room`` keeps clean rows of an even group.
 RATIOS = {
-    "symbol_ratio": ("n_symbols", "word_chars", 0.08),
-    "dup_line_ratio": ("n_dup_lines", "n_lines", 0.25),
-    "repeat_ratio": ("n_repeat_words", "n_words", 0.2),
-    "word_length": ("word_chars", "n_words", 4.0),
+    "symbol_ratio": ("n_symbols", "word_chars", 0.04),
+    "dup_line_ratio": ("n_dup_lines", "n_lines", 0.5),
+    "repeat_ratio": ("n_repeat_words", "n_words", 0.5),
+    "word_length": ("word_chars", "n_words", 1.5),
 }
 _BLANK = b"\x20\x09\x0a\x0b\x0c\x0d"
 
