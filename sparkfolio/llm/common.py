@@ -85,14 +85,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of each text, in order, and how many each text has.
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words of all texts, and how many each text has.
 
-    A word is a run of bytes outside ``SPACES``; equal words have equal hashes.
+    A word is a run of bytes outside ``SPACES``; none crosses from one text to the next.
     """
     n = len(data)
     if n == 0:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets) - 1, np.int64)
     solid = ~SPACE[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
@@ -102,9 +102,14 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     after[-1], after[:-1] = True, ~solid[1:]
     starts = np.flatnonzero(solid & (before | edge[:-1]))
     ends = np.flatnonzero(solid & (after | edge[1:])) + 1
+    return starts, ends, np.diff(np.searchsorted(starts, offsets))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the spans; equal bytes have equal hashes.  Starts and ends ascend."""
     hashes = np.empty(len(starts), np.uint64)
     first = 0
-    while first < len(starts):  # blocks of whole words bound the 8 bytes a byte
+    while first < len(starts):  # blocks of whole spans bound the 8 bytes a byte
         stop = max(first + 1, int(np.searchsorted(ends, starts[first] + BLOCK, side="right")))
         low, high = starts[first], ends[stop - 1]
         up, down = _powers(int(high - low))
@@ -113,8 +118,13 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
         s, e = starts[first:stop] - low, ends[first:stop] - low
         hashes[first:stop] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
         first = stop
-    edges = np.searchsorted(starts, offsets)
-    return hashes, np.diff(edges)
+    return hashes
+
+
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of each text, in order, and how many each text has."""
+    starts, ends, counts = word_spans(data, offsets)
+    return span_hashes(data, starts, ends), counts
 
 
 def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
