@@ -24,7 +24,7 @@ from sparkfolio.llm.wordstore import WordStore, gather
 
 NO_RANK = np.int32(2**31 - 1)
 #: Bytes of text whose new pieces are replayed together.
-STRETCH = 12 << 20
+STRETCH = 4 << 20
 
 
 class Merges:
@@ -141,7 +141,11 @@ def _store(path: str, pattern: str) -> tuple[WordStore, regex.Pattern]:
     return WordStore(lambda new: merges(path).replay([w.encode() for w in new])), regex.compile(pattern)
 
 
-def _encoder(path: str, pattern: str):
+def _bytes(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
+
+
+def _encoder(path: str, pattern: str, decoded: bool):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, pieces = _store(path, pattern)
         for batch in text_slices(batches, most=STRETCH):
@@ -151,7 +155,10 @@ def _encoder(path: str, pattern: str):
             ids, counts = store.ids(rows)
             ends = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
             keep = [c for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.astype(np.int32)))], names=[*keep, "ids"])
+            columns = {c: batch.column(c) for c in keep} | {"ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))}
+            if decoded:
+                columns["decoded"] = _bytes(*merges(path).decode(ids, counts))
+            yield pa.RecordBatch.from_pydict(columns)
     return encode
 
 
@@ -164,20 +171,22 @@ def _decoder(path: str):
             if column.null_count:
                 counts[column.is_null().to_numpy(zero_copy_only=False)] = 0
             data, ends = model.decode(column.flatten().to_numpy(zero_copy_only=False), counts)
-            out = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, out], names=[*batch.schema.names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, _bytes(data, ends)], names=[*batch.schema.names, "decoded"])
     return decode
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, pattern: str, decoded: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids): token ids of every whole text by the ranks in the file ``path``.
 
     ``pattern`` cuts a text into pieces, each encoded by itself; there are no special tokens.
+    With ``decoded`` the ids are decoded at once, in the same task, into the binary column of
+    that name; ``decode_ids`` does it for stored ids.
     A null or empty text has no ids.  Repeated rows stay, other columns are ignored, an empty
     table gives an empty result.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_encoder(path, pattern), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    kinds = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>" + ", decoded binary" * decoded
+    return rows.mapInArrow(_encoder(path, pattern, decoded), kinds)
 
 
 def decode_ids(encoded: DataFrame, path: str) -> DataFrame:

@@ -64,7 +64,7 @@ class _Words:
         return out
 
     def __call__(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.words) + len(self.marks) > 600_000:
+        if len(self.words) + len(self.marks) > 300_000:
             self.words, self.marks = {}, {"": []}
         split = []
         for x in chunks:

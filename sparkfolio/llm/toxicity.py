@@ -15,13 +15,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkfolio.llm.common import mix, raw, span_hashes, text_slices, word_spans, words
+from sparkfolio.llm.common import mix, per_row, raw, span_hashes, text_slices, word_spans, words
 
 #: Bounds of the training sample: rows with label 1 and with label 0.
-MOST_TOXIC, MOST_CLEAN = 5_000, 10_000
+MOST_TOXIC, MOST_CLEAN = 3_000, 5_000
 #: Words of the model: in so many different sampled texts at least, with shares among the two
 #: labels that differ by so many standard errors, and so many words at most.
-LEAST_TEXTS, LEAST_Z, MOST_WORDS = 4, 4.0, 60_000
+LEAST_TEXTS, LEAST_Z, MOST_WORDS = 4, 5.0, 60_000
 HELD_OUT, FOLDS = 2, 4
 # Identity terms, by list; a term is swapped within its list only.
 IDENTITY = (
@@ -40,14 +40,17 @@ IDENTITY = (
 #: Letters of a word: ASCII letters in lower case, digits and all bytes beyond ASCII; the rest is space.
 _PLAIN = np.array([c if c >= 128 or chr(c).isalnum() else 32 for c in range(256)], np.uint8)
 _PLAIN[65:91] += 32
+_LETTERS = np.arange(97, 123, dtype=np.uint8)
 
 
 #: Beginnings of words, in bytes, that are features beside the whole words: they stand for stems.
 BEGINNINGS = (5, 6, 7, 8)
+#: Features of the way a text is set: half of its ASCII letters are capitals; it has "!!".
+SHOUTED, EXCLAIMED = np.uint64(1), np.uint64(2)
 
 
 def text_words(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    """Sorted distinct hashes of the words of each text and of their beginnings."""
+    """Sorted distinct hashes of the words of each text and of their beginnings, and its style."""
     plain = _PLAIN[data]
     starts, ends, counts = word_spans(plain, offsets)
     owner = np.repeat(np.arange(len(counts)), counts)
@@ -56,6 +59,16 @@ def text_words(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         longer = np.flatnonzero(ends - starts > size)
         hashes.append(mix(span_hashes(plain, starts[longer], starts[longer] + size) + np.uint64(size)))
         owners.append(owner[longer])
+    letters, capitals = np.isin(plain, _LETTERS), (data >= 65) & (data <= 90)
+    shouted = np.flatnonzero((per_row(letters, offsets) > 0) & (2 * per_row(capitals, offsets) >= per_row(letters, offsets)))
+    twice = np.zeros(len(data), bool)
+    if len(data) > 1:
+        twice[:-1] = (data[1:] == 33) & (data[:-1] == 33)
+        twice[offsets[1:-1][(offsets[1:-1] > 0)] - 1] = False
+    exclaimed = np.flatnonzero(per_row(twice, offsets))
+    for style, rows in ((SHOUTED, shouted), (EXCLAIMED, exclaimed)):
+        hashes.append(np.full(len(rows), style))
+        owners.append(rows)
     flat, owner = np.concatenate(hashes), np.concatenate(owners)
     cuts = np.cumsum(np.bincount(owner, minlength=len(counts)))[:-1]
     return [np.unique(x) for x in np.split(flat[np.argsort(owner, kind="stable")], cuts)]
@@ -106,7 +119,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total, -40, 40)))
 
 
-def fit(labels: np.ndarray, rows: list[np.ndarray], ridge: float = 1e-3, fairness: float = 1.0, steps: int = 300, least_texts: int = LEAST_TEXTS,
+def fit(labels: np.ndarray, rows: list[np.ndarray], ridge: float = 1e-4, fairness: float = 1.0, steps: int = 300, least_texts: int = LEAST_TEXTS,
         least_z: float = LEAST_Z, most_words: int = MOST_WORDS, identity: tuple[tuple[str, ...], ...] = IDENTITY) -> Model:
     """Logistic loss + ``ridge`` * |w|^2 / 2 + ``fairness`` * mean squared score change under swaps.
 

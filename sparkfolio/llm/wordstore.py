@@ -7,7 +7,7 @@ from collections.abc import Callable
 import numpy as np
 
 #: Strings and characters after which a store starts anew; both bound a worker's memory.
-MOST_STRINGS, MOST_CHARS = 600_000, 30_000_000
+MOST_STRINGS, MOST_CHARS = 300_000, 15_000_000
 
 
 class WordStore(dict):
