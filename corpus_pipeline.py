@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sparkfolio.llm import exact_dedup, quality
+from sparkfolio.llm import exact_dedup, ngram_join, packing, quality, suffix_dedup
 from sparkfolio.llm.common import written
 
 
@@ -18,8 +20,27 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return exact_dedup.drop_copies(docs)
 
 
-STAGES = [("quality_rules", quality_rules), ("exact_dedup", exact_copies)]
-#: The fences of the first stage come from quantile sketches, which SQL does not share.
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest id of each group linked by Jaccard similarity of 0.8
+    or more on five-word shingles."""
+    return ngram_join.drop_near_copies(docs, width=5, percent=80)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut passages of 200 bytes or more that stand elsewhere too; all documents stay."""
+    cut = suffix_dedup.cut_documents(docs)
+    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of all documents with their sequence and place in it."""
+    pieces = packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.best_fit_pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+
+
+STAGES = [("quality_rules", quality_rules), ("exact_dedup", exact_copies), ("ngram_jaccard", near_copies),
+          ("suffix_dedup", repeated_passages), ("best_fit_packing", packed)]
+#: Quantile sketches, byte spans and packing have no counterpart in SQL; tests use brute force.
 ORACLE_SQL = None
 
 

@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from sparkfolio.session import work_dir
 
@@ -31,6 +32,17 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keep_rows(docs: DataFrame, keep: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` whose (id, hash of the text) is in ``keep`` (doc_id, text_hash)."""
+    keys = keep.select(F.col("doc_id").alias("good_id"), F.col("text_hash").alias("good_hash")).distinct()
+    return docs.join(keys, F.col(id_col).eqNullSafe(F.col("good_id")) & (text_hash(text_col) == F.col("good_hash")), "left_semi")
+
+
+def text_hash(text_col: str = "text") -> Column:
+    """Tells rows with one id apart; a null text has the hash of the empty one."""
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = BLOCK) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into slices of about ``most`` bytes of ``column`` (one row at least)."""
     for batch in batches:

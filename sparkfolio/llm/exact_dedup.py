@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkfolio.llm.common import written
+from sparkfolio.llm.common import keep_rows, text_hash, written
 
 #: Fingerprint bits beyond log2 of the row count: one false suspect in 2^12 documents or so.
 SPARE_BITS = 12
@@ -122,36 +122,45 @@ def suspects(prints: DataFrame, n_rows: int) -> DataFrame:
     return rows.groupBy("sender").cogroup(maps.groupBy("sender")).applyInArrow(_apply, f"{kept}, suspect boolean")
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Group of every document among documents of equal normalised text.
 
     Returns doc_id, keep_id (smallest id of the group; null only where all ids are null),
     group_size, kept and text_sha256.  A null text counts as empty; empty texts are equal to
     one another.  One row is kept per distinct id: rows repeated with the id that stays are
     all ``kept`` here, and ``drop_copies`` leaves one of them.  Other columns are ignored and
-    an empty table gives an empty result.
+    an empty table gives an empty result.  ``carry`` names columns to keep.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("body"))
-    prints = rows.select("doc_id", F.unhex(F.sha2("body", 256)).alias("digest"))
-    prints = prints.mapInArrow(_stamped, f"doc_id {prints.schema['doc_id'].dataType.simpleString()}, digest binary, sender int")
+    more = [f"carry_{c}" for c in carry]
+    rows = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("body"), *(F.col(c).alias(f"carry_{c}") for c in carry))
+    prints = rows.select("doc_id", *more, F.unhex(F.sha2("body", 256)).alias("digest"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prints.schema)
+    prints = prints.mapInArrow(_stamped, f"{kinds}, sender int")
     prints = written(prints.withColumn("hash64", F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long")))
     n_rows = prints.count()
-    flagged = written(suspects(prints, n_rows).select("doc_id", "digest", "suspect"))
+    flagged = written(suspects(prints, n_rows).select("doc_id", *more, "digest", "suspect"))
     ids = flagged.filter("suspect").select(F.col("doc_id").alias("suspect_id")).distinct()
     texts = rows.join(ids, F.col("doc_id").eqNullSafe(F.col("suspect_id")), "left_semi")
     classes = texts.groupBy("body").agg(F.min("doc_id").alias("keep"), F.count("*").alias("copies"))
     classes = classes.select(F.unhex(F.sha2("body", 256)).alias("class_digest"), "keep", "copies")
     found = flagged.join(classes, F.when(F.col("suspect"), F.col("digest")) == F.col("class_digest"), "left")
     keep = F.when(F.col("copies").isNotNull(), F.col("keep")).otherwise(F.col("doc_id"))
-    return (found.select("doc_id", keep.alias("keep_id"), F.coalesce("copies", F.lit(1)).cast("long").alias("group_size"),
+    return (found.select("doc_id", *(F.col(f"carry_{c}").alias(c) for c in carry), keep.alias("keep_id"), F.coalesce("copies", F.lit(1)).cast("long").alias("group_size"),
                          F.lower(F.hex("digest")).alias("text_sha256"))
-            .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id", "keep_id", "group_size", "kept", "text_sha256"))
+            .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id", "keep_id", "group_size", "kept", "text_sha256", *carry))
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group, the one with the smallest id, with the columns of ``docs``."""
-    keep = exact_groups(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("good_id")).distinct()
-    return docs.join(keep, F.col(id_col).eqNullSafe(F.col("good_id")), "left_semi")
+    """One document of each group, the one with the smallest id, with the columns of ``docs``.
+
+    Of rows that repeat that id too, one stays.
+    """
+    groups = exact_groups(docs.withColumn("text_hash", text_hash(text_col)), id_col, text_col, ("text_hash",))
+    kept = written(groups.filter("kept").groupBy("doc_id", "text_sha256").agg(F.min("text_hash").alias("text_hash"), F.count("*").alias("n")))
+    out = keep_rows(docs, kept, id_col, text_col)
+    if kept.filter("n > 1").limit(1).count():
+        out = out.dropDuplicates([id_col, text_col])
+    return out
 
 
 def groups_sql() -> str:

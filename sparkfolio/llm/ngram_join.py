@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkfolio.llm.common import LOWER, mix, raw, shingles, text_slices, words, written
+from sparkfolio.llm.common import LOWER, keep_rows, mix, raw, shingles, text_hash, text_slices, words, written
 from sparkfolio.llm.components import components
 from sparkfolio.llm.wordstore import gather
 
@@ -75,8 +75,9 @@ def _prefixes(width: int, percent: int, level: np.ndarray):
                 rank = level[(got & np.uint64(BUCKETS - 1)).astype(np.int64)]
                 first = np.argsort(rank, kind="stable")[:k]  # equal levels: by hash
                 prefixes.append(got[first].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))],
-                                             names=["doc_id", "n_shingles", "set_name", "prefix"])
+            columns = {c: batch.column(c) for c in batch.schema.names if c != "text"}
+            columns |= {"n_shingles": pa.array(sizes, pa.int64()), "set_name": pa.array(names, pa.binary()), "prefix": pa.array(prefixes, pa.list_(pa.int64()))}
+            yield pa.RecordBatch.from_pydict(columns)
     return run
 
 
@@ -232,8 +233,8 @@ def near_links(docs: DataFrame, width: int = 5, percent: int = 80, chunk: int =
     level = np.zeros(BUCKETS, np.uint8)
     got = counts.toArrow()  # BUCKETS rows at most
     level[got.column("bucket").to_numpy()] = np.round(4 * np.log2(1 + got.column("n").to_numpy())).astype(np.uint8)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = written(docs.mapInArrow(_prefixes(width, percent, level), f"doc_id {kind}, n_shingles long, set_name binary, prefix array<long>"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
+    rows = written(docs.mapInArrow(_prefixes(width, percent, level), f"{kinds}, n_shingles long, set_name binary, prefix array<long>"))
     sets = (rows.filter("set_name is not null").groupBy("set_name").agg(F.min("doc_id").alias("first_id"), F.any_value("prefix").alias("prefix")))
     sets = written(sets.withColumn("rid", F.monotonically_increasing_id()))
     keys = sets.select("rid", F.explode("prefix").alias("key"))
@@ -244,7 +245,7 @@ def near_links(docs: DataFrame, width: int = 5, percent: int = 80, chunk: int =
     placed = blocks.join(chunks, "leader").withColumn("chunk", F.pmod(F.xxhash64("rid"), F.col("chunks")).cast("int"))
     leaders = chunks.select("leader", F.col("leader").alias("rid"), "chunks", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
     placed = placed.filter("rid <> leader").unionByName(leaders)
-    bodies = docs.withColumn("text_size", F.octet_length("text"))
+    bodies = docs.select("doc_id", "text")
 
     def with_texts(places: DataFrame) -> DataFrame:
         """A text of each set; the set's document of smallest id has it."""
@@ -282,7 +283,7 @@ def _named(width: int):
     return run
 
 
-def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, carry: tuple[str, ...] = ()) -> DataFrame:
     """Component of every document under links of Jaccard similarity of at least ``percent`` %.
 
     Words are runs of non-white-space bytes with A-Z lower-cased; a set holds the distinct runs
@@ -290,9 +291,9 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     n_shingles and component_id, the smallest id that links reach.  A null, empty or blank text
     has an empty set and is linked with nothing.  Rows with a null id take part; their
     component has a null id only if no other id is in it.  Repeated rows stay, other columns
-    are ignored, an empty table gives an empty result.
+    are ignored, an empty table gives an empty result.  ``carry`` names columns to keep.
     """
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *(F.col(c).alias(f"carry_{c}") for c in carry))
     rows, sets, links = near_links(texts, width, percent, chunk)
     roots = components(links)
     named = sets.join(roots, F.col("rid") == F.col("node"), "left").select("set_name", "first_id", F.coalesce("root", "rid").alias("root"))
@@ -300,10 +301,12 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     by_name = named.join(smallest, "root").select(F.col("set_name").alias("s_name"), "component_id")
     joined = rows.join(by_name, F.col("set_name") == F.col("s_name"), "left")
-    return joined.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return joined.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+                         *(F.col(f"carry_{c}").alias(c) for c in carry))
 
 
 def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component, the one with the smallest id, with the columns of ``docs``."""
-    keep = near_groups(docs, width, percent, id_col, text_col).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("good_id")).distinct()
-    return docs.join(keep, F.col(id_col).eqNullSafe(F.col("good_id")), "left_semi")
+    """One document of each component, the one with the smallest id, with the columns of ``docs``.
+    Rows that repeat that id in the component all stay."""
+    groups = near_groups(docs.withColumn("text_hash", text_hash(text_col)), width, percent, id_col, text_col, carry=("text_hash",))
+    return keep_rows(docs, groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))), id_col, text_col)

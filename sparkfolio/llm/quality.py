@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkfolio.llm.common import SPACE, mix, per_row, raw, text_slices, words, written
+from sparkfolio.llm.common import SPACE, keep_rows, mix, per_row, raw, text_hash, text_slices, words, written
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -110,7 +110,7 @@ def quality_rules(docs: DataFrame, min_words: int = 50, max_repeat_pct: int = 50
 
 
 def keep_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents that the rules keep, with the columns of ``docs`` (doc_id may repeat)."""
-    verdict = quality_rules(docs, **options)
-    good = verdict.filter("kept").select(F.col("doc_id").alias("good_id")).distinct()
-    return docs.join(good, F.col("doc_id").eqNullSafe(F.col("good_id")), "left_semi")
+    """The documents that the rules keep, with the columns of ``docs``."""
+    marked = docs.withColumn("text_hash", text_hash(options.get("text_col", "text")))
+    verdict = quality_rules(marked, carry=["text_hash"], **options)
+    return keep_rows(docs, verdict.filter("kept"), options.get("id_col", "doc_id"), options.get("text_col", "text"))

@@ -335,8 +335,9 @@ def _windows(length: int):
     return run
 
 
-def _cut(length: int):
-    """Apply the runs of repeated windows to each text."""
+def _cut(length: int, whole_chars: bool = False):
+    """Apply the runs of repeated windows to each text.  With ``whole_chars`` a run is narrowed
+    to whole UTF-8 characters."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = raw(batch.column("text"))
@@ -350,6 +351,13 @@ def _cut(length: int):
                         merged[-1][1] = max(merged[-1][1], b)
                     else:
                         merged.append([a, b])
+                if whole_chars:
+                    inner = (data[low:high] & 0xC0) == 0x80
+                    for run in merged:
+                        while run[0] < run[1] and inner[run[0]]:
+                            run[0] += 1
+                        while run[1] > run[0] and run[1] < len(inner) and inner[run[1]]:
+                            run[1] -= 1
                 keep = np.ones(high - low, bool)
                 for a, b in merged:
                     keep[a:b] = False
@@ -399,11 +407,12 @@ def repeated_runs(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
 
 
 def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text",
-                carry: list[str] | None = None) -> DataFrame:
+                carry: list[str] | None = None, whole_chars: bool = False) -> DataFrame:
     """What stays of every document without the bytes of any repeated passage.
 
     Returns doc_id, n_bytes, n_removed, spans (removed maximal runs: from, to), kept_bytes and
-    the columns named in ``carry``.  Judged on the input: all copies of a passage go, also the
+    the columns named in ``carry``, as ``carry_`` and the name.  With ``whole_chars`` no character is cut in two: a byte of one
+    that is repeated in part stays.  Judged on the input: all copies of a passage go, also the
     first.  A null text is empty; texts shorter than ``length`` never lose a byte; a text that
     repeats itself loses the repeated bytes.  Repeated rows count as occurrences of their own.
     Other columns are ignored and an empty table gives an empty result.
@@ -416,5 +425,14 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: in
     joined = rows.join(runs, (F.col("row_key") == F.col("r_key")) & (F.col("n_bytes") == F.col("r_bytes")), "left")
     kept = ["doc_id", *(f"carry_{c}" for c in carry or ())]
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
-    out = joined.select(*kept, "text", "runs").mapInArrow(_cut(length), f"{kinds}, n_bytes long, n_removed long, spans array<struct<from: long, to: long>>, kept_bytes binary")
-    return out.withColumnsRenamed({f"carry_{c}": c for c in carry or ()})
+    out = joined.select(*kept, "text", "runs").mapInArrow(_cut(length, whole_chars), f"{kinds}, n_bytes long, n_removed long, spans array<struct<from: long, to: long>>, kept_bytes binary")
+    return out
+
+
+def cut_documents(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the repeated passages cut out of the text, in whole characters; same rows and
+    columns.  A null text becomes empty."""
+    others = [c for c in docs.columns if c not in (id_col, text_col)]
+    cut = cut_repeats(docs, length, gram, id_col=id_col, text_col=text_col, carry=others, whole_chars=True)
+    columns = {id_col: F.col("doc_id").alias(id_col), text_col: F.col("kept_bytes").cast("string").alias(text_col)}
+    return cut.select(*(columns.get(c, F.col(f"carry_{c}").alias(c)) for c in docs.columns))
