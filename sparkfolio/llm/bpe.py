@@ -25,6 +25,8 @@ from sparkfolio.llm.wordstore import WordStore, gather
 NO_RANK = np.int32(2**31 - 1)
 #: Bytes of text whose new pieces are replayed together.
 STRETCH = 4 << 20
+#: Pieces whose ids a worker keeps for the texts that follow.
+STORED = 300_000
 
 
 class Merges:
@@ -138,7 +140,7 @@ def merges(path: str) -> Merges:
 
 @cache
 def _store(path: str, pattern: str) -> tuple[WordStore, regex.Pattern]:
-    return WordStore(lambda new: merges(path).replay([w.encode() for w in new])), regex.compile(pattern)
+    return WordStore(lambda new: merges(path).replay([w.encode() for w in new]), STORED), regex.compile(pattern)
 
 
 def _bytes(data: np.ndarray, ends: np.ndarray) -> pa.Array:

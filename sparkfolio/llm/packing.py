@@ -25,6 +25,8 @@ from sparkfolio.llm.wordstore import WordStore
 CAPACITY = (2048, 2048, 2048 * 2048)
 #: Pieces that are packed together.
 BLOCK_ROWS = 20_000
+#: Chunks of text whose ids a worker keeps for the texts that follow.
+STORED = 600_000
 #: Runs of these after a word are a token of their own.
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _END_CHUNK = "\n<end of document>\n"
@@ -64,7 +66,7 @@ class _Words:
         return out
 
     def __call__(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.words) + len(self.marks) > 300_000:
+        if len(self.words) + len(self.marks) > STORED:
             self.words, self.marks = {}, {"": []}
         split = []
         for x in chunks:
@@ -81,7 +83,7 @@ class _Words:
 
 @cache
 def _store(path: str) -> WordStore:
-    return WordStore(_Words(path))
+    return WordStore(_Words(path), STORED)
 
 
 def _pieces(path: str, size: int):

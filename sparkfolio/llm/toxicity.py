@@ -79,6 +79,11 @@ def word_hash(word: str) -> np.uint64:
     return words(_PLAIN[data], np.array([0, len(data)]))[0][0]
 
 
+def _features(word: str) -> np.ndarray:
+    data = np.frombuffer(word.encode(), np.uint8)
+    return text_words(data, np.array([0, len(data)]))[0]
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether a row is never used for learning: CRC-32 of the id as text modulo 4 is 2."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
@@ -136,8 +141,8 @@ def fit(labels: np.ndarray, rows: list[np.ndarray], ridge: float = 1e-4, fairnes
     flat = np.concatenate(rows)
     owner = np.repeat(np.arange(n), counts)
     found, uses = np.unique(flat, return_counts=True)
-    lists = [[word_hash(w) for w in group] for group in identity]
-    terms = np.unique(np.array([h for group in lists for h in group], np.uint64))
+    features = [[_features(w) for w in group] for group in identity]  # a swap changes the word and its beginnings
+    terms = np.unique(np.concatenate([x for group in features for x in group])) if features else np.zeros(0, np.uint64)
     mine = np.bincount(np.searchsorted(found, flat), np.repeat(labels, counts), len(found))
     toxic, mean = labels.sum(), uses / n
     apart = mine / toxic - (uses - mine) / (n - toxic)
@@ -150,12 +155,16 @@ def fit(labels: np.ndarray, rows: list[np.ndarray], ridge: float = 1e-4, fairnes
     column, row = at[known], owner[known]
     size = len(vocabulary)
 
-    # swaps: a text with term a of a list scores w_b - w_a more with term b instead
-    place = {int(h): int(np.searchsorted(vocabulary, h)) for h in terms}
+    # swaps: with term b of a list in the place of term a, a text scores sum(b) - sum(a) more
+    spread = [np.searchsorted(vocabulary, x) for group in features for x in group]
+    part = np.concatenate(spread) if spread else np.zeros(0, int)
+    term = np.repeat(np.arange(len(spread)), [len(x) for x in spread])
     seen = np.bincount(column, minlength=size)
-    swaps = [(place[int(a)], place[int(b)], float(seen[place[int(a)]] + 1)) for group in lists for a in group for b in group if a != b]
-    left, right, often_seen = (np.array(x) for x in zip(*swaps, strict=True)) if swaps else (np.zeros(0, int),) * 3
-    push = often_seen / often_seen.sum() if len(left) else often_seen
+    often_seen = np.array([1.0 + seen[np.searchsorted(vocabulary, word_hash(w))] if word_hash(w) in vocabulary else 1.0 for group in identity for w in group])
+    edges = np.cumsum([0, *(len(group) for group in identity)])
+    pairs = [(i, j) for low, high in zip(edges, edges[1:], strict=False) for i in range(low, high) for j in range(low, high) if i != j]
+    left, right = np.array(pairs, int).reshape(-1, 2).T
+    push = often_seen[left] / often_seen[left].sum() if len(left) else often_seen
 
     weight, bias = np.zeros(size), constant.bias
     first, second = np.zeros(size + 1), np.zeros(size + 1)
@@ -164,8 +173,10 @@ def fit(labels: np.ndarray, rows: list[np.ndarray], ridge: float = 1e-4, fairnes
         miss = (1 / (1 + np.exp(-np.clip(margin, -40, 40))) - labels) / n
         slope = np.append(np.bincount(column, miss[row], size) + ridge * weight, miss.sum())
         if len(left):
-            change = 2 * fairness * push * (weight[right] - weight[left])
-            slope[:size] += np.bincount(right, change, size) - np.bincount(left, change, size)
+            value = np.bincount(term, weight[part], len(spread))
+            change = 2 * fairness * push * (value[right] - value[left])
+            pull = np.bincount(right, change, len(spread)) - np.bincount(left, change, len(spread))
+            slope[:size] += np.bincount(part, pull[term], size)
         first = 0.9 * first + 0.1 * slope
         second = 0.999 * second + 0.001 * slope**2
         move = 0.05 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-9)

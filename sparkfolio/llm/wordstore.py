@@ -6,20 +6,18 @@ from collections.abc import Callable
 
 import numpy as np
 
-#: Strings and characters after which a store starts anew; both bound a worker's memory.
-MOST_STRINGS, MOST_CHARS = 300_000, 15_000_000
-
 
 class WordStore(dict):
     """Maps strings to numbers; ``ids`` turns lists of strings into token ids.
 
     ``encode`` gets the new strings of a call together and returns their ids end to end and
-    how many each has.  The result does not depend on what the store holds.
+    how many each has.  After ``most`` strings, or 50 times as many characters, the store starts
+    anew, which bounds a worker's memory.  The result does not depend on what the store holds.
     """
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int):
         super().__init__()
-        self.encode = encode
+        self.encode, self.most = encode, most
         self._empty()
 
     def _empty(self) -> None:
@@ -54,7 +52,7 @@ class WordStore(dict):
         numbers = np.concatenate(rows) if rows else np.zeros(0, np.int32)
         out, counts = gather(self.flat, self.start[numbers], self.count[numbers])
         ends = np.concatenate(([0], np.cumsum(counts)))[np.cumsum([0, *map(len, rows)])]
-        if len(self) > MOST_STRINGS or self.chars > MOST_CHARS:
+        if len(self) > self.most or self.chars > 50 * self.most:
             self._empty()
         return out, np.diff(ends)
 
