@@ -107,15 +107,15 @@ def training_sample(docs: DataFrame, labels: DataFrame, label_col: str = "toxic"
 
 
 class Model:
-    """Word hashes (sorted), their weights and the bias."""
+    """Word hashes (sorted), their weights, the bias, and the log odds of label 1 in the sample."""
 
-    def __init__(self, vocabulary: np.ndarray, weights: np.ndarray, bias: float):
-        self.vocabulary, self.weights, self.bias = vocabulary, weights, bias
+    def __init__(self, vocabulary: np.ndarray, weights: np.ndarray, bias: float, prior: float):
+        self.vocabulary, self.weights, self.bias, self.prior = vocabulary, weights, bias, prior
 
     def score(self, rows: list[np.ndarray]) -> np.ndarray:
-        """Probability of label 1 for rows of distinct word hashes; no words: the bias alone."""
+        """Probability of label 1 for rows of distinct word hashes; without words, the share of label 1."""
         counts = np.array([len(r) for r in rows])
-        total = np.full(len(rows), self.bias)
+        total = np.where(counts > 0, self.bias, self.prior)
         if len(self.vocabulary) and counts.sum():
             flat = np.concatenate(rows)
             at = np.minimum(np.searchsorted(self.vocabulary, flat), len(self.vocabulary) - 1)
@@ -134,7 +134,8 @@ def fit(labels: np.ndarray, rows: list[np.ndarray], ridge: float = 1e-4, fairnes
     labels, rows = np.asarray(labels, float)[keep], [rows[i] for i in keep]
     n = len(labels)
     share = (labels.sum() + 0.5) / (n + 1)
-    constant = Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(share / (1 - share))))
+    prior = float(np.log(share / (1 - share)))
+    constant = Model(np.zeros(0, np.uint64), np.zeros(0), prior, prior)
     if n == 0 or len(np.unique(labels)) < 2:
         return constant
     counts = np.array([len(r) for r in rows])
@@ -181,7 +182,7 @@ def fit(labels: np.ndarray, rows: list[np.ndarray], ridge: float = 1e-4, fairnes
         second = 0.999 * second + 0.001 * slope**2
         move = 0.05 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-9)
         weight, bias = weight - move[:size], bias - move[size]
-    return Model(vocabulary, weight, float(bias))
+    return Model(vocabulary, weight, float(bias), prior)
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN, **options) -> Model:
@@ -207,7 +208,8 @@ def _score(model: Model):
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Score of every whole text: doc_id, held_out, score (0 to 1) and predicted (score >= threshold).
 
-    Only words of the text enter the score.  A null or empty text scores by the bias alone.
+    Only words of the text enter the score.  A null or empty text scores the sample's share of
+    label 1.
     Labels that are null or neither 0 nor 1 are ignored; without both labels all texts score
     the share of label 1 (one half without labels).  Rows with a null id are never learned
     from.  Repeated rows stay, other columns are ignored, an empty table gives an empty result.
