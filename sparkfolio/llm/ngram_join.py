@@ -4,7 +4,10 @@
 2. Shingles are ordered from rare to frequent by a fixed-size count sketch over all documents
    (any order gives the same result, a good one makes short lists).  Two sets that link share
    one of their first ``n - ceil(t * n) + 1`` shingles; these keys form inverted lists.
-3. All sets of a list meet in the block of the list's smallest set.  A block is cut into chunks
+3. Sets that share only short lists (``SMALL`` sets at most) are paired and the shared keys of a
+   pair counted; a pair that cannot reach the overlap with the rest of its shingles is dropped,
+   the others meet in the block of the smaller set.  All sets of a longer list meet in the block
+   of the list's smallest set.  A block is cut into chunks
    of bounded size; in a chunk an inverted index over whole sets answers each T-occurrence
    query: short lists are heap-merged, long lists probed by binary search, and what reaches the
    required overlap links.  A set that is already connected to a candidate does not ask again,
@@ -34,6 +37,8 @@ from sparkfolio.llm.wordstore import gather
 BUCKETS = 1 << 18
 #: Sets that one chunk indexes.
 CHUNK = 400
+#: Sets of a list whose pairs are counted; longer lists go to blocks as a whole.
+SMALL = 8
 #: Weight of the list length in DivideSkip's choice of long lists.
 MU = 0.0085
 
@@ -221,6 +226,24 @@ def _second_round(width: int, percent: int):
     return run
 
 
+def _close_pairs(hits: DataFrame, percent: int) -> DataFrame:
+    """(leader, rid) of the pairs of short lists that share enough keys.
+
+    All common shingles up to the end of one of the two prefixes are among the shared keys, so
+    the overlap is at most their number plus what follows the longer rest; two sets whose
+    shared keys are all in short lists have every one of them counted here.
+    """
+    lists = hits.groupBy("key").agg(F.collect_list(F.struct("rid", "size")).alias("m"))
+    alike = lambda a, b: (b["rid"] > a["rid"]) & (100 * a["size"] >= percent * b["size"]) & (100 * b["size"] >= percent * a["size"])
+    pairs = F.flatten(F.transform("m", lambda a: F.transform(F.filter("m", lambda b: alike(a, b)), lambda b: F.struct(
+        a["rid"].alias("leader"), b["rid"].alias("rid"), a["size"].alias("n1"), b["size"].alias("n2")))))
+    counted = lists.select(F.explode(pairs).alias("p")).select("p.*").groupBy("leader", "rid", "n1", "n2").agg(F.count("*").alias("have"))
+    need = F.ceil(percent * (F.col("n1") + F.col("n2")) / (100 + percent))
+    rest = F.ceil(percent * F.greatest("n1", "n2") / 100) - 1
+    close = counted.filter(F.col("have") >= need - rest)
+    return close.select("leader", "rid").unionByName(close.select("leader", F.col("leader").alias("rid")))
+
+
 def near_links(docs: DataFrame, width: int = 5, percent: int = 80, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Shingle sets of ``docs`` (doc_id, text) and the links that connect them.
 
@@ -235,11 +258,12 @@ def near_links(docs: DataFrame, width: int = 5, percent: int = 80, chunk: int =
     level[got.column("bucket").to_numpy()] = np.round(4 * np.log2(1 + got.column("n").to_numpy())).astype(np.uint8)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
     rows = written(docs.mapInArrow(_prefixes(width, percent, level), f"{kinds}, n_shingles long, set_name binary, prefix array<long>"))
-    sets = (rows.filter("set_name is not null").groupBy("set_name").agg(F.min("doc_id").alias("first_id"), F.any_value("prefix").alias("prefix")))
+    sets = (rows.filter("set_name is not null").groupBy("set_name").agg(F.min("doc_id").alias("first_id"), F.any_value("prefix").alias("prefix"), F.any_value("n_shingles").alias("size")))
     sets = written(sets.withColumn("rid", F.monotonically_increasing_id()))
-    keys = sets.select("rid", F.explode("prefix").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("rid").alias("leader"), F.count("*").alias("uses")).filter("uses > 1").drop("uses")
-    blocks = written(keys.join(shared, "key").select("leader", "rid").distinct())
+    keys = sets.select("rid", "size", F.explode("prefix").alias("key"))
+    shared = keys.groupBy("key").agg(F.min("rid").alias("leader"), F.count("*").alias("uses")).filter("uses > 1")
+    hits = written(keys.join(shared, "key"))
+    blocks = written(hits.filter(F.col("uses") > SMALL).select("leader", "rid").unionByName(_close_pairs(hits.filter(F.col("uses") <= SMALL), percent)).distinct())
     sizes = blocks.groupBy("leader").agg(F.count("*").alias("size"))
     chunks = sizes.select("leader", F.ceil(F.col("size") / chunk).cast("int").alias("chunks"))
     placed = blocks.join(chunks, "leader").withColumn("chunk", F.pmod(F.xxhash64("rid"), F.col("chunks")).cast("int"))
@@ -270,7 +294,7 @@ def near_links(docs: DataFrame, width: int = 5, percent: int = 80, chunk: int =
         asked = placed.join(apart.select("leader").distinct(), "leader", "left_semi").select("leader", "rid", "chunk", F.lit(False).alias("asks"))
         second = with_texts(asking.unionByName(asked)).repartition("leader", "chunk").sortWithinPartitions("leader", "chunk").mapInArrow(_second_round(width, percent), _FOUND)
         links = links.unionByName(written(second).select("u", "v"))
-    return rows.drop("prefix"), sets.drop("prefix"), links
+    return rows.drop("prefix"), sets.drop("prefix", "size"), links
 
 
 def _named(width: int):
