@@ -6,7 +6,7 @@ time blocks of a run (see ``sparkfolio.scale``); final states are map-side aggre
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sparkfolio.scale import numbered, position_block, running, time_block
 from sparkfolio.sources.papers import first_row_per_key
@@ -42,8 +42,8 @@ def drop_replayed(events: DataFrame, arrival: str = "arrival") -> DataFrame:
 def fold_steps(events: DataFrame) -> DataFrame:
     """(run_id, node, status, first_ts, duration_ms, n_events): state of every step after all events.
 
-    A completion sets its outcome; a later start reopens a step unless it is completed;
-    the end of the run closes steps that still run.
+    A completion sets its outcome; a later start reopens a step unless it is completed; each
+    end of the run, in order, closes the steps that run then.
     """
     done = F.when(F.col("type") == "step.completed", F.col("seq"))
     outcome = F.when(F.col("status").isin("error", "failed"), "error").when(F.col("status") == "skipped", "skipped").otherwise("completed")
@@ -51,13 +51,22 @@ def fold_steps(events: DataFrame) -> DataFrame:
         F.min("seq").alias("first_seq"), F.min_by("ts", "seq").alias("first_ts"), F.max(done).alias("done_seq"),
         F.max_by(outcome, done).alias("outcome"), F.max(F.when(F.col("type") == "step.started", F.col("seq"))).alias("start_seq"),
         F.max_by("duration_ms", F.when(F.col("duration_ms").isNotNull(), F.col("seq"))).alias("duration_ms"), F.count(F.lit(1)).alias("n_events"))
-    ends = events.filter(F.col("type").isin(*TERMINAL_TYPES)).groupBy("run_id").agg(
-        F.max("seq").alias("end_seq"), F.max_by("type", "seq").alias("end_type"))
-    j = steps.join(ends, "run_id", "left")
-    reopened = F.when(F.col("outcome") == "completed", F.lit(None)).when(F.col("start_seq") > F.col("done_seq"), F.col("start_seq"))
-    since = F.when(F.col("done_seq").isNull(), F.greatest(F.col("first_seq"), F.coalesce("start_seq", "first_seq"))).otherwise(reopened)
-    closed = F.when(F.col("end_type") == "run.failed", "error").otherwise("completed")
-    status = F.when(since.isNull(), F.col("outcome")).when(F.col("end_seq") > since, closed).otherwise("running")
+    # Only a step without a completed outcome can still change, and only after its last outcome.
+    open_ = steps.filter(F.coalesce(F.col("outcome") != "completed", F.lit(True))).select(
+        "run_id", "node", F.coalesce("done_seq", F.col("first_seq")).alias("since"), F.col("done_seq").isNull().alias("runs"))
+    ends = events.filter(F.col("type").isin(*TERMINAL_TYPES)).select("run_id", "seq", F.col("type").alias("mark"))
+    starts = events.filter(F.col("type") == "step.started").select("run_id", "node", "seq", F.lit("start").alias("mark"))
+    marks = open_.join(ends, "run_id").unionByName(open_.join(starts, ["run_id", "node"])).filter(F.col("seq") > F.col("since")).unionByName(
+        open_.filter("runs").withColumn("seq", F.col("since")).withColumn("mark", F.lit("start")))
+    # An end closes the step when the mark before it is a start; otherwise it is closed already.
+    before = F.lag("mark").over(Window.partitionBy("run_id", "node").orderBy("seq"))
+    marks = marks.withColumn("closes", (F.col("mark") != "start") & (before == "start"))
+    last = marks.groupBy("run_id", "node").agg(
+        F.max_by("mark", "seq").alias("last_mark"), F.bool_or("closes").alias("closed"),
+        F.bool_or(F.col("closes") & (F.col("mark") == "run.completed")).alias("ended_well"))
+    j = steps.join(last, ["run_id", "node"], "left")
+    status = (F.when(F.col("ended_well"), "completed").when(F.col("last_mark") == "start", "running")
+              .when(F.col("closed"), "error").otherwise(F.col("outcome")))
     return j.select("run_id", "node", status.alias("status"), "first_ts", "duration_ms", "n_events")
 
 
@@ -141,7 +150,7 @@ def split_updates(payloads: DataFrame, nodes: DataFrame) -> DataFrame:
     Wrapper nodes drop out; an unknown payload goes to its log prefix, then its newest timing.
     """
     keys = payloads.select("payload_id", "payload", F.posexplode(F.coalesce(F.json_object_keys("payload"), F.array().cast("array<string>"))).alias("pos", "k"))
-    known = keys.join(F.broadcast(nodes.select(F.col("node").alias("k"))), "k", "left_semi")   # a fixed list of node names
+    known = keys.join(nodes.select(F.col("node").alias("k")), "k", "left_semi")
     as_map = F.from_json("payload", "map<string,string>")
     direct = known.select("payload_id", F.col("k").alias("node"), F.try_element_at(as_map, F.col("k")).alias("update")).filter(
         F.col("update").startswith("{"))
@@ -152,8 +161,8 @@ def split_updates(payloads: DataFrame, nodes: DataFrame) -> DataFrame:
     timing = F.json_object_keys(F.get_json_object("payload", "$.node_timings"))
     names = nodes.select("node")
     guess = rest.select("payload_id", "payload", F.try_element_at(prefix, F.lit(-1)).alias("g1"), F.posexplode_outer(F.reverse(timing)).alias("tp", "t"))
-    n1 = guess.join(F.broadcast(names.select(F.col("node").alias("g1"), F.lit(True).alias("ok1"))), "g1", "left")
-    n2 = n1.join(F.broadcast(names.select(F.col("node").alias("t"), F.lit(True).alias("ok2"))), "t", "left")
+    n1 = guess.join(names.select(F.col("node").alias("g1"), F.lit(True).alias("ok1")), "g1", "left")
+    n2 = n1.join(names.select(F.col("node").alias("t"), F.lit(True).alias("ok2")), "t", "left")
     picked = n2.groupBy("payload_id").agg(F.max(F.when(F.col("ok1"), F.col("g1"))).alias("g1"),
                                           F.min_by("t", F.when(F.col("ok2"), F.col("tp"))).alias("t"), F.first("payload").alias("payload"))
     report = F.when(F.json_object_keys("payload").isNotNull() & F.array_contains(F.json_object_keys("payload"), "final_report"), "final_report")

@@ -5,8 +5,8 @@ both fields and the paper's token count.  Counting runs before the shuffle, and
 when only some terms are asked for a semi-join on the term is pushed below the
 count, so an ad-hoc search shuffles only the rows of its own terms.
 
-A frequent term is no single group anywhere: postings join the query-term side
-(broadcast behind a size check, else AQE splits the skewed term), and scores are
+A frequent term is no single group anywhere: postings join the query-term side, which
+Spark broadcasts when it is small and else splits at the skewed term, and scores are
 summed per (query, paper).
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from sparkfolio.functions.stem import with_stem
 from sparkfolio.functions.text import fold_accents, index_tokens, normalize_title
-from sparkfolio.scale import checked_broadcast
+from sparkfolio.operators.filters import modern_ids
 
 # Field weights, ranking constants, limits and the query stop list.
 TITLE_WEIGHT, ABSTRACT_WEIGHT = 10.0, 1.0
@@ -34,20 +34,20 @@ KEYWORD_STOPWORDS = ("the", "and", "for", "with", "from", "into", "using", "base
 INDEX_BUCKETS = 256
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
-    """(query_id, pos, term): distinct content words of each query, the first 24."""
+def query_terms(queries: DataFrame, max_terms: int | None = MAX_QUERY_TERMS) -> DataFrame:
+    """(query_id, pos, term): distinct content words of each query, the first ``max_terms`` or all (None)."""
     raw = F.regexp_extract_all(F.lower(F.coalesce("query", F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
     kept = F.filter(F.array_distinct(raw), lambda t: ~t.isin(*QUERY_STOPWORDS))
-    return queries.select("query_id", F.posexplode(F.slice(kept, 1, MAX_QUERY_TERMS)).alias("pos", "term")).withColumn(
+    return queries.select("query_id", F.posexplode(kept if max_terms is None else F.slice(kept, 1, max_terms)).alias("pos", "term")).withColumn(
         "pos", F.col("pos").cast("long"))
 
 
-def index_query_terms(queries: DataFrame, stem: bool = False) -> DataFrame:
+def index_query_terms(queries: DataFrame, stem: bool = False, max_terms: int | None = MAX_QUERY_TERMS) -> DataFrame:
     """(query_id, term, weight, n_terms) in index form; words that fold together add up."""
-    terms = query_terms(queries).withColumn("term", fold_accents(F.col("term")))
+    terms = query_terms(queries, max_terms).withColumn("term", fold_accents(F.col("term")))
     if stem:
         terms = with_stem(terms).drop("term").withColumnRenamed("stem", "term")
-    # A query has at most 24 terms, so this window holds at most 24 rows.
+    # The window holds the distinct terms of one query.
     per_query = Window.partitionBy("query_id")
     return terms.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("weight")).withColumn(
         "n_terms", F.count(F.lit(1)).over(per_query))
@@ -91,9 +91,9 @@ def term_stats(index: DataFrame) -> DataFrame:
 
 def bm25_hits(terms: DataFrame, index: DataFrame, corpus: DataFrame) -> DataFrame:
     """(query_id, paper_id, n_terms, matched, score): every paper with any query term."""
-    asked = index.join(checked_broadcast(terms.select("term").distinct()), "term", "left_semi")
+    asked = index.join(terms.select("term").distinct(), "term", "left_semi")
     idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(MIN_IDF))
-    weighted = checked_broadcast(terms).join(term_stats(asked), "term").withColumn(
+    weighted = terms.join(term_stats(asked), "term").withColumn(
         "n_docs", corpus.select("n_docs").scalar()).withColumn("idf", idf * F.col("weight")).select(
         "query_id", "term", "n_terms", "idf")
     freq = F.col("tf_title") * TITLE_WEIGHT + F.col("tf_abstract") * ABSTRACT_WEIGHT
@@ -122,9 +122,12 @@ def bm25_topk(hits: DataFrame, k: int, allowed: DataFrame | None = None) -> Data
 
 
 def search(queries: DataFrame, index: DataFrame, corpus: DataFrame, k: int = 5, allowed: DataFrame | None = None,
-           stem: bool = False) -> DataFrame:
-    """Papers with all terms first, papers with any term fill the list up to ``k``."""
-    hits = bm25_hits(index_query_terms(queries, stem), index, corpus)
+           stem: bool = False, max_terms: int | None = MAX_QUERY_TERMS, legacy_ids: bool = False) -> DataFrame:
+    """Papers with all terms first, papers with any term fill the list up to ``k``.  Papers with
+    an id of the old kind are left out unless ``legacy_ids``."""
+    hits = bm25_hits(index_query_terms(queries, stem, max_terms), index, corpus)
+    if not legacy_ids:
+        hits = hits.filter(modern_ids(F.col("paper_id")))
     if allowed is not None:
         hits = hits.join(allowed.select("paper_id"), "paper_id", "left_semi")
     hits = hits.withColumn("tier", F.when(F.col("matched") == F.col("n_terms"), 0).otherwise(1).cast("long"))
@@ -149,7 +152,7 @@ def write_index(papers: DataFrame, path: str, stem: bool = True) -> None:
 
 def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int = 5, stem: bool = True, **options) -> DataFrame:
     """Search a stored index; only the buckets of the asked terms are read."""
-    buckets = index_query_terms(queries, stem).select(
+    buckets = index_query_terms(queries, stem, options.get("max_terms", MAX_QUERY_TERMS)).select(
         F.pmod(F.xxhash64("term"), F.lit(INDEX_BUCKETS)).cast("int").alias("bucket")).distinct()
     index = spark.read.parquet(f"{path}/postings").join(buckets, "bucket", "left_semi").drop("bucket")
     return search(queries, index, corpus_stats(spark.read.parquet(f"{path}/stats")), k, stem=stem, **options)
@@ -207,8 +210,8 @@ def keyword_title_search(queries: DataFrame, papers: DataFrame, k: int) -> DataF
 
 # Ranking systems are plain functions (queries, papers, k) -> (query_id, rank, paper_id, ...).
 SYSTEMS: dict[str, Callable[[DataFrame, DataFrame, int], DataFrame]] = {
-    "local_fts": lambda queries, papers, k: search_papers(queries, papers, k, stem=True),
-    "local_plain": lambda queries, papers, k: search_papers(queries, papers, k, stem=False),
+    "local_fts": lambda queries, papers, k, **options: search_papers(queries, papers, k, stem=True, **options),
+    "local_plain": lambda queries, papers, k, **options: search_papers(queries, papers, k, stem=False, **options),
     "keyword": keyword_title_search,
 }
 

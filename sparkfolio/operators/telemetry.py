@@ -220,7 +220,7 @@ def sanitize_facts(facts: DataFrame, allowed: DataFrame) -> DataFrame:
 
     ``facts``: (event_id, node, fact, value text); ``allowed``: (node, fact, kind).
     """
-    j = facts.join(F.broadcast(allowed), ["node", "fact"])   # the allow-list is a fixed table of a few dozen rows
+    j = facts.join(allowed, ["node", "fact"])
     number = F.col("value").try_cast("bigint")
     clean = F.when(F.col("kind") == "count", F.when(number >= 0, number.cast("string"))).otherwise(safe_text(F.col("value"), 80))
     return j.withColumn("value", clean).filter("value IS NOT NULL").drop("kind")

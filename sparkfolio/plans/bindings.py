@@ -75,15 +75,12 @@ def papers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def search_queries(spark: SparkSession, sf: str) -> DataFrame:
-    """(query_id, query): first 12 words of each benchmark passage."""
-    return table(spark, sf, "benchmark").select(
-        F.col("item_id").alias("query_id"),
-        F.array_join(F.slice(F.split(squeeze(F.col("text")), " "), 1, 12), " ").alias("query"),
-    )
+    """(query_id, query): the benchmark passages."""
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), squeeze(F.col("text")).alias("query"))
 
 
 QUERIES_SQL = f"""queries AS (
-  SELECT item_id AS query_id, array_to_string(list_slice(string_split({sq('text')}, ' '), 1, 12), ' ') AS query FROM benchmark)"""
+  SELECT item_id AS query_id, {sq('text')} AS query FROM benchmark)"""
 
 
 def gold(spark: SparkSession, sf: str) -> DataFrame:
@@ -91,7 +88,7 @@ def gold(spark: SparkSession, sf: str) -> DataFrame:
 
     Each passage (they have 14 words and more) gives its words 2-5 as a key, since only
     edge words may be cut out of a longer document word; passages and documents meet
-    on that key and the containment is verified on the few candidates.
+    on that key, carrying ids only; the texts of the few candidates are fetched to verify them.
     """
     passages = table(spark, sf, "benchmark").select(
         F.col("item_id").alias("query_id"), squeeze(F.col("text")).alias("passage"))
@@ -100,8 +97,10 @@ def gold(spark: SparkSession, sf: str) -> DataFrame:
     keyed = passages.withColumn("gram", F.array_join(F.slice(pw, 2, 4), " "))
     docs = table(spark, sf, "documents").select(
         paper_id(F.col("doc_id")).alias("paper_id"), squeeze(F.col("text")).alias("text"))
-    near = docs.select("*", F.explode(F.array_distinct(grams)).alias("gram")).join(keyed, "gram")
-    return near.filter(F.col("text").contains(F.col("passage"))).select("query_id", "paper_id").distinct()
+    near = docs.select("paper_id", F.explode(F.array_distinct(grams)).alias("gram")).join(
+        keyed.select("query_id", "gram"), "gram").select("paper_id", "query_id").distinct()
+    found = docs.join(near, "paper_id").join(passages, "query_id")
+    return found.filter(F.col("text").contains(F.col("passage"))).select("query_id", "paper_id").distinct()
 
 
 GOLD_SQL = f"""gold AS (

@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 from sparkfolio.operators import graph as gr
 from sparkfolio.plans.bindings import EDGES_SQL, edges, with_ctes
 from sparkfolio.plans.registry import query, table
-from sparkfolio.scale import cut_lineage
 
-# Selections of customers: three of every hundred are selected; they cite parts.
-SEL_SQL = "sel AS (SELECT DISTINCT source // 100 AS set_id, source % 100 AS pos, source AS paper_id FROM edges WHERE source % 100 < 3)"
+# Selections of three customers each, every one a member of one; they cite parts.
+SEL_SQL = "sel AS (SELECT DISTINCT source // 3 AS set_id, source % 3 AS pos, source AS paper_id FROM edges)"
 REF_SQL = "crefs AS (SELECT s.set_id, s.pos AS source_pos, e.source, e.target AS ref_index, e.target FROM edges e JOIN sel s ON e.source = s.paper_id)"
 PART_SQL = "parts AS (SELECT target AS work_id, count(*) AS c, 2000 + any_value(p_size) AS y FROM edges JOIN part ON p_partkey = target GROUP BY 1)"
 CUST_SQL = "cust AS (SELECT source AS work_id, count(*) AS c, 1990 + any_value(c_nationkey) AS y FROM edges JOIN customer ON c_custkey = source GROUP BY 1)"
@@ -18,14 +17,14 @@ BASE = with_ctes(EDGES_SQL, SEL_SQL, REF_SQL, PART_SQL, CUST_SQL)
 
 
 def _selected(e):
-    return e.filter(F.col("source") % 100 < 3).select(
-        F.floor(F.col("source") / 100).alias("set_id"), (F.col("source") % 100).alias("pos"),
+    return e.select(
+        F.floor(F.col("source") / 3).alias("set_id"), (F.col("source") % 3).alias("pos"),
         F.col("source").alias("paper_id")).distinct()
 
 
 def _refs(e):
-    return e.filter(F.col("source") % 100 < 3).select(
-        F.floor(F.col("source") / 100).alias("set_id"), (F.col("source") % 100).alias("source_pos"), "source",
+    return e.select(
+        F.floor(F.col("source") / 3).alias("set_id"), (F.col("source") % 3).alias("source_pos"), "source",
         F.col("target").alias("ref_index"), "target")
 
 
@@ -49,7 +48,8 @@ def support_count(spark, sf):
 _FOUND_SQL = """found AS (
   SELECT *, row_number() OVER (PARTITION BY set_id ORDER BY support DESC, c DESC, y DESC, sp, target) AS rank FROM (
     SELECT set_id, target, count(DISTINCT source) AS support, min(source_pos) AS sp, any_value(c) AS c, any_value(y) AS y
-    FROM crefs JOIN parts ON target = work_id WHERE source <> target GROUP BY ALL) WHERE support >= 2)"""
+    FROM crefs JOIN parts ON target = work_id WHERE source <> target GROUP BY ALL)
+  WHERE support >= 2 AND (set_id, target) NOT IN (SELECT (set_id, paper_id) FROM sel))"""
 
 
 @query("topk_per_group", BASE + "," + _FOUND_SQL + "SELECT set_id, target, support, rank FROM found WHERE rank <= 5")
@@ -68,8 +68,8 @@ def top_citers(spark, sf):
     return gr.top_citers(e, _customers(spark, sf, e), 7)
 
 
-# Selections of parts: three of every hundred; customers cite them, they cite suppliers.
-PSEL_SQL = "psel AS (SELECT DISTINCT target // 100 AS set_id, target % 100 AS pos, target AS paper_id FROM edges WHERE target % 100 < 3)"
+# Selections of three parts each; customers cite them, they cite suppliers.
+PSEL_SQL = "psel AS (SELECT DISTINCT target // 3 AS set_id, target % 3 AS pos, target AS paper_id FROM edges)"
 _FOLLOW_SQL = """
 fc AS (SELECT s.set_id, t.source AS target, count(DISTINCT t.target) AS support, min(s.pos * 1000 + t.list_pos) AS fs, any_value(c) AS c, any_value(y) AS y
        FROM tc t JOIN psel s ON t.target = s.paper_id JOIN cust ON cust.work_id = t.source WHERE t.list_pos <= 50 GROUP BY ALL),
@@ -79,8 +79,8 @@ follow AS (SELECT set_id, target, support, c, y, row_number() OVER (PARTITION BY
 
 
 def _part_selection(e):
-    return e.filter(F.col("target") % 100 < 3).select(
-        F.floor(F.col("target") / 100).alias("set_id"), (F.col("target") % 100).alias("pos"), F.col("target").alias("paper_id")).distinct()
+    return e.select(
+        F.floor(F.col("target") / 3).alias("set_id"), (F.col("target") % 3).alias("pos"), F.col("target").alias("paper_id")).distinct()
 
 
 @query("followup_fill", BASE + "," + PSEL_SQL + "," + _TOP_CITERS + "," + _FOLLOW_SQL + "SELECT set_id, target, support, rank FROM follow WHERE rank <= 5")
@@ -114,8 +114,8 @@ def _three_level(spark, sf):
     name = lambda prefix, c: F.concat(F.lit(prefix), F.lpad(F.col(c).cast("string"), 18, "0"))
     sel = _part_selection(e).withColumn("paper_id", name("p", "paper_id"))
     li = table(spark, sf, "lineitem").select("l_partkey", "l_suppkey").distinct()
-    refs = li.filter(F.col("l_partkey") % 100 < 3).select(
-        F.floor(F.col("l_partkey") / 100).alias("set_id"), (F.col("l_partkey") % 100).alias("source_pos"),
+    refs = li.select(
+        F.floor(F.col("l_partkey") / 3).alias("set_id"), (F.col("l_partkey") % 3).alias("source_pos"),
         name("p", "l_partkey").alias("source"), F.col("l_suppkey").alias("ref_index"), name("s", "l_suppkey").alias("target"))
     cites = e.select(name("c", "source").alias("source"), name("p", "target").alias("target"))
     sup = li.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("cited_by_count")).join(
@@ -192,11 +192,11 @@ def _similarity_tables(spark, sf):
         (F.col("source") + _OFF).alias("source"), (F.col("source") - 1 + _OFF).alias("target"))
     work_refs = e.select((F.col("source") + _OFF).alias("source"), "target")
     works = _customers(spark, sf, e).withColumn("work_id", F.col("work_id") + _OFF)
-    pool = gr.citer_pool(seeds, sel, work_refs.unionByName(previous), works, n=60)
+    pool = gr.citer_pool(seeds, sel, work_refs.unionByName(previous), works)
     return sel, seeds, work_refs, works, pool
 
 
-@query("pool_topn", POOL + "SELECT set_id, work_id, freq, direct FROM pool WHERE rank <= 60")
+@query("pool_topn", POOL + "SELECT set_id, work_id, freq, direct FROM pool WHERE rank <= 300")
 def pool_topn(spark, sf):
     *_, pool = _similarity_tables(spark, sf)
     return pool.withColumn("work_id", F.col("work_id") - _OFF)
@@ -204,27 +204,27 @@ def pool_topn(spark, sf):
 
 _COUPLING_SQL = """
 nseed AS (SELECT set_id, count(*) AS n FROM seeds GROUP BY 1),
-sh AS (SELECT p.set_id, p.work_id, count(*) AS shared FROM (SELECT * FROM pool WHERE rank <= 60) p JOIN edges e ON e.source = p.work_id JOIN seeds s ON s.set_id = p.set_id AND s.seed = e.target GROUP BY ALL),
+sh AS (SELECT p.set_id, p.work_id, count(*) AS shared FROM (SELECT * FROM pool WHERE rank <= 300) p JOIN edges e ON e.source = p.work_id JOIN seeds s ON s.set_id = p.set_id AND s.seed = e.target GROUP BY ALL),
 coup AS (SELECT p.set_id, p.work_id, coalesce(shared, 0) AS shared, coalesce(shared, 0) / sqrt(cust.c * n) AS cos, direct, cust.c,
    round(coalesce(shared, 0) / sqrt(cust.c * n) + CASE WHEN direct THEN 0.10 ELSE 0 END + CASE WHEN p.work_id % 4 = 0 THEN 0.08 ELSE 0 END, 9) AS score
-   FROM (SELECT * FROM pool WHERE rank <= 60) p JOIN cust USING (work_id) JOIN nseed USING (set_id) LEFT JOIN sh ON sh.set_id = p.set_id AND sh.work_id = p.work_id WHERE coalesce(shared, 0) >= 1 OR direct),
+   FROM (SELECT * FROM pool WHERE rank <= 300) p JOIN cust USING (work_id) JOIN nseed USING (set_id) LEFT JOIN sh ON sh.set_id = p.set_id AND sh.work_id = p.work_id WHERE coalesce(shared, 0) >= 1 OR direct),
 cr AS (SELECT *, row_number() OVER (PARTITION BY set_id ORDER BY score DESC, c DESC, work_id) AS rk FROM coup)"""
 
 
-def _coupled(spark, sf, n=20):
+def _coupled(spark, sf):
     sel, seeds, work_refs, works, pool = _similarity_tables(spark, sf)
     pool = pool.withColumn("in_index", F.col("work_id") % 4 == 0)
-    return sel, work_refs, works, pool, gr.coupling(pool, seeds, work_refs, works, n)
+    return sel, work_refs, works, pool, gr.coupling(pool, seeds, work_refs, works)
 
 
-@query("coupling_score", POOL + "," + _COUPLING_SQL + "SELECT set_id, work_id, shared, round(cos, 4) AS similarity, round(score, 4) AS score, rk AS rank FROM cr WHERE rk <= 20")
+@query("coupling_score", POOL + "," + _COUPLING_SQL + "SELECT set_id, work_id, shared, round(cos, 4) AS similarity, round(score, 4) AS score, rk AS rank FROM cr WHERE rk <= 40")
 def coupling_score(spark, sf):
     *_, top = _coupled(spark, sf)
     return top.withColumn("work_id", F.col("work_id") - _OFF)
 
 
 _NODES_SQL = """
-nodes AS (SELECT set_id, work_id FROM cr WHERE rk <= 20 UNION SELECT set_id, paper_id FROM sel),
+nodes AS (SELECT set_id, work_id FROM cr WHERE rk <= 40 UNION SELECT set_id, paper_id FROM sel),
 pairs AS (SELECT a.set_id, a.work_id AS a, b.work_id AS b, count(*) / sqrt(any_value(ca.c) * any_value(cb.c)) AS w FROM nodes a JOIN edges ea ON ea.source = a.work_id
   JOIN edges eb ON eb.target = ea.target JOIN nodes b ON b.set_id = a.set_id AND b.work_id = eb.source AND a.work_id < b.work_id JOIN cust ca ON ca.work_id = a.work_id JOIN cust cb ON cb.work_id = b.work_id GROUP BY ALL),
 sym AS (SELECT set_id, a AS node, b AS other, round(w, 9) AS w FROM pairs WHERE round(w, 9) >= 0.05 UNION ALL SELECT set_id, b, a, round(w, 9) FROM pairs WHERE round(w, 9) >= 0.05),
@@ -236,8 +236,7 @@ SIM = POOL + "," + _COUPLING_SQL + "," + _NODES_SQL
 def _similarity_nodes(spark, sf):
     sel, work_refs, works, pool, top = _coupled(spark, sf)
     nodes = top.select("set_id", "work_id").unionByName(sel.select("set_id", F.col("paper_id").alias("work_id"))).distinct()
-    # The node list is small and read by several branches: cut its lineage once.
-    return sel, work_refs, works, pool, cut_lineage(nodes)
+    return sel, work_refs, works, pool, nodes
 
 
 @query("coupling_edges", SIM + "SELECT set_id, source, target, weight FROM chosen")

@@ -13,8 +13,8 @@ from sparkfolio.plans.registry import query, table
 _STOP = ", ".join(f"'{w}'" for w in se.QUERY_STOPWORDS)
 QTERMS_SQL = f"""qterms AS (
   SELECT query_id, unnest(terms) AS term, unnest(range(len(terms))) AS pos FROM (
-    SELECT query_id, list_slice(list_filter(list_transform(list_sort(list_transform(list_distinct(ts), lambda t: lpad(CAST(list_position(ts, t) AS VARCHAR), 6, '0') || t)), lambda x: substring(x, 7)),
-           lambda t: t NOT IN ({_STOP})), 1, 24) AS terms
+    SELECT query_id, list_filter(list_transform(list_sort(list_transform(list_distinct(ts), lambda t: lpad(CAST(list_position(ts, t) AS VARCHAR), 6, '0') || t)), lambda x: substring(x, 7)),
+           lambda t: t NOT IN ({_STOP})) AS terms
     FROM (SELECT query_id, regexp_extract_all(lower(query), '([\\p{{L}}\\p{{N}}]+)', 1) AS ts FROM queries)))"""
 QIDX_SQL = """qidx AS (
   SELECT query_id, term, weight, count(*) OVER (PARTITION BY query_id) AS n_terms
@@ -36,7 +36,7 @@ hits AS (
   FROM qidx q JOIN post p USING (term) JOIN dfs USING (term) CROSS JOIN corpus GROUP BY ALL)"""
 RANKED_SQL = """ranked AS (
   SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN matched = n_terms THEN 0 ELSE 1 END, round(s, 9) DESC, paper_id) AS rank,
-         paper_id, round(s, 4) AS score, CAST(CASE WHEN matched = n_terms THEN 0 ELSE 1 END AS BIGINT) AS tier FROM hits)"""
+         paper_id, round(s, 4) AS score, CAST(CASE WHEN matched = n_terms THEN 0 ELSE 1 END AS BIGINT) AS tier FROM hits WHERE regexp_matches(paper_id, '^[0-9]{4}\\.'))"""
 SEARCH = with_ctes(PAPERS_SQL, QUERIES_SQL, QTERMS_SQL, QIDX_SQL, POST_SQL, HITS_SQL)
 FULL = with_ctes(PAPERS_SQL, QUERIES_SQL, QTERMS_SQL, QIDX_SQL, POST_SQL, HITS_SQL, RANKED_SQL, GOLD_SQL)
 
@@ -49,7 +49,7 @@ def tokenize_index(spark, sf):
 
 @query("query_terms", with_ctes(QUERIES_SQL, QTERMS_SQL) + "SELECT query_id, CAST(pos AS BIGINT) AS pos, term FROM qterms")
 def query_terms(spark, sf):
-    return se.query_terms(search_queries(spark, sf))
+    return se.query_terms(search_queries(spark, sf), None)
 
 
 @query("index_stats", with_ctes(PAPERS_SQL, POST_SQL) + """
@@ -68,7 +68,7 @@ def index_stats(spark, sf):
 @query("bm25_score", SEARCH + "SELECT query_id, paper_id, matched, round(s, 4) AS score FROM hits")
 def bm25_score(spark, sf):
     p = papers(spark, sf)
-    hits = se.bm25_hits(se.index_query_terms(search_queries(spark, sf)), se.postings(p), se.corpus_stats(se.doc_stats(p)))
+    hits = se.bm25_hits(se.index_query_terms(search_queries(spark, sf), max_terms=None), se.postings(p), se.corpus_stats(se.doc_stats(p)))
     return hits.select("query_id", "paper_id", "matched", "score")
 
 
@@ -81,18 +81,18 @@ def bm25_topk(spark, sf):
 
     p = papers(spark, sf)
     allowed = p.filter(date_before(F.col("date"), "2024-10-31") & modern_ids(F.col("paper_id")))
-    hits = se.bm25_hits(se.index_query_terms(search_queries(spark, sf)), se.postings(p), se.corpus_stats(se.doc_stats(p)))
+    hits = se.bm25_hits(se.index_query_terms(search_queries(spark, sf), max_terms=None), se.postings(p), se.corpus_stats(se.doc_stats(p)))
     return se.bm25_topk(hits, 10, allowed)
 
 
 @query("search_and_or", FULL + "SELECT query_id, rank, paper_id, score, tier FROM ranked WHERE rank <= 5")
 def search_and_or(spark, sf):
-    return se.search_papers(search_queries(spark, sf), papers(spark, sf), 5, stem=False)
+    return se.search_papers(search_queries(spark, sf), papers(spark, sf), 5, stem=False, max_terms=None)
 
 
 @query("search_stemmed", None)
 def search_stemmed(spark, sf):
-    return se.search_papers(search_queries(spark, sf), papers(spark, sf), 5, stem=True)
+    return se.search_papers(search_queries(spark, sf), papers(spark, sf), 5, stem=True, max_terms=None)
 
 
 @query("phrase_title", with_ctes(PAPERS_SQL) + f"""
@@ -111,7 +111,7 @@ SELECT query_id, paper_id, row_number() OVER (PARTITION BY query_id ORDER BY sid
   SELECT query_id, paper_id, 0 AS side, rank FROM prim UNION ALL
   SELECT query_id, paper_id, 1, rank FROM sec WHERE (query_id, paper_id) NOT IN (SELECT (query_id, paper_id) FROM prim))""")
 def merge_hits(spark, sf):
-    r = se.search_papers(search_queries(spark, sf), papers(spark, sf), 8, stem=False)
+    r = se.search_papers(search_queries(spark, sf), papers(spark, sf), 8, stem=False, max_terms=None)
     return se.merge_ranked(r.filter("rank <= 3"), r.filter("rank >= 2"))
 
 
@@ -120,7 +120,7 @@ SELECT query_id, paper_id, rank FROM ranked WHERE rank <= 5 AND NOT (query_id =
 def self_exclude(spark, sf):
     q = search_queries(spark, sf)
     own = table(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), paper_id(F.col("doc_id")).alias("paper_id"))
-    r = se.search_papers(q, papers(spark, sf), 5, stem=False).select("query_id", "paper_id", "rank")
+    r = se.search_papers(q, papers(spark, sf), 5, stem=False, max_terms=None).select("query_id", "paper_id", "rank")
     return rc.drop_self(r, own)
 
 
@@ -130,7 +130,7 @@ uniq AS (SELECT query_id, paper_id, row_number() OVER (PARTITION BY query_id ORD
 
 
 def _duplicated(spark, sf):
-    r = se.search_papers(search_queries(spark, sf), papers(spark, sf), 6, stem=False).select("query_id", "paper_id", "rank")
+    r = se.search_papers(search_queries(spark, sf), papers(spark, sf), 6, stem=False, max_terms=None).select("query_id", "paper_id", "rank")
     return r.unionByName(r.withColumn("rank", F.col("rank") + 3))
 
 
@@ -177,7 +177,7 @@ SELECT count(*) AS queries, max(n_results) AS longest, round(avg(recall_1), 4) A
   round(quantile_cont((query_id * 37) % 101 / 100, 0.9) FILTER (query_id % 9 <> 0), 4) AS latency_p90 FROM m""")
 def recall_summary(spark, sf):
     q = search_queries(spark, sf)
-    r = se.search_papers(q, papers(spark, sf), 10, stem=False)
+    r = se.search_papers(q, papers(spark, sf), 10, stem=False, max_terms=None)
     out = rc.recall_summary(rc.query_metrics(r, gold(spark, sf), q, [1, 10]), _timing(spark, sf))
     return out.select(*[F.round(c, 4).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
@@ -207,7 +207,7 @@ def recall_bench(spark, sf):
     q, p = search_queries(spark, sf), papers(spark, sf)
     parts, times = [], []
     for name in ("local_plain", "keyword"):
-        parts.append(se.SYSTEMS[name](q, p, 10).select(F.lit(name).alias("system"), "query_id", "rank", "paper_id"))
+        parts.append(se.SYSTEMS[name](q, p, 10, **({"max_terms": None} if name != "keyword" else {})).select(F.lit(name).alias("system"), "query_id", "rank", "paper_id"))
         times.append(_timing(spark, sf).withColumn("system", F.lit(name)))
     own = q.select("query_id", F.lit("none").alias("paper_id"))
     out = rc.recall_bench(parts[0].unionByName(parts[1]), gold(spark, sf), q, own, times[0].unionByName(times[1]), [1, 10])

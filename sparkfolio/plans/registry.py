@@ -2,33 +2,21 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkfolio.scale import spread
-
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def _quiet(fn: Query) -> Query:
-    """Build the plan without call-site capture, which costs about 1 ms per expression."""
-    @functools.wraps(fn)
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        spark.conf.set("spark.sql.dataFrameQueryContext.enabled", "false")
-        return fn(spark, sf_dir)
-    return run
-
-
 def query(key: str, sql: str | None = None) -> Callable[[Query], Query]:
     """Register ``fn`` under ``key``; without ``sql`` it is covered by tests only."""
     def add(fn: Query) -> Query:
         if key in QUERIES:
             raise ValueError(f"duplicate query key {key}")
-        QUERIES[key] = _quiet(fn)
+        QUERIES[key] = fn
         if sql is not None:
             ORACLES[key] = sql
         return fn
@@ -36,6 +24,5 @@ def query(key: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table; tables with long texts use all cores even when the file is small."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df, df.columns[0]) if name in ("documents", "pages", "conversations", "lineitem") else df
+    """A driver table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")

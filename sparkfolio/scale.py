@@ -163,14 +163,6 @@ def filler_key(key: Column, *ids: Column) -> Column:
     return F.coalesce(key, F.concat(F.lit("\u0000none:"), F.concat_ws(":", *[i.cast("string") for i in ids])))
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Broadcast hint behind a size check: at most ``max_rows`` narrow rows, else no hint
-    and Spark shuffles both sides (AQE then splits skewed keys).  The check reads at most
-    ``max_rows + 1`` rows.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint ``df`` in the shared folder named by ``spark.checkpoint.dir``.
 
@@ -183,14 +175,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             return df
         context.setCheckpointDir(checkpoint_dir(df.sparkSession) or work_dir(df.sparkSession))
     return df.checkpoint(eager=True)
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores on an input that is read in fewer tasks than there are cores.
-
-    A small file is one scan task however heavy the text work after it is.  Inputs that
-    already have at least as many tasks as cores, which is every large one, stay as they
-    are.  Hashing by ``key`` keeps the placement the same on recomputation.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
@@ -66,6 +67,9 @@ def build_stats(scanned: DataFrame, kept: DataFrame) -> DataFrame:
         "scanned", kept.agg(F.count(F.lit(1))).scalar().alias("papers"))
 
 
+POINTER = "published long, version string, location string"
+
+
 def write_snapshot(df: DataFrame, path: str, version: str) -> str:
     """Write ``path/data/version=...`` aside, then publish it by a pointer row.
 
@@ -75,13 +79,11 @@ def write_snapshot(df: DataFrame, path: str, version: str) -> str:
     target = f"{path.rstrip('/')}/data/{version}"
     df.write.mode("overwrite").parquet(target)
     spark = df.sparkSession
-    spark.createDataFrame([(version, target)], "version string, location string").coalesce(1).write.mode(
-        "append").json(f"{path.rstrip('/')}/pointer")
+    spark.createDataFrame([(time.time_ns(), version, target)], POINTER).coalesce(1).write.mode("append").json(f"{path.rstrip('/')}/pointer")
     return target
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """Data of the newest published pointer."""
-    pointers = spark.read.schema("version string, location string").json(f"{path.rstrip('/')}/pointer")
-    newest = pointers.orderBy(F.col("version").desc()).limit(1).first()
-    return spark.read.parquet(newest["location"])
+    """Data of the pointer that was published last, whatever its version is called."""
+    pointers = spark.read.schema(POINTER).json(f"{path.rstrip('/')}/pointer")
+    return spark.read.parquet(pointers.agg(F.max_by("location", "published")).first()[0])

@@ -48,17 +48,33 @@ def fold_steps_stream(events: DataFrame) -> DataFrame:
 
 
 def _count_up(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Numbers of one run's events of one trigger, which Arrow may hand over in several chunks."""
     seq = state.get[0] if state.exists else 0
-    for chunk in chunks:
-        chunk = chunk.sort_values(["ts", "event_id"])
-        numbers = range(seq + 1, seq + 1 + len(chunk))
-        seq += len(chunk)
-        yield pd.DataFrame({"run_id": key[0], "event_id": chunk["event_id"].to_numpy(), "seq": list(numbers)})
-    state.update((seq,))
+    rows = pd.concat(list(chunks)).sort_values(["ts", "event_id"])
+    state.update((seq + len(rows),))
+    yield pd.DataFrame({"run_id": key[0], "event_id": rows["event_id"].to_numpy(), "seq": range(seq + 1, seq + 1 + len(rows))})
+
+
+def _only_newer(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    last = state.get[0] if state.exists else None
+    rows = pd.concat(list(chunks)).sort_values(["ts", "event_id"])
+    highest = rows["seq"].cummax().shift().fillna(-(2**62)).clip(lower=-(2**62) if last is None else last)
+    if len(rows):
+        state.update((int(max(rows["seq"].max(), -(2**62) if last is None else last)),))
+    yield rows[(rows["seq"] > highest) | (rows["seq"] <= 0)][["run_id", "event_id", "seq"]]
+
+
+def drop_replayed_stream(events: DataFrame) -> DataFrame:
+    """(run_id, event_id, seq) of the events whose seq is above every seq of the run that came
+    before, like the batch ``drop_replayed``: repeated and late numbers go however late they are.
+    Inside one trigger events count in time order; a trigger's events of one run are held in memory."""
+    return events.select("run_id", "event_id", "ts", "seq").groupBy("run_id").applyInPandasWithState(
+        _only_newer, "run_id long, event_id long, seq long", "last_seq long", "append", GroupStateTimeout.NoTimeout)
 
 
 def number_events(events: DataFrame) -> DataFrame:
-    """Consecutive ``seq`` per run in arrival order (inside one trigger by time)."""
+    """Consecutive ``seq`` per run in arrival order (inside one trigger by time).  A trigger's
+    events of one run are held in memory."""
     return events.select("run_id", "event_id", "ts").groupBy("run_id").applyInPandasWithState(
         _count_up, "run_id long, event_id long, seq long", "seq long", "append", GroupStateTimeout.NoTimeout)
 

@@ -365,3 +365,46 @@ def test_throttle(spark, tmp_path):
     ds = spark.readStream.schema("run_id long, at_s double, text string").parquet(path)
     got = [r["delta"] for r in drain(st.throttle_deltas(ds), spark, "throttled", "append").orderBy("at_s").collect()]
     assert got == ["Hi", " there you.", "x" * 300, "yz"]
+
+
+# --- order of versions, late numbers, several ends ---------------------------------
+
+def test_snapshot_versions_go_by_publishing(spark, tmp_path):
+    for v in (*range(1, 12), 2):
+        src.write_snapshot(spark.range(v), str(tmp_path / "snap"), f"v{v}")
+    assert src.read_snapshot(spark, str(tmp_path / "snap")).count() == 2
+
+
+def test_several_ends_of_a_run(spark):
+    log = [(1, "a", "step.started"), (2, None, "run.failed"), (3, None, "run.completed"),
+           (4, "b", "step.started"), (5, None, "run.failed"), (6, "b", "step.started"), (7, None, "run.completed"), (8, "b", "step.started"),
+           (9, "c", "step.started"), (10, None, "run.failed"), (11, "c", "step.started")]
+    rows = [(1, n, t, s, None, None, s) for s, n, t in log]
+    ev = spark.createDataFrame(rows, "run_id long, node string, type string, seq long, status string, duration_ms long, ts long")
+    assert {r["node"]: r["status"] for r in el.fold_steps(ev).collect()} == {"a": "error", "b": "completed", "c": "running"}
+
+
+def test_stream_numbers_and_late_seq(spark, tmp_path):
+    import datetime as dt
+    base = dt.datetime(2024, 1, 1)
+    schema = st.EVENT_SCHEMA
+    names = [c.split(" ")[0] for c in schema.split(", ")]
+
+    def put(k, items):  # (event, second, seq)
+        rows = [tuple({"run_id": 1, "event_id": e, "ts": base + dt.timedelta(seconds=s), "type": "t", "seq": q}.get(n) for n in names) for e, s, q in items]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "ev"))
+
+    put(0, [(k, 100 - k, 100 - k) for k in range(100)])
+    put(1, [(500, 1000, 7), (501, 1001, 200), (502, 1002, 0)])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        for name, make in (("numbered", st.number_events), ("newer", st.drop_replayed_stream)):
+            q = make(st.read_events(spark, str(tmp_path / "ev"))).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).option(
+                "checkpointLocation", str(tmp_path / f"cp_{name}")).start()
+            q.awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = {r["event_id"]: r["seq"] for r in spark.table("numbered").collect()}
+    assert [got[k] for k in range(99, -1, -1)] == list(range(1, 101)) and len(got) == 103
+    kept = {r["event_id"] for r in spark.table("newer").collect()}
+    assert kept == set(range(100)) | {501, 502}
