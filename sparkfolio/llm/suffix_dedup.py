@@ -381,7 +381,8 @@ def repeated_runs(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
         raise ValueError("8 <= gram < length <= 1000")
     cells = rows.select("row_key", "text").mapInArrow(_anchored(length, gram), _CELL)  # cheaper to find twice than to write
     again = cells.groupBy("gh").agg(F.count("*").alias("uses"), F.min("cell").alias("c0"), F.max("cell").alias("c1")).filter("uses > 1")
-    found = written(cells.join(again.select("gh", (F.col("c0") != F.col("c1")).alias("mixed")), "gh"))
+    again = written(again.select("gh", (F.col("c0") != F.col("c1")).alias("mixed")))  # a table of its own: Spark can split the join at a hot anchor
+    found = written(cells.join(again, "gh"))
     whole = found.filter(~F.col("mixed")).select("row_key", "n_bytes", F.col("first").alias("from"), F.col("last").alias("to"))
     mixed = found.filter("mixed")
     # one occurrence of each different cell; it stands for its copies
