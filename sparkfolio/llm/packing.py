@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +25,10 @@ CAPACITY = (2048, 2048, 2048 * 2048)
 #: Pieces that are packed together.
 BLOCK_ROWS = 20_000
 #: Chunks of text whose ids a worker keeps for the texts that follow.
-STORED = 600_000
+STORED = 1_000_000
 #: Runs of these after a word are a token of their own.
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-_END_CHUNK = "\n<end of document>\n"
+_END_CHUNK, _END = "\n<end of document>\n", bytes(4)
 
 
 class _Words:
@@ -48,26 +47,27 @@ class _Words:
         vocabulary = self.tool.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[k for w, k in vocabulary.items() if w.endswith("</w>")]] = True
-        self.marks: dict[str, list[int]] = {"": []}
-        self.words: dict[str, list[int]] = {}
+        self.marks: dict[str, bytes] = {"": b""}  # ids as bytes: small, and quick to put together
+        self.words: dict[str, bytes] = {}
 
-    def _plain(self, chunks: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tool.encode_batch(chunks, add_special_tokens=False)]
+    def _plain(self, chunks: list[str]) -> list[bytes]:
+        return [np.array(x.ids, np.int32).tobytes() for x in self.tool.encode_batch(chunks, add_special_tokens=False)]
 
-    def _single(self, words: list[str]) -> list[list[int]]:
+    def _single(self, words: list[str]) -> list[bytes]:
         """Ids of words of letters: each ends with its one word-end token."""
         out = []
         for k in range(0, len(words), 4096):
-            ids = self.tool.encode(" ".join(words[k : k + 4096]), add_special_tokens=False).ids
-            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            out += [ids[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+            ids = np.array(self.tool.encode(" ".join(words[k : k + 4096]), add_special_tokens=False).ids, np.int32)
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            whole = ids.tobytes()
+            out += [whole[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
         if len(out) != len(words):
             raise AssertionError("a word of letters must end with one word-end token")
         return out
 
     def __call__(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.words) + len(self.marks) > STORED:
-            self.words, self.marks = {}, {"": []}
+            self.words, self.marks = {}, {"": b""}
         split = []
         for x in chunks:
             word = x.rstrip(PUNCTUATION)
@@ -76,9 +76,8 @@ class _Words:
             new = [w for w in wanted if w not in known]
             known.update(zip(new, tool(new), strict=True))
         rest = iter(self._plain([x for w, x in split if w is None and x != _END_CHUNK]))
-        rows = [self.words[w] + self.marks[x] if w is not None else [0] if x == _END_CHUNK else next(rest) for w, x in split]
-        counts = np.fromiter(map(len, rows), np.int64, len(rows))
-        return np.fromiter(chain.from_iterable(rows), np.int32, int(counts.sum())), counts
+        rows = [self.words[w] + self.marks[x] if w is not None else _END if x == _END_CHUNK else next(rest) for w, x in split]
+        return np.frombuffer(b"".join(rows), np.int32), np.fromiter(map(len, rows), np.int64, len(rows)) // 4
 
 
 @cache
