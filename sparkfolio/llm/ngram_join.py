@@ -227,7 +227,7 @@ def _second_round(width: int, percent: int):
 
 
 def _close_pairs(hits: DataFrame, percent: int) -> DataFrame:
-    """(leader, rid) of the pairs of short lists that share enough keys.
+    """(key, leader, rid) of the pairs of short lists that share enough keys, each as a list of two.
 
     All common shingles up to the end of one of the two prefixes are among the shared keys, so
     the overlap is at most their number plus what follows the longer rest; two sets whose
@@ -240,8 +240,21 @@ def _close_pairs(hits: DataFrame, percent: int) -> DataFrame:
     counted = lists.select(F.explode(pairs).alias("p")).select("p.*").groupBy("leader", "rid", "n1", "n2").agg(F.count("*").alias("have"))
     need = F.ceil(percent * (F.col("n1") + F.col("n2")) / (100 + percent))
     rest = F.ceil(percent * F.greatest("n1", "n2") / 100) - 1
-    close = counted.filter(F.col("have") >= need - rest)
-    return close.select("leader", "rid").unionByName(close.select("leader", F.col("leader").alias("rid")))
+    close = counted.filter(F.col("have") >= need - rest).withColumn("key", F.xxhash64("leader", "rid"))
+    return close.select("key", "leader", F.explode(F.array("leader", "rid")).alias("rid"))
+
+
+def _blocks(lists: DataFrame) -> DataFrame:
+    """(leader, rid): blocks in which the sets of every list (key, leader, rid) meet.
+
+    A set's home is the smallest leader of its lists, and it is in the block of its home.  A list
+    whose sets have one home needs no block of its own; the others keep theirs.  So a group of
+    copies, whose lists have several leaders, is brought together once.  (Lists with one key by
+    a collision are judged together, which can only keep more.)
+    """
+    homes = lists.groupBy("rid").agg(F.min("leader").alias("home"))
+    torn = lists.join(homes, "rid").groupBy("key").agg(F.min("home").alias("a"), F.max("home").alias("b")).filter("a <> b").select("key")
+    return homes.select(F.col("home").alias("leader"), "rid").unionByName(lists.join(torn, "key", "left_semi").select("leader", "rid")).distinct()
 
 
 def near_links(docs: DataFrame, width: int = 5, percent: int = 80, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -263,7 +276,8 @@ def near_links(docs: DataFrame, width: int = 5, percent: int = 80, chunk: int =
     keys = sets.select("rid", "size", F.explode("prefix").alias("key"))
     shared = keys.groupBy("key").agg(F.min("rid").alias("leader"), F.count("*").alias("uses")).filter("uses > 1")
     hits = written(keys.join(shared, "key"))
-    blocks = written(hits.filter(F.col("uses") > SMALL).select("leader", "rid").unionByName(_close_pairs(hits.filter(F.col("uses") <= SMALL), percent)).distinct())
+    lists = written(hits.filter(F.col("uses") > SMALL).select("key", "leader", "rid").unionByName(_close_pairs(hits.filter(F.col("uses") <= SMALL), percent)))
+    blocks = written(_blocks(lists))
     sizes = blocks.groupBy("leader").agg(F.count("*").alias("size"))
     chunks = sizes.select("leader", F.ceil(F.col("size") / chunk).cast("int").alias("chunks"))
     placed = blocks.join(chunks, "leader").withColumn("chunk", F.pmod(F.xxhash64("rid"), F.col("chunks")).cast("int"))
