@@ -36,7 +36,7 @@ from sparkfolio.llm.wordstore import gather
 #: Counters of the frequency sketch, whatever the input.
 BUCKETS = 1 << 18
 #: Sets that one chunk indexes.
-CHUNK = 400
+CHUNK = 200
 #: Sets of a list whose pairs are counted; longer lists go to blocks as a whole.
 SMALL = 8
 #: Weight of the list length in DivideSkip's choice of long lists.
@@ -195,7 +195,9 @@ def _first_round(width: int, percent: int):
             sets = text_sets(*raw(table.column("text").chunk(0)), width)
             links, label = join_chunk([sets[k] for k in where], percent)
             leader, chunk, chunks = (table.column(c)[0].as_py() for c in ("leader", "chunk", "chunks"))
-            out += [(leader, chunk, int(ids[a]), int(ids[b])) for a, b in links]
+            if links:  # each connected set with the smallest one it is connected to: stars join up in few rounds
+                _, head, part = np.unique(label, return_index=True, return_inverse=True)
+                out += [(leader, chunk, int(ids[head[k]]), int(ids[i])) for i, k in enumerate(part.tolist()) if head[k] != i]
             if chunks > 1:
                 home = label[np.searchsorted(ids, leader)]
                 out += [(leader, chunk, int(r), None) for r in ids[label != home]]
@@ -261,8 +263,8 @@ def near_links(docs: DataFrame, width: int = 5, percent: int = 80, chunk: int =
     """Shingle sets of ``docs`` (doc_id, text) and the links that connect them.
 
     Returns (doc_id, n_shingles, set_name) of every row, (set_name, rid, first_id) of every
-    different set, and links (u, v) between rids.  Every link is verified on whole sets; all
-    pairs of sets that are similar are connected by links.
+    different set, and links (u, v) between rids: v is connected with u by similar pairs that
+    were verified on whole sets.  All pairs of sets that are similar are connected by links.
     """
     spark = docs.sparkSession
     counts = docs.select("text").mapInArrow(_sketch(width), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
@@ -271,9 +273,11 @@ def near_links(docs: DataFrame, width: int = 5, percent: int = 80, chunk: int =
     level[got.column("bucket").to_numpy()] = np.round(4 * np.log2(1 + got.column("n").to_numpy())).astype(np.uint8)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
     rows = written(docs.mapInArrow(_prefixes(width, percent, level), f"{kinds}, n_shingles long, set_name binary, prefix array<long>"))
-    sets = (rows.filter("set_name is not null").groupBy("set_name").agg(F.min("doc_id").alias("first_id"), F.any_value("prefix").alias("prefix"), F.any_value("n_shingles").alias("size")))
+    sets = rows.filter("set_name is not null").groupBy("set_name").agg(F.min("doc_id").alias("first_id"))
     sets = written(sets.withColumn("rid", F.monotonically_increasing_id()))
-    keys = sets.select("rid", "size", F.explode("prefix").alias("key"))
+    # the prefixes of one row of each set; rows that repeat an id add no other set to a list
+    first_rows = rows.join(sets.withColumnRenamed("set_name", "s_name"), (F.col("set_name") == F.col("s_name")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
+    keys = first_rows.select("rid", F.col("n_shingles").alias("size"), F.explode("prefix").alias("key"))
     shared = keys.groupBy("key").agg(F.min("rid").alias("leader"), F.count("*").alias("uses")).filter("uses > 1")
     hits = written(keys.join(shared, "key"))
     lists = written(hits.filter(F.col("uses") > SMALL).select("key", "leader", "rid").unionByName(_close_pairs(hits.filter(F.col("uses") <= SMALL), percent)))
@@ -308,7 +312,7 @@ def near_links(docs: DataFrame, width: int = 5, percent: int = 80, chunk: int =
         asked = placed.join(apart.select("leader").distinct(), "leader", "left_semi").select("leader", "rid", "chunk", F.lit(False).alias("asks"))
         second = with_texts(asking.unionByName(asked)).repartition("leader", "chunk").sortWithinPartitions("leader", "chunk").mapInArrow(_second_round(width, percent), _FOUND)
         links = links.unionByName(written(second).select("u", "v"))
-    return rows.drop("prefix"), sets.drop("prefix", "size"), links
+    return rows.drop("prefix"), sets, links
 
 
 def _named(width: int):
