@@ -4,7 +4,7 @@
 2. Shingles are ordered from rare to frequent by a fixed-size count sketch over all documents
    (any order gives the same result, a good one makes short lists).  Two sets that link share
    one of their first ``n - ceil(t * n) + 1`` shingles; these keys form inverted lists.
-3. Sets that share only short lists (``SMALL`` sets at most) are paired and the shared keys of a
+3. Longer lists are cut by size.  Sets that share only short lists (``SMALL`` sets at most) are paired and the shared keys of a
    pair counted; a pair that cannot reach the overlap with the rest of its shingles is dropped,
    the others meet in the block of the smaller set.  All sets of a longer list meet in the block
    of the list's smallest set.  A block is cut into chunks
@@ -22,11 +22,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 from heapq import merge
 from itertools import groupby
-from math import log2
+from math import log, log2
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkfolio.llm.common import LOWER, keep_rows, mix, raw, shingles, text_hash, text_slices, words, written
@@ -38,7 +38,7 @@ BUCKETS = 1 << 18
 #: Sets that one chunk indexes.
 CHUNK = 200
 #: Sets of a list whose pairs are counted; longer lists go to blocks as a whole.
-SMALL = 8
+SMALL = 16
 #: Weight of the list length in DivideSkip's choice of long lists.
 MU = 0.0085
 
@@ -228,6 +228,20 @@ def _second_round(width: int, percent: int):
     return run
 
 
+def _band(size: Column, percent: int) -> Column:
+    """Size band: similar sets are in one band or in neighbouring ones."""
+    return F.floor(F.log(size) / log(100 / percent) + 1e-9).cast("int") if percent < 100 else size.cast("int")
+
+
+def _banded(hits: DataFrame, percent: int) -> DataFrame:
+    """Longer lists cut by size: each set goes to its own band's list and to the next one, so that
+    similar sets meet in the band of the larger.  Lists of one set go."""
+    parts = hits.select("key", "rid", "size", F.explode(F.array(_band(F.col("size"), percent), _band(F.col("size"), percent) + 1)).alias("band"))
+    parts = parts.withColumn("key", F.xxhash64("key", "band"))
+    uses = parts.groupBy("key").agg(F.count("*").alias("uses")).filter("uses > 1").withColumnRenamed("key", "b_key")
+    return parts.join(uses, F.col("key") == F.col("b_key")).select("key", "rid", "size", "uses", "band")
+
+
 def _close_pairs(hits: DataFrame, percent: int) -> DataFrame:
     """(key, leader, rid) of the pairs of short lists that share enough keys, each as a list of two.
 
@@ -235,9 +249,11 @@ def _close_pairs(hits: DataFrame, percent: int) -> DataFrame:
     the overlap is at most their number plus what follows the longer rest; two sets whose
     shared keys are all in short lists have every one of them counted here.
     """
-    lists = hits.groupBy("key").agg(F.collect_list(F.struct("rid", "size")).alias("m"))
-    alike = lambda a, b: (b["rid"] > a["rid"]) & (100 * a["size"] >= percent * b["size"]) & (100 * b["size"] >= percent * a["size"])
-    pairs = F.flatten(F.transform("m", lambda a: F.transform(F.filter("m", lambda b: alike(a, b)), lambda b: F.struct(
+    lists = hits.groupBy("key", "band").agg(F.collect_list(F.struct("rid", "size")).alias("m"))
+    # two sets meet in a second band too when they are in one: the band of the larger counts
+    here = lambda a, b: F.col("band").isNull() | (_band(F.greatest(a["size"], b["size"]), percent) == F.col("band"))
+    alike = lambda a, b: (b["rid"] > a["rid"]) & here(a, b) & (100 * a["size"] >= percent * b["size"]) & (100 * b["size"] >= percent * a["size"])
+    pairs = F.flatten(F.transform(F.col("m"), lambda a: F.transform(F.filter("m", lambda b: alike(a, b)), lambda b: F.struct(
         a["rid"].alias("leader"), b["rid"].alias("rid"), a["size"].alias("n1"), b["size"].alias("n2")))))
     counted = lists.select(F.explode(pairs).alias("p")).select("p.*").groupBy("leader", "rid", "n1", "n2").agg(F.count("*").alias("have"))
     need = F.ceil(percent * (F.col("n1") + F.col("n2")) / (100 + percent))
@@ -278,9 +294,13 @@ def near_links(docs: DataFrame, width: int = 5, percent: int = 80, chunk: int =
     # the prefixes of one row of each set; rows that repeat an id add no other set to a list
     first_rows = rows.join(sets.withColumnRenamed("set_name", "s_name"), (F.col("set_name") == F.col("s_name")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
     keys = first_rows.select("rid", F.col("n_shingles").alias("size"), F.explode("prefix").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("rid").alias("leader"), F.count("*").alias("uses")).filter("uses > 1")
+    shared = keys.groupBy("key").agg(F.count("*").alias("uses")).filter("uses > 1")
     hits = written(keys.join(shared, "key"))
-    lists = written(hits.filter(F.col("uses") > SMALL).select("key", "leader", "rid").unionByName(_close_pairs(hits.filter(F.col("uses") <= SMALL), percent)))
+    hits = hits.filter(F.col("uses") <= SMALL).withColumn("band", F.lit(None).cast("int")).unionByName(_banded(hits.filter(F.col("uses") > SMALL), percent))
+    hits = written(hits)
+    long = hits.filter(F.col("uses") > SMALL)
+    leaders = long.groupBy("key").agg(F.min("rid").alias("leader"))
+    lists = written(long.select("key", "rid").join(leaders, "key").select("key", "leader", "rid").unionByName(_close_pairs(hits.filter(F.col("uses") <= SMALL), percent)))
     blocks = written(_blocks(lists))
     sizes = blocks.groupBy("leader").agg(F.count("*").alias("size"))
     chunks = sizes.select("leader", F.ceil(F.col("size") / chunk).cast("int").alias("chunks"))
