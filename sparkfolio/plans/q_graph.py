@@ -320,7 +320,7 @@ def context_join_edges(spark, sf):
     e = edges(spark, sf)
     sel = _selected(e).select("set_id", F.col("paper_id").alias("work_id"))
     even = _refs(e).filter("target % 2 = 0").select("set_id", (-F.col("target") - 1).alias("work_id")).distinct()
-    rows = e.select(F.floor(F.col("source") / 100).alias("set_id"), "source", (-F.col("target") - 1).alias("target"),
+    rows = e.select(F.floor(F.col("source") / 3).alias("set_id"), "source", (-F.col("target") - 1).alias("target"),
                     F.when(F.col("target") % 3 != 0, 0.5).alias("weight"))
     return gr.resolvable_edges(sel.unionByName(even), rows).select("set_id", "source", (-F.col("target") - 1).alias("target"), "weight")
 
