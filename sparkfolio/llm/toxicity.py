@@ -1,6 +1,7 @@
 """Toxicity classifier that is regularised by counterfactuals.
 
-A logistic model over words is fitted on a bounded sample of labelled rows.  For every labelled
+A logistic model over words is fitted on a bounded sample of labelled rows, weighted back to the
+share of each label among all of them.  For every labelled
 text that mentions a group, each identity term is swapped for the others of its list, and the
 squared change of the score is part of the loss: a mention alone must not move the score.
 Scoring reads every whole text where it lies.
@@ -92,22 +93,27 @@ def held_out(doc_id: Column) -> Column:
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in text_slices(batches):
         got = [x.view(np.int64) for x in text_words(*raw(batch.column("text")))]
-        yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(got, pa.list_(pa.int64()))], names=["label", "words"])
+        yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("weight"), pa.array(got, pa.list_(pa.int64()))], names=["label", "weight", "words"])
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN) -> DataFrame:
-    """(label, words) of the labelled rows outside the held-out fold, in the order of a hash of
-    the id: all of them, or ``most_toxic`` and ``most_clean`` if there are more."""
+    """(label, weight, words) of the labelled rows outside the held-out fold, in the order of a
+    hash of the id: all of them, or ``most_toxic`` and ``most_clean`` if there are more.
+
+    ``weight``: how many labelled rows of its label a sampled row stands for.
+    """
     usable = labels.select(F.col("doc_id").alias("l_id"), F.col(label_col).cast("int").alias("label")).filter("l_id is not null and label in (0, 1)").filter(~held_out(F.col("l_id")))
     usable = usable.groupBy("l_id").agg(F.max("label").alias("label"))
     by = F.xxhash64(F.col("l_id").cast("string"), F.lit(8))
-    picked = [usable.filter(F.col("label") == k).orderBy(by, "l_id").limit(n) for k, n in ((1, most_toxic), (0, most_clean))]
+    whole = {r.label: r["count"] for r in usable.groupBy("label").count().collect()}  # two rows at most
+    picked = [usable.filter(F.col("label") == k).orderBy(by, "l_id").limit(n).withColumn("weight", F.lit(max(1.0, whole.get(k, 0) / max(n, 1))))
+              for k, n in ((1, most_toxic), (0, most_clean))]
     ids = F.broadcast(picked[0].unionByName(picked[1]))  # most_toxic + most_clean rows at most
-    return docs.join(ids, F.col("doc_id") == F.col("l_id")).select("label", "text").mapInArrow(_featured, "label int, words array<long>")
+    return docs.join(ids, F.col("doc_id") == F.col("l_id")).select("label", "weight", "text").mapInArrow(_featured, "label int, weight double, words array<long>")
 
 
 class Model:
-    """Word hashes (sorted), their weights, the bias, and the log odds of label 1 in the sample."""
+    """Word hashes (sorted), their weights, the bias, and the log odds of label 1 among the labelled rows."""
 
     def __init__(self, vocabulary: np.ndarray, weights: np.ndarray, bias: float, prior: float):
         self.vocabulary, self.weights, self.bias, self.prior = vocabulary, weights, bias, prior
@@ -124,20 +130,26 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total, -40, 40)))
 
 
-def fit(labels: np.ndarray, rows: list[np.ndarray], ridge: float = 1e-4, fairness: float = 1.0, steps: int = 300, least_texts: int = LEAST_TEXTS,
+def fit(labels: np.ndarray, rows: list[np.ndarray], weights: np.ndarray | None = None, ridge: float = 1e-4, fairness: float = 1.0, steps: int = 300, least_texts: int = LEAST_TEXTS,
         least_z: float = LEAST_Z, most_words: int = MOST_WORDS, identity: tuple[tuple[str, ...], ...] = IDENTITY) -> Model:
     """Logistic loss + ``ridge`` * |w|^2 / 2 + ``fairness`` * mean squared score change under swaps.
 
-    Texts with the same words count once.  Full gradient steps with Adam.  With one label only, or no rows, the model is a constant.
+    ``weights``: labelled rows that each row stands for, 1 when not given.  Texts with the same
+    words count once; then each label weighs as much as the labelled rows it has, so neither
+    the share of label 1 nor the bias depends on the bounds of the sample.  Full gradient steps
+    with Adam.  With one label only, or no rows, the model is a constant.
     """
+    labels = np.asarray(labels, float)
+    standing = np.bincount(labels.astype(int), weights, 2).astype(float)
     keep = list({(r.tobytes(), y): i for i, (r, y) in enumerate(zip(rows, labels, strict=True))}.values())
-    labels, rows = np.asarray(labels, float)[keep], [rows[i] for i in keep]
+    labels, rows = labels[keep], [rows[i] for i in keep]
     n = len(labels)
-    share = (labels.sum() + 0.5) / (n + 1)
+    share = (standing[1] + 0.5) / (standing.sum() + 1)
     prior = float(np.log(share / (1 - share)))
     constant = Model(np.zeros(0, np.uint64), np.zeros(0), prior, prior)
     if n == 0 or len(np.unique(labels)) < 2:
         return constant
+    mass = (standing / np.bincount(labels.astype(int), minlength=2))[labels.astype(int)] / standing.sum()
     counts = np.array([len(r) for r in rows])
     flat = np.concatenate(rows)
     owner = np.repeat(np.arange(n), counts)
@@ -171,7 +183,7 @@ def fit(labels: np.ndarray, rows: list[np.ndarray], ridge: float = 1e-4, fairnes
     first, second = np.zeros(size + 1), np.zeros(size + 1)
     for step in range(1, steps + 1):
         margin = np.bincount(row, weight[column], n) + bias
-        miss = (1 / (1 + np.exp(-np.clip(margin, -40, 40))) - labels) / n
+        miss = (1 / (1 + np.exp(-np.clip(margin, -40, 40))) - labels) * mass
         slope = np.append(np.bincount(column, miss[row], size) + ridge * weight, miss.sum())
         if len(left):
             value = np.bincount(term, weight[part], len(spread))
@@ -193,7 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", most_tox
         return fit(np.zeros(0), [])
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
     values, ends = lists.flatten().to_numpy().view(np.uint64), np.cumsum(lists.value_lengths().to_numpy())
-    return fit(sample.column("label").to_numpy().astype(float), np.split(values, ends[:-1]), **options)
+    return fit(sample.column("label").to_numpy().astype(float), np.split(values, ends[:-1]), sample.column("weight").to_numpy(), **options)
 
 
 def _score(model: Model):
@@ -208,8 +220,8 @@ def _score(model: Model):
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Score of every whole text: doc_id, held_out, score (0 to 1) and predicted (score >= threshold).
 
-    Only words of the text enter the score.  A null or empty text scores the sample's share of
-    label 1.
+    Only words of the text enter the score.  A null or empty text scores the share of label 1
+    among all labelled rows outside the held-out fold.
     Labels that are null or neither 0 nor 1 are ignored; without both labels all texts score
     the share of label 1 (one half without labels).  Rows with a null id are never learned
     from.  Repeated rows stay, other columns are ignored, an empty table gives an empty result.

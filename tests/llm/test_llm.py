@@ -375,6 +375,20 @@ def test_toxicity(spark, odd, empty):
     assert toxicity.toxicity(empty, labels).count() == 0
 
 
+def test_bounds_of_the_sample_keep_the_scores(spark):
+    texts = [(k, ("you moron " if k % 10 == 0 else "") + passage(3000 + k, 20)) for k in range(1600)]
+    probes = [(5000, None), (5001, ""), (5002, passage(9000, 20)), (5003, "you moron " + passage(9001, 20))]
+    docs = spark.createDataFrame(texts + probes, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 10 == 0)) for k in range(1600)], "doc_id long, toxic int")
+    whole, cut = ({r.doc_id: r for r in toxicity.toxicity(docs, labels, **caps).filter("doc_id >= 5000").collect()} for caps in ({}, {"most_toxic": 60, "most_clean": 60}))
+    learned = [k for k in range(1600) if zlib.crc32(str(k).encode()) % 4 != 2]
+    share = (sum(k % 10 == 0 for k in learned) + 0.5) / (len(learned) + 1)
+    for k in (5000, 5001):
+        assert abs(whole[k].score - share) < 1e-9 and abs(cut[k].score - share) < 1e-9
+    for k in (5002, 5003):
+        assert cut[k].predicted == whole[k].predicted == int(k == 5003) and abs(cut[k].score - whole[k].score) < 0.05
+
+
 # ------------------------------------------------------------------ 9 quality rules
 
 def brute_measures(text: str | None) -> tuple:
