@@ -1,4 +1,9 @@
-"""Licence scan by canonical digest: whole texts that are a known licence, however set."""
+"""Licence scan by canonical digest: whole texts that are a known licence, however set.
+
+Two digests are looked up.  That of the canonical form (the SQL counterpart has the same) finds
+bare texts; that of the file form also finds files as they are shipped, with titles, copyright
+notices, list markers and names of holders.
+"""
 
 from __future__ import annotations
 
@@ -81,6 +86,66 @@ def canonical(text: Column) -> Column:
     return F.trim(out)
 
 
+# What only files have.  These patterns run in Spark alone.
+FILE_LINES = {"MIT line": "Released under the MIT License."}
+#: SHA-256 of the file forms of long texts; a test recomputes them where the texts are installed.
+FILE_DIGESTS = {
+    "812558c2127bace4a4f1222bd2338b04fe96a41e8b690b8e183a934468ee6576": "Apache-2.0",
+    "1e0d975c70016816d0c8b3d41e01651ee213e21b05f6dd2fe2e7206698c8ce40": "Apache-2.0",  # without the appendix
+    "51ce791fd6dbf56df73a504d05d445ea67e3219edf2ba3ec49c5e3ba4f9c58d0": "CC0-1.0",
+    "11067a290bac260f4c6c7d79e23915cf50bb1152c3babe698027482376a5e956": "GPL-2.0",
+    "304429d7d573830e29253f05d5db2e9588d5d58aa865f4d1b8b89b07e1a39930": "GPL-3.0",
+    "957b478ee735fdcc17e0dd9721f1bc0d7b7bf8139a17ffdb19cf9ab1b4b3344f": "LGPL-2.1",
+    "8b382dd66ce8da3b3b61af92a44dcc9e4dc64c240fefd721ed7bc1022686dbc9": "LGPL-3.0",
+    "c55de2a91588606b15e94971545b532c062e1ade18807139b0b7d17025224c03": "MPL-2.0",
+}
+_TITLE = ("the|a|mit|expat|x11|isc|bsd|freebsd|netbsd|0bsd|zero|two|three|0|2|3|clause|new|or|revised|modified|simplified|licen[cs]es?|software|agreement|"
+          "and|style|open|source|internet|systems|consortium|full|text")
+_NOT_A_HOLDER = r"[ \t]*(?:notices?|holders?|owners?|licen[cs]es?|laws?|and|or|statements?|interest|permission)(?![\p{L}\p{N}])"
+_GAP = r"[^\p{L}\p{N}\n©]*+"
+FILE_STEPS = (
+    (r"\r\n?", "\n"),
+    # notices with a year or sign, and the lines on which a list of holders goes on
+    (r"(?m)^[^\p{L}\p{N}\n(©]*+(?:portions )?(?:copyright[ \t:]*(?:\(c\)|©|&copy;|[\[<{(]?(?:\d{4}|yyyy|year)\b)|(?:\(c\)|©)[ \t]*(?:copyright|\d{4}))"
+     r"[^\n]*+(?:(?<=,|,[ \t]|, {2})\n[^\n]*+){0,99}", ""),
+    # titles, notices without a year and empty lines before the body; each match starts where the last one ended
+    (rf"\G{_GAP}(?:(?:(?:{_TITLE})(?![\p{{L}}\p{{N}}]){_GAP}){{1,14}}|(?:all )?rights reserved[^\n]*+|(?:copyright|\(?c\)|©)(?!{_NOT_A_HOLDER})[^\n]*+)?+\n", ""),
+    # numbers and letters of clauses; other bullets go with the punctuation
+    (r"([:;.,](?:\s+(?:and|or)\b)?[^\p{L}\p{N}]*+)(?:(?:\d{1,2}|[a-h]|i{1,3}|iv)[.)\]]|o)\s+", "$1"),
+    (r"https?://", " "),
+    (r"[^\p{L}\p{N}]+", " "),
+)
+#: Names of holders inside BSD texts.
+HOLDERS = (
+    (r" neither the names? of .{1,120}? nor the names of (?:its|their|the) contributors ", " neither the name of the copyright holder nor the names of its contributors "),
+    (r" software is provided by .{1,120}? and contributors as is ", " software is provided by the copyright holders and contributors as is "),
+    (r" in no event shall .{1,120}? or contributors be liable ", " in no event shall the copyright holder or contributors be liable "),
+)
+#: Words of which every built-in file form has one, as written; other texts need no file form.
+_SIGNS = ("permission", "redistribution", "licen")
+
+
+def file_form(text: Column) -> Column:
+    """The canonical form of a licence file without titles, copyright notices, clause marks and
+    names of holders.  A line of the body that starts with "copyright" stays."""
+    out = F.lower(F.coalesce(text.cast("string"), F.lit("")))
+    for pattern, by in FILE_STEPS:
+        out = F.regexp_replace(out, pattern, by)
+    out = F.concat(F.lit(" "), F.trim(out), F.lit(" "))
+    for written, plain in SPELLINGS:
+        out = F.replace(out, F.lit(f" {written} "), F.lit(f" {plain} "))
+    for pattern, by in HOLDERS:
+        out = F.regexp_replace(out, pattern, by)
+    return F.trim(out)
+
+
+def file_digests(spark: SparkSession) -> DataFrame:
+    """(license_id, file_sha256) of the built-in texts, in file form."""
+    rows = spark.createDataFrame(sorted((KNOWN | FILE_LINES).items()), "license_id string, body string").select("license_id", F.sha2(file_form(F.col("body")), 256).alias("file_sha256"))
+    rows = rows.unionByName(spark.createDataFrame(list(FILE_DIGESTS.items()), "file_sha256 string, license_id string"))
+    return rows.groupBy("file_sha256").agg(F.min("license_id").alias("file_license"))
+
+
 def known_digests(spark: SparkSession, known: dict[str, str] | None = None) -> DataFrame:
     """(license_id, license_sha256) of the known texts, in canonical form."""
     rows = spark.createDataFrame(sorted((known or KNOWN).items()), "license_id string, body string")
@@ -88,26 +153,36 @@ def known_digests(spark: SparkSession, known: dict[str, str] | None = None) -> D
 
 
 def license_scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """License of every document whose whole text is a known licence text.
+    """License of every document whose whole text is a known licence text or licence file.
 
-    ``known``: (license_id, license_sha256) of canonical forms; the built-in list when not
-    given.  A given table may be large: it meets the digests in a hash join, which Spark
+    ``known``: (license_id, license_sha256) of canonical forms, with which file forms are
+    compared too; the built-in lists when not given.  A given table may be large: it meets the digests in a hash join, which Spark
     broadcasts only when its size is below the session's bound.  The digest is computed where
     the row lies, so the text is never shuffled.  Returns doc_id, n_chars_canonical,
-    canonical_sha256 and license_id (null when nothing matches).  A null, empty or
+    canonical_sha256 and license_id (of the canonical form, else of the file form; null when
+    nothing matches).  A null, empty or
     punctuation-only text has the empty canonical form and no licence.  Repeated rows stay,
     other columns are ignored, an empty table gives an empty result.
     """
-    known = known_digests(docs.sparkSession) if known is None else known.groupBy("license_sha256").agg(F.min("license_id").alias("license_id"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), canonical(F.col(text_col)).alias("form"))
-    rows = rows.select("doc_id", F.length("form").cast("long").alias("n_chars_canonical"), F.sha2("form", 256).alias("canonical_sha256"))
+    text = F.col(text_col)
+    if known is None:
+        known, files = known_digests(docs.sparkSession), file_digests(docs.sparkSession)
+        signed = F.lower(text.cast("string"))
+        signed = F.coalesce(F.greatest(*(signed.contains(x) for x in _SIGNS)), F.lit(False))
+    else:
+        known, signed = known.groupBy("license_sha256").agg(F.min("license_id").alias("license_id")), F.lit(True)
+        files = known.withColumnsRenamed({"license_sha256": "file_sha256", "license_id": "file_license"})
+    rows = docs.select(F.col(id_col).alias("doc_id"), canonical(text).alias("form"), F.when(signed, F.sha2(file_form(text), 256)).alias("as_file"))
+    rows = rows.select("doc_id", F.length("form").cast("long").alias("n_chars_canonical"), F.sha2("form", 256).alias("canonical_sha256"), "as_file")
+    rows = rows.withColumn("as_file", F.coalesce("as_file", "canonical_sha256"))  # no null keys, which would meet in one task
     empty = F.sha2(F.lit(""), 256)
     match = rows.join(known, (F.col("canonical_sha256") == F.col("license_sha256")) & (F.col("license_sha256") != empty), "left")
-    return match.select("doc_id", "n_chars_canonical", "canonical_sha256", "license_id")
+    match = match.join(files, (F.col("as_file") == F.col("file_sha256")) & (F.col("file_sha256") != empty), "left")
+    return match.select("doc_id", "n_chars_canonical", "canonical_sha256", F.coalesce("license_id", "file_license").alias("license_id"))
 
 
 def license_sql(known: dict[str, str] | None = None) -> str:
-    """The scan in SQL over ``documents``."""
+    """The scan in SQL over ``documents``; it knows canonical forms, not files."""
     def form(x: str) -> str:
         x = f"lower(coalesce({x}, ''))"
         for pattern, by in STEPS:

@@ -6,6 +6,7 @@ import base64
 import collections
 import hashlib
 import io
+import os
 import re
 import zlib
 
@@ -436,5 +437,37 @@ def test_license_scan(spark, odd, empty):
     assert licenses.license_scan(odd).count() == len(ODD) and licenses.license_scan(empty).count() == 0
 
 
+def test_license_files(spark):
+    mit, bsd, isc = (licenses.KNOWN[k] for k in ("MIT", "BSD-3-Clause", "ISC"))
+    notice = "Copyright (c) 2020-2022 Some Body,\nAn Other,\nA Third\n\n"
+    bullets = re.sub(r"(?<=[:.]) [123]\. ", "\n\n  * ", bsd)
+    wrapped = bsd.replace("the above copyright", "the above\ncopyright")
+    assert bullets != bsd and wrapped.count("\ncopyright") == 2
+    shipped = open(public_tokenizers.path("LICENSES.txt"), encoding="utf-8").read()
+    shipped = shipped[shipped.index("MIT License") : shipped.index("word_bpe_49k.json:")]
+    files = [(1, "MIT License\n\n" + notice + mit, "MIT"), (2, "# The MIT License (MIT)\n=======\n" + notice + mit, "MIT"), (3, shipped, "MIT"),
+             (4, "BSD 3-Clause License\r\n\r\nCopyright 2020, The Authors\r\nAll rights reserved.\r\n\r\n" + bsd, "BSD-3-Clause"), (5, bullets, "BSD-3-Clause"),
+             (6, 'The BSD 3-Clause "New" License\n' + wrapped, "BSD-3-Clause"), (7, bsd.replace("1. ", "(a) ").replace("2. ", "(b) ").replace("3. ", "(c) "), "BSD-3-Clause"),
+             (8, bsd.replace("the copyright holder nor", "Some Company Inc. nor"), "BSD-3-Clause"), (9, "ISC License\nCopyright The Authors\n" + isc, "ISC"),
+             (10, "Released under the MIT License.", "MIT line"), (11, "\n".join(" * " + x for x in re.findall(r".{1,60}(?: |$)", mit)), "MIT"),
+             (12, "MIT License\n" + mit + " and more", None), (13, "MIT License\n", None), (14, mit.replace("without restriction", "with restriction"), None),
+             (15, bsd.replace("with or without modification", "without modification"), None)]
+    df = spark.createDataFrame([x[:2] for x in files], "doc_id long, text string")
+    assert {r.doc_id: r.license_id for r in licenses.license_scan(df).collect()} == {d: k for d, _, k in files}
+    # every built-in text has a sign, so that none is left without its file form
+    assert all(any(x in t.lower() for x in licenses._SIGNS) for t in (licenses.KNOWN | licenses.FILE_LINES).values())
+
+
+def test_long_license_files(spark):
+    names = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0"}
+    folder = "/usr/share/common-licenses"
+    texts = {k: open(f"{folder}/{k}", encoding="utf-8").read() for k in names if os.path.exists(f"{folder}/{k}")}
+    if not texts:
+        pytest.skip("licence texts are not installed")
+    df = spark.createDataFrame([(k, t) for k, t in texts.items()] + [(k + " wrapped", t.replace("\n", "\n   ")) for k, t in texts.items()], "doc_id string, text string")
+    got = {r.doc_id: r.license_id for r in licenses.license_scan(df).collect()}
+    assert got == {f"{k}{end}": names[k] for k in texts for end in ("", " wrapped")}
+
+
 def test_spaces_are_those_of_the_rule():
     assert sorted(SPACES) == [9, 10, 11, 12, 13, 32]
