@@ -2,8 +2,9 @@
 
 Every text is measured once.  Mergeable quantile sketches (``percentile_approx``: partial
 sketches per task, merged after the shuffle, so a hot source is summed up where it lies) give
-the quartiles of each measure by (lang, source).  A document fails when a measure lies beyond
-the outer fence of its own group; measures and thresholds are joined by group.
+quantiles of each measure by (lang, source) over the rows that pass the base rule.  A document
+fails when a measure lies beyond the outer fence of its own group; measures and thresholds are
+joined by group.
 """
 
 from __future__ import annotations
@@ -20,13 +21,14 @@ from sparkfolio.llm.common import SPACE, keep_rows, mix, per_row, raw, text_hash
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 STATS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
-#: Measure, share of the rows that a fence leaves room for even in a group without spread.
-#: Every measure is high in bad text; ``room`` keeps clean rows of an even group.
+#: Measure, quantile that its fence starts from, room that a fence leaves even in a group without
+#: spread.  Every measure is high in bad text; ``room`` keeps clean rows of an even group.  The
+#: first three are zero in most texts, so their fences start in the upper tail.
 RATIOS = {
-    "symbol_ratio": ("n_symbols", "word_chars", 0.04),
-    "dup_line_ratio": ("n_dup_lines", "n_lines", 0.5),
-    "repeat_ratio": ("n_repeat_words", "n_words", 0.5),
-    "word_length": ("word_chars", "n_words", 1.5),
+    "symbol_ratio": ("n_symbols", "word_chars", 0.9, 0.04),
+    "dup_line_ratio": ("n_dup_lines", "n_lines", 0.95, 0.25),
+    "repeat_ratio": ("n_repeat_words", "n_words", 0.95, 0.2),
+    "word_length": ("word_chars", "n_words", 0.75, 1.5),
 }
 _BLANK = b"\x20\x09\x0a\x0b\x0c\x0d"
 
@@ -78,13 +80,13 @@ def _ratio(top: str, bottom: str) -> Column:
     return F.when(F.col(bottom) > 0, F.col(top) / F.col(bottom)).otherwise(F.lit(0.0))
 
 
-def thresholds(measured: DataFrame, fence: float = 3.0, accuracy: int = 1000) -> DataFrame:
-    """(lang, source, highest value allowed of each measure): third quartile plus ``fence``
-    interquartile ranges plus the room of the measure."""
-    quartiles = [F.percentile_approx(_ratio(a, b), [0.25, 0.75], accuracy).alias(name) for name, (a, b, _) in RATIOS.items()]
-    sketched = measured.filter("n_words > 0").groupBy("lang", "source").agg(*quartiles)
+def thresholds(passed: DataFrame, fence: float = 3.0, accuracy: int = 1000) -> DataFrame:
+    """(lang, source, highest value allowed of each measure) from measured rows that pass the
+    base rule: the measure's upper quantile plus ``fence`` interquartile ranges plus its room."""
+    quantiles = [F.percentile_approx(_ratio(a, b), [0.25, 0.75, tail], accuracy).alias(name) for name, (a, b, tail, _) in RATIOS.items()]
+    sketched = passed.groupBy("lang", "source").agg(*quantiles)
     return sketched.select("lang", "source", *(
-        (F.col(name)[1] + F.lit(fence) * (F.col(name)[1] - F.col(name)[0]) + F.lit(room)).alias(f"most_{name}") for name, (_, _, room) in RATIOS.items()))
+        (F.col(name)[2] + F.lit(fence) * (F.col(name)[1] - F.col(name)[0]) + F.lit(room)).alias(f"most_{name}") for name, (*_, room) in RATIOS.items()))
 
 
 def quality_rules(docs: DataFrame, min_words: int = 50, max_repeat_pct: int = 50, fence: float = 3.0, accuracy: int = 1000,
@@ -101,10 +103,10 @@ def quality_rules(docs: DataFrame, min_words: int = 50, max_repeat_pct: int = 50
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"),
                        F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"carry_{c}") for c in carry or ()))
     measured = written(text_measures(rows))
-    limits = thresholds(measured, fence, accuracy).withColumnsRenamed({"lang": "t_lang", "source": "t_source"})
-    joined = measured.join(limits, F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")), "left")
-    failed = F.coalesce(*(F.when(_ratio(a, b) > F.col(f"most_{name}"), F.lit(name)) for name, (a, b, _) in RATIOS.items()))
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words"))
+    limits = thresholds(measured.filter(~base), fence, accuracy).withColumnsRenamed({"lang": "t_lang", "source": "t_source"})
+    joined = measured.join(limits, F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")), "left")
+    failed = F.coalesce(*(F.when(_ratio(a, b) > F.col(f"most_{name}"), F.lit(name)) for name, (a, b, *_) in RATIOS.items()))
     return (joined.withColumns({"base_failed": base, "failed_rule": failed}).withColumn("kept", ~F.col("base_failed") & F.col("failed_rule").isNull())
             .select("doc_id", "lang", "source", *STATS, "base_failed", "failed_rule", "kept", *(F.col(f"carry_{c}").alias(c) for c in carry or ())))
 

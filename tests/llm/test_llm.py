@@ -423,6 +423,28 @@ def test_thresholds_follow_the_group(spark):
     assert kept == set(range(40)) | set(range(200, 240))
 
 
+def test_each_rule_rejects_and_follows_the_source(spark):
+    def sourced(first: int, source: str, texts: list[str]) -> list[tuple]:
+        return [(first + k, t, "en", source) for k, t in enumerate(texts)]
+
+    def repeated(seed: int, n: int, again: int) -> str:  # 2 * again words stand in repeated windows
+        words = passage(seed, n).split()
+        return " ".join(words + words[:again])
+
+    clean = [passage(20_000 + k, 100) for k in range(60)]
+    rough = [passage(21_000 + k, 100) if k % 8 else repeated(22_000 + k, 100, 10) for k in range(60)]
+    listed = ["\n".join([*(w := passage(23_000 + k, 100).split())[:90], *(w[:10] if k % 8 == 0 else w[90:])]) for k in range(60)]
+    probes = {"symbol_ratio": " ".join(w + "&&" for w in passage(24_001, 100).split()), "dup_line_ratio": "\n".join([passage(24_002, 15)] + [passage(24_010 + k, 15) for k in range(5)] + [passage(24_002, 15)] * 3),
+              "repeat_ratio": repeated(24_003, 100, 20), "word_length": " ".join(w + "abcde" for w in passage(24_004, 100).split())}
+    data = sourced(0, "a", clean) + sourced(100, "b", rough) + sourced(200, "c", listed) + sourced(300, "a", list(probes.values()))
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string")
+    verdict = {r.doc_id: r for r in quality.quality_rules(df).collect()}
+    assert {k: r.failed_rule for k, r in verdict.items() if not r.kept} == {300 + k: v for k, v in enumerate(probes)} and not any(verdict[k].base_failed for k in range(300, 304))
+    limits = {r.source: r for r in quality.thresholds(quality.text_measures(df)).collect()}
+    assert limits["a"].most_repeat_ratio < limits["b"].most_repeat_ratio < 0.5
+    assert limits["a"].most_dup_line_ratio < limits["c"].most_dup_line_ratio < 0.5
+
+
 # ------------------------------------------------------------------ 10 licence scan
 
 def test_license_scan(spark, odd, empty):
