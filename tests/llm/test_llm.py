@@ -445,6 +445,19 @@ def test_each_rule_rejects_and_follows_the_source(spark):
     assert limits["a"].most_dup_line_ratio < limits["c"].most_dup_line_ratio < 0.5
 
 
+def test_small_and_bad_sources_are_filtered(spark):
+    def junk(seed: int) -> str:
+        return " ".join(w + "&&&" for w in passage(seed, 80).split())
+
+    clean = [(k, passage(30_000 + k, 80), "en", "a") for k in range(80)]
+    hot = [(100 + k, junk(31_000 + k), "en", "hot") for k in range(30)] + [(150 + k, passage(32_000 + k, 80), "en", "hot") for k in range(20)]
+    small = [(200, junk(33_000), "en", "tiny"), (201, passage(33_001, 80), "en", "tiny"), (202, junk(33_002), "xx", "rare"), (203, junk(33_003), None, None),
+             (204, passage(33_004, 80), None, None)]
+    df = spark.createDataFrame(clean + hot + small, "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id for r in quality.quality_rules(df).filter("kept").collect()}
+    assert kept == set(range(80)) | set(range(150, 170)) | {201, 204}
+
+
 # ------------------------------------------------------------------ 10 licence scan
 
 def test_license_scan(spark, odd, empty):
