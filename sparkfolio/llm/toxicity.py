@@ -1,9 +1,11 @@
 """Toxicity classifier that is regularised by counterfactuals.
 
 A logistic model over words is fitted on a bounded sample of labelled rows, weighted back to the
-share of each label among all of them.  For every labelled
-text that mentions a group, each identity term is swapped for the others of its list, and the
-squared change of the score is part of the loss: a mention alone must not move the score.
+share of each label among all of them.  For every pair
+of identity terms of one list, the squared difference of their log odds (what a swap changes in a
+linear model) is part of the loss, weighted by how often the first term is sampled, plus one: a
+mention alone must not move the score.  No text is rewritten or scored again, and texts that hold
+both terms, or words with the same beginnings, are not treated apart.
 Scoring reads every whole text where it lies.
 """
 
@@ -132,7 +134,7 @@ class Model:
 
 def fit(labels: np.ndarray, rows: list[np.ndarray], weights: np.ndarray | None = None, ridge: float = 1e-4, fairness: float = 1.0, steps: int = 300, least_texts: int = LEAST_TEXTS,
         least_z: float = LEAST_Z, most_words: int = MOST_WORDS, identity: tuple[tuple[str, ...], ...] = IDENTITY) -> Model:
-    """Logistic loss + ``ridge`` * |w|^2 / 2 + ``fairness`` * mean squared score change under swaps.
+    """Logistic loss + ``ridge`` * |w|^2 / 2 + ``fairness`` * mean squared difference of the log odds of paired identity terms.
 
     ``weights``: labelled rows that each row stands for, 1 when not given.  Texts with the same
     words count once; then each label weighs as much as the labelled rows it has, so neither
