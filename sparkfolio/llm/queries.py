@@ -12,7 +12,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkfolio.llm import bpe, exact_dedup, licenses, ngram_join, packing, quality, sharding, suffix_dedup, toxicity, warc
+from sparkfolio.llm import (bpe, centroids, exact_dedup, licenses, ngram_join, packing, quality, sharding, suffix_dedup, token_counts, toxicity, warc,
+                            whitening)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,8 +66,22 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(_table(spark, sf_dir, "documents"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), most=4096)
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(_table(spark, sf_dir, "embeddings"), k=8, rounds=10, size=64, seed="3")
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"), components=8)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_ngram_jaccard, op3_exact_dedup, op4_best_fit_packing, op5_suffix_dedup, op6_sharding, op7_warc, op8_toxicity, op9_quality_rules, op10_license_scan)}
+    return {f.__name__: f for f in (
+        op1_byte_bpe, op2_ngram_jaccard, op3_exact_dedup, op4_best_fit_packing, op5_suffix_dedup, op6_sharding, op7_warc, op8_toxicity, op9_quality_rules,
+        op10_license_scan, op11_token_counts, op12_centroid_clustering, op13_embedding_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
