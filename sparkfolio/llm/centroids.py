@@ -4,9 +4,10 @@
    2^bits cells a dimension.
 2. One pass writes each vector as a record of fixed width into files of the shared folder, and a
    table with its cells (one byte a dimension) and its place in those files.
-3. A round reads the cells only.  Tables of the least and the greatest squared distance between a
-   cell and a centroid's component give, by one lookup a dimension, an interval that holds a vector's distance
-   to each centroid.  Where one centroid's interval lies below all others the vector is decided; where
+3. A round reads the cells only.  Tables of the least and the greatest share of a cell in the squared
+   distance to a centroid give, by one lookup a dimension, an interval that holds a vector's distance
+   to each centroid (less its distance to their middle, which is common to all and would widen
+   the intervals).  Where one centroid's interval lies below all others the vector is decided; where
    intervals overlap its record is fetched and the distances are exact.
 4. Sums change by the vectors that change their cluster: their records are fetched too.
    (In the first round that is every vector.)  Partial sums meet in an aggregate of (cluster, dimension).
@@ -38,7 +39,7 @@ BITS = 8
 #: Components up to this size: squared distances of 64 dimensions fit 64 bits.
 MOST = float(1 << 17)
 #: Bytes between two wanted records that are read over rather than skipped.
-GAP = 1 << 14
+GAP = 1 << 12
 #: Vectors that one numpy step works on.
 STEP = 4096
 
@@ -79,15 +80,21 @@ def cells_of(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def distance_tables(centroids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Least and greatest squared distance of a component in a cell to a centroid's (centroid, dimension, cell)."""
-    below, above = starts[None] - centroids[:, :, None], centroids[:, :, None] - ends[None]
-    near = np.maximum(np.maximum(below, above), 0)
-    far = np.maximum(np.abs(below), np.abs(above))
-    return near * near, far * far
+    """Least and greatest share of a dimension in the squared distance to a centroid, by cell (centroid, dimension, cell).
+
+    Each share is taken less that of the distance to the centroids' middle m, which is the same for all centroids:
+    (x - c)^2 - (x - m)^2 = c^2 - m^2 - 2x(c - m) is linear in x, so its bounds are at a cell's ends and as
+    narrow as c is close to m.
+    """
+    middle = centroids.sum(axis=0) // len(centroids)
+    off = (centroids - middle)[:, :, None]
+    fixed = (centroids**2 - middle**2)[:, :, None]
+    one, two = fixed - 2 * starts[None] * off, fixed - 2 * ends[None] * off
+    return np.minimum(one, two), np.maximum(one, two)
 
 
 def intervals(cells: np.ndarray, tables: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Bounds of each vector's squared distance to each centroid (vector, centroid)."""
+    """Bounds of each vector's squared distance to each centroid, less that to their middle (vector, centroid)."""
     at = np.arange(cells.shape[1])
     low, high = (np.stack([t[k][at, cells].sum(axis=1) for k in range(len(t))], axis=1) for t in tables)
     return low, high
