@@ -1,13 +1,12 @@
 """Jaccard join of documents on word shingles by T-occurrence search (DivideSkip).
 
 1. Equal shingle sets become one set; only different sets are compared.
-2. Shingles are ordered from rare to frequent by a fixed-size count sketch over all documents
-   (any order gives the same result, a good one makes short lists).  Two sets that link share
-   one of their first ``n - ceil(t * n) + 1`` shingles; these keys form inverted lists.
-3. Longer lists are cut by size.  Sets that share only short lists (``SMALL`` sets at most) are paired and the shared keys of a
-   pair counted; a pair that cannot reach the overlap with the rest of its shingles is dropped,
-   the others meet in the block of the smaller set.  All sets of a longer list meet in the block
-   of the list's smallest set.  A block is cut into chunks
+2. Sets that may link are brought together.  The shingles of a set are dealt into buckets by their hash.  Two sets that
+   link differ in D shingles at most, so all but D of their buckets are equal; put in any order that both
+   share (larger buckets first), the first equal bucket is among the first D + 1 buckets of each.  The contents of
+   these buckets are a set's keys.  A key holds several shingles, so unlike texts hardly ever
+   share one, however many texts there are and however common their shingles.
+3. All sets of a key meet in the block of the key's smallest set.  A block is cut into chunks
    of bounded size; in a chunk an inverted index over whole sets answers each T-occurrence
    query: short lists are heap-merged, long lists probed by binary search, and what reaches the
    required overlap links.  A set that is already connected to a candidate does not ask again,
@@ -19,26 +18,25 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 from heapq import merge
 from itertools import groupby
-from math import log, log2
+from math import log2
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkfolio.llm.common import LOWER, keep_rows, mix, raw, shingles, text_hash, text_slices, words, written
 from sparkfolio.llm.components import components
 from sparkfolio.llm.wordstore import gather
 
-#: Counters of the frequency sketch, whatever the input.
-BUCKETS = 1 << 18
-#: Sets that one chunk indexes.
+#: Sets that one chunk indexes, and shingles of all of them (one set at least).
 CHUNK = 200
-#: Sets of a list whose pairs are counted; longer lists go to blocks as a whole.
-SMALL = 16
+CHUNK_SHINGLES = 400_000
 #: Weight of the list length in DivideSkip's choice of long lists.
 MU = 0.0085
 
@@ -50,38 +48,62 @@ def text_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndar
     return [np.unique(shingles(hashes[e - c : e], width)) for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
 
 
-def prefix_length(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1
+@lru_cache(maxsize=8)
+def bands(percent: int) -> list[int]:
+    """First sizes of the bands of sizes.  A band is wide enough that sets that link are in one or in two neighbouring ones."""
+    starts = [1]
+    while starts[-1] < 1 << 40:
+        starts.append(max(starts[-1] + 1, -(-starts[-1] * 100**3 // percent**3)))
+    return starts
 
 
-def _sketch(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
-        for batch in text_slices(batches):
-            got = text_sets(*raw(batch.column("text")), width)
-            total += np.bincount((np.concatenate(got) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["bucket", "n"])
-    return run
+def most_apart(a: int, b: int, percent: int) -> int:
+    """Shingles in which sets of ``a`` and ``b`` shingles differ at most if they link."""
+    return (a + b) * (100 - percent) // (100 + percent)
+
 
+def bucket_keys(hashes: np.ndarray, percent: int) -> np.ndarray:
+    """Keys of a set (sorted hashes): different sets that link share one at least.
 
-def _prefixes(width: int, percent: int, level: np.ndarray):
+    A pair belongs to the band of its larger set, which tells the number of buckets; so a set
+    has keys for its own band and, if a partner can be there, for the next one.
+    """
+    n, starts = len(hashes), bands(percent)
+    own, largest = bisect_right(starts, n) - 1, 100 * n // percent
+    mixed, out = mix(hashes), [np.zeros(0, np.uint64)]
+    for band in (own, own + 1):
+        apart = most_apart(n, min(largest, starts[band + 1] - 1), percent)
+        if largest < starts[band] or not apart:
+            continue  # no partner there, or only equal sets
+        top = most_apart(starts[band + 1], starts[band + 1], percent)
+        buckets = top + top // 2 + 4
+        of = ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)  # ascends with the hash
+        used, first, count = np.unique(of, return_index=True, return_counts=True)
+        content = mix(np.add.reduceat(mixed, first) + count.astype(np.uint64))
+        if len(used) <= apart:  # empty buckets can be equal too; they come last
+            empty = np.setdiff1d(np.arange(buckets), used)
+            used, count, content = np.concatenate([used, empty]), np.concatenate([count, np.zeros_like(empty)]), np.concatenate([content, mix(empty.astype(np.uint64))])
+        best = np.lexsort((content, -count))[: apart + 1]
+        out.append(mix(content[best] + used[best].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((band + 1) * 0xD1B54A32D192ED03 & (1 << 64) - 1)))
+    return np.concatenate(out)
+
+
+def _signed(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            sizes, names, prefixes = [], [], []
+            sizes, names, keys = [], [], []
             for got in text_sets(*raw(batch.column("text")), width):
                 sizes.append(len(got))
                 if not len(got):
                     names.append(None)
-                    prefixes.append(None)
+                    keys.append(None)
                     continue
                 names.append(b"".join(int(np.bitwise_xor.reduce(x)).to_bytes(8, "big") for x in (mix(got), mix(got * np.uint64(0x9E3779B97F4A7C15) + np.uint64(5)))))
-                k = prefix_length(len(got), percent)
-                rank = level[(got & np.uint64(BUCKETS - 1)).astype(np.int64)]
-                first = np.argsort(rank, kind="stable")[:k]  # equal levels: by hash
-                prefixes.append(got[first].view(np.int64))
+                keys.append(bucket_keys(got, percent).view(np.int64))
+            short = [None if name is None else int.from_bytes(name[:8], "big", signed=True) for name in names]
             columns = {c: batch.column(c) for c in batch.schema.names if c != "text"}
-            columns |= {"n_shingles": pa.array(sizes, pa.int64()), "set_name": pa.array(names, pa.binary()), "prefix": pa.array(prefixes, pa.list_(pa.int64()))}
+            columns |= {"n_shingles": pa.array(sizes, pa.int64()), "set_name": pa.array(names, pa.binary()), "short_name": pa.array(short, pa.int64()),
+                        "keys": pa.array(keys, pa.list_(pa.int64()))}
             yield pa.RecordBatch.from_pydict(columns)
     return run
 
@@ -228,40 +250,6 @@ def _second_round(width: int, percent: int):
     return run
 
 
-def _band(size: Column, percent: int) -> Column:
-    """Size band: similar sets are in one band or in neighbouring ones."""
-    return F.floor(F.log(size) / log(100 / percent) + 1e-9).cast("int") if percent < 100 else size.cast("int")
-
-
-def _banded(hits: DataFrame, percent: int) -> DataFrame:
-    """Longer lists cut by size: each set goes to its own band's list and to the next one, so that
-    similar sets meet in the band of the larger.  Lists of one set go."""
-    parts = hits.select("key", "rid", "size", F.explode(F.array(_band(F.col("size"), percent), _band(F.col("size"), percent) + 1)).alias("band"))
-    parts = parts.withColumn("key", F.xxhash64("key", "band"))
-    uses = parts.groupBy("key").agg(F.count("*").alias("uses")).filter("uses > 1").withColumnRenamed("key", "b_key")
-    return parts.join(uses, F.col("key") == F.col("b_key")).select("key", "rid", "size", "uses", "band")
-
-
-def _close_pairs(hits: DataFrame, percent: int) -> DataFrame:
-    """(key, leader, rid) of the pairs of short lists that share enough keys, each as a list of two.
-
-    All common shingles up to the end of one of the two prefixes are among the shared keys, so
-    the overlap is at most their number plus what follows the longer rest; two sets whose
-    shared keys are all in short lists have every one of them counted here.
-    """
-    lists = hits.groupBy("key", "band").agg(F.collect_list(F.struct("rid", "size")).alias("m"))
-    # two sets meet in a second band too when they are in one: the band of the larger counts
-    here = lambda a, b: F.col("band").isNull() | (_band(F.greatest(a["size"], b["size"]), percent) == F.col("band"))
-    alike = lambda a, b: (b["rid"] > a["rid"]) & here(a, b) & (100 * a["size"] >= percent * b["size"]) & (100 * b["size"] >= percent * a["size"])
-    pairs = F.flatten(F.transform(F.col("m"), lambda a: F.transform(F.filter("m", lambda b: alike(a, b)), lambda b: F.struct(
-        a["rid"].alias("leader"), b["rid"].alias("rid"), a["size"].alias("n1"), b["size"].alias("n2")))))
-    counted = lists.select(F.explode(pairs).alias("p")).select("p.*").groupBy("leader", "rid", "n1", "n2").agg(F.count("*").alias("have"))
-    need = F.ceil(percent * (F.col("n1") + F.col("n2")) / (100 + percent))
-    rest = F.ceil(percent * F.greatest("n1", "n2") / 100) - 1
-    close = counted.filter(F.col("have") >= need - rest).withColumn("key", F.xxhash64("leader", "rid"))
-    return close.select("key", "leader", F.explode(F.array("leader", "rid")).alias("rid"))
-
-
 def _blocks(lists: DataFrame) -> DataFrame:
     """(leader, rid): blocks in which the sets of every list (key, leader, rid) meet.
 
@@ -282,29 +270,22 @@ def near_links(docs: DataFrame, width: int = 5, percent: int = 80, chunk: int =
     different set, and links (u, v) between rids: v is connected with u by similar pairs that
     were verified on whole sets.  All pairs of sets that are similar are connected by links.
     """
-    spark = docs.sparkSession
-    counts = docs.select("text").mapInArrow(_sketch(width), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    level = np.zeros(BUCKETS, np.uint8)
-    got = counts.toArrow()  # BUCKETS rows at most
-    level[got.column("bucket").to_numpy()] = np.round(4 * np.log2(1 + got.column("n").to_numpy())).astype(np.uint8)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    rows = written(docs.mapInArrow(_prefixes(width, percent, level), f"{kinds}, n_shingles long, set_name binary, prefix array<long>"))
-    sets = rows.filter("set_name is not null").groupBy("set_name").agg(F.min("doc_id").alias("first_id"))
+    rows = written(docs.mapInArrow(_signed(width, percent), f"{kinds}, n_shingles long, set_name binary, short_name long, keys array<long>"))
+    sets = rows.filter("set_name is not null").groupBy("set_name").agg(F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("size"))
     sets = written(sets.withColumn("rid", F.monotonically_increasing_id()))
-    # the prefixes of one row of each set; rows that repeat an id add no other set to a list
-    first_rows = rows.join(sets.withColumnRenamed("set_name", "s_name"), (F.col("set_name") == F.col("s_name")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
-    keys = first_rows.select("rid", F.col("n_shingles").alias("size"), F.explode("prefix").alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("uses")).filter("uses > 1")
-    hits = written(keys.join(shared, "key"))
-    hits = hits.filter(F.col("uses") <= SMALL).withColumn("band", F.lit(None).cast("int")).unionByName(_banded(hits.filter(F.col("uses") > SMALL), percent))
-    hits = written(hits)
-    long = hits.filter(F.col("uses") > SMALL)
-    leaders = long.groupBy("key").agg(F.min("rid").alias("leader"))
-    lists = written(long.select("key", "rid").join(leaders, "key").select("key", "leader", "rid").unionByName(_close_pairs(hits.filter(F.col("uses") <= SMALL), percent)))
-    blocks = written(_blocks(lists))
-    sizes = blocks.groupBy("leader").agg(F.count("*").alias("size"))
-    chunks = sizes.select("leader", F.ceil(F.col("size") / chunk).cast("int").alias("chunks"))
-    placed = blocks.join(chunks, "leader").withColumn("chunk", F.pmod(F.xxhash64("rid"), F.col("chunks")).cast("int"))
+    # a key is shared when two different sets have it; copies of a set fall together before the shuffle
+    uses = rows.select("short_name", F.explode("keys").alias("key")).groupBy("key").agg(F.min("short_name").alias("a"), F.max("short_name").alias("b"))
+    shared = written(uses.filter("a <> b").select("key"))
+    hits = written(rows.select("set_name", F.explode("keys").alias("key")).join(shared, "key", "left_semi").distinct())
+    hits = written(hits.join(sets.select("set_name", "rid"), "set_name").select("key", "rid"))
+    leaders = written(hits.groupBy("key").agg(F.min("rid").alias("leader")))
+    lists = written(hits.join(leaders, "key").select("key", "leader", "rid"))
+    blocks = written(_blocks(lists).join(sets.select("rid", "size"), "rid"))
+    sizes = blocks.groupBy("leader").agg(F.count("*").alias("sets"), F.sum("size").alias("shingles"))
+    chunks = sizes.select("leader", F.greatest(F.ceil(F.col("sets") / chunk), F.ceil(F.col("shingles") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
+    chunks = written(chunks)
+    placed = blocks.drop("size").join(chunks, "leader").withColumn("chunk", F.pmod(F.xxhash64("rid"), F.col("chunks")).cast("int"))
     leaders = chunks.select("leader", F.col("leader").alias("rid"), "chunks", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
     placed = placed.filter("rid <> leader").unionByName(leaders)
     bodies = docs.select("doc_id", "text")
@@ -332,15 +313,14 @@ def near_links(docs: DataFrame, width: int = 5, percent: int = 80, chunk: int =
         asked = placed.join(apart.select("leader").distinct(), "leader", "left_semi").select("leader", "rid", "chunk", F.lit(False).alias("asks"))
         second = with_texts(asking.unionByName(asked)).repartition("leader", "chunk").sortWithinPartitions("leader", "chunk").mapInArrow(_second_round(width, percent), _FOUND)
         links = links.unionByName(written(second).select("u", "v"))
-    return rows.drop("prefix"), sets, links
+    return rows.drop("keys", "short_name"), sets, links
 
 
 def _named(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = np.zeros(BUCKETS, np.uint8)
         for batch in text_slices(batches):
             part = pa.RecordBatch.from_arrays([batch.column("text"), batch.column("text")], names=["doc_id", "text"])
-            for named in _prefixes(width, 100, level)(iter([part])):
+            for named in _signed(width, 100)(iter([part])):
                 yield pa.RecordBatch.from_arrays([named.column("set_name"), named.column("doc_id")], names=["set_name", "text"])
     return run
 

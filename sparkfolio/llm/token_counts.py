@@ -149,5 +149,6 @@ def count_tokens(docs: DataFrame, model: str, cache: str | None = None, most: in
     counted = fresh.select("digest", "text").mapInArrow(_encoded(model), "digest binary, n_tokens long")
     counted = counted.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))  # a row repeated with its id may be in several tasks
     counted.withColumn("tokenizer", F.lit(tokenizer)).write.mode("append").partitionBy("tokenizer").parquet(cache)
-    known = stored_counts(docs, cache, tokenizer).withColumnRenamed("digest", "k_digest")
+    # one written row per text of this table, so that Spark can split the join at a text that many rows share
+    known = written(chosen.select("digest").join(stored_counts(docs, cache, tokenizer), "digest")).withColumnRenamed("digest", "k_digest")
     return rows.join(known, F.col("digest") == F.col("k_digest")).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > most).alias("over_limit"))

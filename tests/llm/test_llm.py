@@ -119,6 +119,17 @@ def brute_components(texts: list[tuple], width: int, percent: int) -> list[tuple
     return sorted(out, key=repr)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.integers(0, 10**6), st.integers(1, 400), st.integers(0, 60), st.integers(0, 60), st.sampled_from([50, 80, 90, 99]))
+def test_sets_that_link_share_a_key(seed, n, gone, new, percent):
+    rng = np.random.default_rng(seed)
+    one = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+    two = np.unique(np.concatenate([rng.permutation(one)[gone:], rng.integers(0, 1 << 63, new, dtype=np.uint64) * np.uint64(2)]))
+    both = len(np.intersect1d(one, two))
+    if len(two) and both < max(len(one), len(two)) and 100 * both >= percent * (len(one) + len(two) - both):
+        assert len(np.intersect1d(ngram_join.bucket_keys(one, percent), ngram_join.bucket_keys(two, percent)))
+
+
 @pytest.mark.parametrize(("width", "percent", "chunk"), [(3, 90, 400), (5, 80, 400), (3, 80, 1)])
 def test_near_groups(odd, empty, width, percent, chunk):
     assert rows(ngram_join.near_groups(odd, width, percent, chunk=chunk)) == brute_components(ODD, width, percent)
