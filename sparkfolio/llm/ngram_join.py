@@ -68,6 +68,8 @@ def bucket_keys(hashes: np.ndarray, percent: int) -> np.ndarray:
     A pair belongs to the band of its larger set, which tells the number of buckets; so a set
     has keys for its own band and, if a partner can be there, for the next one.
     """
+    if percent >= 100:
+        return np.zeros(0, np.uint64)  # only equal sets link
     n, starts = len(hashes), bands(percent)
     own, largest = bisect_right(starts, n) - 1, 100 * n // percent
     mixed, out = mix(hashes), [np.zeros(0, np.uint64)]
