@@ -53,7 +53,7 @@ def bands(percent: int) -> list[int]:
     """First sizes of the bands of sizes.  A band is wide enough that sets that link are in one or in two neighbouring ones."""
     starts = [1]
     while starts[-1] < 1 << 40:
-        starts.append(max(starts[-1] + 1, -(-starts[-1] * 100**3 // percent**3)))
+        starts.append(max(starts[-1] + 1, -(-starts[-1] * 100**6 // percent**6)))
     return starts
 
 
@@ -253,16 +253,15 @@ def _second_round(width: int, percent: int):
 
 
 def _blocks(lists: DataFrame) -> DataFrame:
-    """(leader, rid): blocks in which the sets of every list (key, leader, rid) meet.
+    """(leader, rid): blocks in which the sets of every list (leader, rid) meet.
 
     A set's home is the smallest leader of its lists, and it is in the block of its home.  A list
     whose sets have one home needs no block of its own; the others keep theirs.  So a group of
-    copies, whose lists have several leaders, is brought together once.  (Lists with one key by
-    a collision are judged together, which can only keep more.)
+    copies, whose lists have several leaders, is brought together once.
     """
-    homes = lists.groupBy("rid").agg(F.min("leader").alias("home"))
-    torn = lists.join(homes, "rid").groupBy("key").agg(F.min("home").alias("a"), F.max("home").alias("b")).filter("a <> b").select("key")
-    return homes.select(F.col("home").alias("leader"), "rid").unionByName(lists.join(torn, "key", "left_semi").select("leader", "rid")).distinct()
+    homes = written(lists.groupBy("rid").agg(F.min("leader").alias("home")))
+    torn = lists.join(homes, "rid").groupBy("leader").agg(F.min("home").alias("a"), F.max("home").alias("b")).filter("a <> b").select("leader")
+    return homes.select(F.col("home").alias("leader"), "rid").unionByName(lists.join(torn, "leader", "left_semi").select("leader", "rid")).distinct()
 
 
 def near_links(docs: DataFrame, width: int = 5, percent: int = 80, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -273,16 +272,17 @@ def near_links(docs: DataFrame, width: int = 5, percent: int = 80, chunk: int =
     were verified on whole sets.  All pairs of sets that are similar are connected by links.
     """
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    rows = written(docs.mapInArrow(_signed(width, percent), f"{kinds}, n_shingles long, set_name binary, short_name long, keys array<long>"))
-    sets = rows.filter("set_name is not null").groupBy("set_name").agg(F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("size"))
-    sets = written(sets.withColumn("rid", F.monotonically_increasing_id()))
-    # a key is shared when two different sets have it; copies of a set fall together before the shuffle
-    uses = rows.select("short_name", F.explode("keys").alias("key")).groupBy("key").agg(F.min("short_name").alias("a"), F.max("short_name").alias("b"))
-    shared = written(uses.filter("a <> b").select("key"))
-    hits = written(rows.select("set_name", F.explode("keys").alias("key")).join(shared, "key", "left_semi").distinct())
-    hits = written(hits.join(sets.select("set_name", "rid"), "set_name").select("key", "rid"))
-    leaders = written(hits.groupBy("key").agg(F.min("rid").alias("leader")))
-    lists = written(hits.join(leaders, "key").select("key", "leader", "rid"))
+    signed = docs.mapInArrow(_signed(width, percent), f"{kinds}, n_shingles long, set_name binary, short_name long, keys array<long>")
+    rows = written(signed.withColumn("row", F.monotonically_increasing_id()))
+    sets = rows.filter("set_name is not null").groupBy("set_name").agg(F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("size"), F.min("row").alias("rid"))
+    sets = written(sets)
+    # A key is shared when two different sets have it; copies of a set fall together before the shuffle.  The
+    # smallest row with a key is the smallest of its set, and so the rid of the key's leader.
+    uses = rows.select("short_name", "row", F.explode("keys").alias("key")).groupBy("key").agg(F.min("short_name").alias("a"), F.max("short_name").alias("b"), F.min("row").alias("leader"))
+    shared = written(uses.filter("a <> b").select("key", "leader"))
+    hits = written(rows.select("row", F.explode("keys").alias("key")).join(shared, "key").select("leader", "row").distinct())
+    rids = rows.select("row", "set_name").join(sets.select("set_name", "rid"), "set_name").select("row", "rid")
+    lists = written(hits.join(written(rids), "row").select("leader", "rid").distinct())
     blocks = written(_blocks(lists).join(sets.select("rid", "size"), "rid"))
     sizes = blocks.groupBy("leader").agg(F.count("*").alias("sets"), F.sum("size").alias("shingles"))
     chunks = sizes.select("leader", F.greatest(F.ceil(F.col("sets") / chunk), F.ceil(F.col("shingles") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
@@ -294,8 +294,8 @@ def near_links(docs: DataFrame, width: int = 5, percent: int = 80, chunk: int =
 
     def with_texts(places: DataFrame) -> DataFrame:
         """A text of each set; the set's document of smallest id has it."""
-        of = sets.select(F.col("rid").alias("of_rid"), "set_name", "first_id").join(places.select(F.col("rid").alias("p_rid")).distinct(), F.col("of_rid") == F.col("p_rid"), "left_semi")
-        named = bodies.join(of.withColumnRenamed("set_name", "of_name"), F.col("doc_id").eqNullSafe(F.col("first_id")))
+        of = written(sets.select(F.col("rid").alias("of_rid"), "first_id").join(places.select(F.col("rid").alias("p_rid")).distinct(), F.col("of_rid") == F.col("p_rid"), "left_semi"))
+        named = bodies.join(of, F.col("doc_id").eqNullSafe(F.col("first_id")))
         return places.join(named.select("of_rid", "text"), F.col("rid") == F.col("of_rid")).drop("of_rid")
 
     if rows.filter("doc_id is null").limit(1).count() or rows.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():
@@ -315,7 +315,7 @@ def near_links(docs: DataFrame, width: int = 5, percent: int = 80, chunk: int =
         asked = placed.join(apart.select("leader").distinct(), "leader", "left_semi").select("leader", "rid", "chunk", F.lit(False).alias("asks"))
         second = with_texts(asking.unionByName(asked)).repartition("leader", "chunk").sortWithinPartitions("leader", "chunk").mapInArrow(_second_round(width, percent), _FOUND)
         links = links.unionByName(written(second).select("u", "v"))
-    return rows.drop("keys", "short_name"), sets, links
+    return rows.drop("keys", "short_name", "row"), sets, links
 
 
 def _named(width: int):
