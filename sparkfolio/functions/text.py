@@ -167,19 +167,19 @@ def is_report(c: Column) -> Column:
     return ~is_blank(c) & ~bad
 
 
-# Words of survey wording, by the letter of their class.
-SURVEY_WORDS = {
-    "d": ("a", "an", "the"),
-    "j": ("bibliometric", "brief", "broad", "comprehensive", "concise", "critical", "current", "detailed", "extensive", "focused", "holistic",
-          "in-depth", "narrative", "quick", "recent", "scoping", "short", "state-of-the-art", "structured", "thorough", "unified", "up-to-date"),
-    "s": ("systematic",), "l": ("literature",), "m": ("mapping",), "y": ("study",),
-    "n": ("survey", "surveys"), "r": ("review", "overview"),
-    "t": ("analysis", "challenges", "direction", "directions", "future", "open", "opportunities", "outlook", "perspective", "perspectives",
-          "problem", "problems", "prospect", "prospects", "roadmap", "taxonomy", "tutorial"),
-    "c": ("and", "&"), "p": ("on", "of", "for", "in"), "q": ("about", "to", "into"), "w": ("with",),
-}
-#: Survey wording over the classes of a title's words: a phrase, what it is joined with, a preposition.
-SURVEY_PHRASE = "(?:d?[js]*(?:n|s?lr|sr|smy?)|d[js]*r|[js]+r)(?:ct+)*[pq]?"
+# Survey wording of titles.
+ARTICLES = ("a", "an", "the")
+SURVEY_ADJECTIVES = ("comprehensive", "systematic", "brief", "critical", "short", "recent", "detailed", "in-depth", "extensive", "thorough",
+                     "concise", "structured", "focused", "scoping", "narrative", "bibliometric", "state-of-the-art", "current", "up-to-date",
+                     "quick", "holistic", "unified", "broad")
+SURVEY_NAMES = ("systematic literature review", "literature review", "systematic review", "systematic mapping study", "systematic mapping",
+                "survey", "surveys")
+OVERVIEW_NAMES = ("review", "overview")
+JOINING_WORDS = ("and", "&")
+SURVEY_COMPANIONS = ("taxonomy", "outlook", "perspective", "perspectives", "challenges", "analysis", "future directions", "open problem",
+                     "open problems", "tutorial", "roadmap", "prospect", "prospects", "opportunities")
+SURVEY_PREPOSITIONS = ("on", "of", "for", "in", "about", "to", "into")
+LOOSE_WORDS = ("and", "of", "on", "for", "in", "the", "a", "an", "with")
 
 
 def bound(value: Column, use) -> Column:
@@ -187,33 +187,65 @@ def bound(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
-def _classes(tokens: Column) -> Column:
-    """One letter a word: its class, ``x`` for any other word, ``|`` for a separator."""
-    table = literal_map({w: k for k, words_ in SURVEY_WORDS.items() for w in words_})
-    separator = lambda t: t.rlike("^(?:[:;|]|[-\u2013\u2014]+)$")
-    return F.array_join(F.transform(tokens, lambda t: F.when(separator(t), F.lit("|")).otherwise(F.coalesce(F.try_element_at(table, F.lower(t)), F.lit("x")))), "")
+def _names_at(words: Column, at: Column, names: tuple[str, ...]) -> Column:
+    """Number of words of the longest of ``names`` that starts at word ``at``; 0 when none does."""
+    found = F.lit(0)
+    for n in sorted({len(name.split()) for name in names}):
+        here = F.array_join(F.slice(words, at, n), " ")
+        found = F.when(here.isin(*[name for name in names if len(name.split()) == n]), n).otherwise(found)
+    return found
+
+
+def _run_of(words: Column, at: Column, known: tuple[str, ...]) -> Column:
+    """Number of words from ``at`` on that are all in ``known``."""
+    rest = F.transform(F.slice(words, at, F.size(words)), lambda w: w.isin(*known))
+    first = F.array_position(rest, F.lit(False))
+    return F.when(first == 0, F.size(rest)).otherwise(first - 1).cast("int")
+
+
+def _phrase_at(words: Column, at: Column) -> Column:
+    """Number of words of the survey phrase that starts at word ``at`` (0: none).
+
+    An article and adjectives may stand before a survey's name; a review or overview needs one of them.  What is
+    joined to the name by "and", and one preposition, belong to the phrase.
+    """
+    def named(state: Column) -> Column:
+        start = state["start"]
+        plain = F.greatest(_names_at(words, start, SURVEY_NAMES), F.when(start > at, _names_at(words, start, OVERVIEW_NAMES)).otherwise(0))
+        # an adjective can be the first word of a name
+        earlier = F.when(state["adjectives"] > 0, _names_at(words, start - 1, SURVEY_NAMES)).otherwise(0)
+        return F.when(plain > 0, start + plain).when(earlier > 0, start - 1 + earlier).otherwise(0)
+
+    def companions(end: Column) -> Column:
+        step = lambda e, _: bound(F.when(F.get(words, e - 1).isin(*JOINING_WORDS), _names_at(words, e + 1, SURVEY_COMPANIONS)).otherwise(0),
+                                  lambda n: F.when(n > 0, e + 1 + n).otherwise(e))
+        return F.aggregate(words, end, step)
+
+    article = F.when(F.get(words, at - 1).isin(*ARTICLES), 1).otherwise(0)
+    state = bound(at + article, lambda first: bound(_run_of(words, first, SURVEY_ADJECTIVES), lambda n: F.struct(n.alias("adjectives"), (first + n).alias("start"))))
+    end = bound(bound(state, named), lambda e: F.when(e > 0, companions(e)).otherwise(0))
+    return bound(end, lambda e: F.when(e > 0, e + F.when(F.get(words, e - 1).isin(*SURVEY_PREPOSITIONS), 1).otherwise(0) - at).otherwise(0))
 
 
 def topic_query(title: Column) -> Column:
     """Topic of a survey title: survey wording, separators and dangling connectors removed.
 
-    Words become class letters, so that a phrase is a pattern over letters and its place in the
-    letters is its place among the words.  Fewer than two words left: the title without its
-    separators.
+    Fewer than two words left: the title without its separators.
     """
     original = squeeze(F.coalesce(title, F.lit("")))
     separator = lambda t: t.rlike("^(?:[:;|]|[-\u2013\u2014]+)$")
     # a word that is only punctuation, or a connector, does not stand at either end
-    loose = lambda t: F.regexp_replace(F.lower(t), "^[,.&\u2013\u2014-]+|[,.&\u2013\u2014-]+$", "").isin("", *SURVEY_WORDS["d"], *SURVEY_WORDS["p"], *SURVEY_WORDS["w"], "and")
-
-    def unworded(tokens: Column, classes: Column) -> Column:
-        between = F.split(classes, SURVEY_PHRASE, -1)
-        phrases = F.regexp_extract_all(classes, F.lit(SURVEY_PHRASE), F.lit(0))
-        start = F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("kept"))
-        pairs = F.arrays_zip(between.alias("b"), phrases.alias("p"))
-        return F.aggregate(pairs, start, lambda s, x: F.struct(
-            (s["at"] + F.length(x["b"]) + F.coalesce(F.length(x["p"]), F.lit(0))).alias("at"),
-            F.concat(s["kept"], F.slice(tokens, s["at"], F.length(x["b"]))).alias("kept")))["kept"]
+    loose = lambda t: F.regexp_replace(F.lower(t), "^[,.&\u2013\u2014-]+|[,.&\u2013\u2014-]+$", "").isin("", *LOOSE_WORDS)
+
+    def unworded(tokens: Column) -> Column:
+        """Words outside survey phrases, read from left to right."""
+        def kept(words: Column) -> Column:
+            lengths = F.transform(F.sequence(F.lit(1), F.size(words)), lambda at: _phrase_at(words, at))
+            spans = F.aggregate(lengths, F.struct(F.lit(0).alias("skip"), F.array().cast("array<boolean>").alias("out")), lambda s, n: F.struct(
+                F.when(s["skip"] > 0, s["skip"] - 1).when(n > 0, n - 1).otherwise(0).alias("skip"),
+                F.concat(s["out"], F.array((s["skip"] == 0) & (n == 0))).alias("out")))["out"]
+            return bound(spans, lambda keep: F.filter(tokens, lambda _, i: F.get(keep, i)))
+        return F.when(F.size(tokens) == 0, tokens).otherwise(bound(F.transform(tokens, lambda t: F.lower(t)), kept))
 
     def firm(left: Column) -> Column:
         ends = F.aggregate(left, F.struct(F.lit(0).alias("at"), F.lit(0).alias("low"), F.lit(0).alias("high")), lambda s, t: F.struct(
@@ -222,8 +254,7 @@ def topic_query(title: Column) -> Column:
         return bound(ends, lambda e: F.when(e["low"] == 0, F.lit("")).otherwise(F.array_join(F.slice(left, F.greatest(e["low"], F.lit(1)), e["high"] - e["low"] + 1), " ")))
 
     def topic(tokens: Column) -> Column:
-        left = bound(_classes(tokens), lambda classes: unworded(tokens, classes))
-        text = bound(F.filter(left, lambda t: ~separator(t)), firm)
+        text = bound(F.filter(unworded(tokens), lambda t: ~separator(t)), firm)
         return F.regexp_replace(text, "^[ ,.&\u2013\u2014-]+|[ ,.&\u2013\u2014-]+$", "")
 
     plain = squeeze(F.regexp_replace(original, "[:;|]", " "))

@@ -160,6 +160,11 @@ def citer_pool(seeds: DataFrame, selected: DataFrame, cites: DataFrame, works: D
         "set_id", F.col("source").alias("work_id"), "freq", (F.col("kind") == 1).alias("direct"))
 
 
+def places(value: Column, n: int) -> Column:
+    """A number of nine places rounded half up to ``n``, as a decimal: a tie is not left to a double's last bit."""
+    return F.round(value.cast("decimal(18,9)"), n).cast("double")
+
+
 def coupling(pool: DataFrame, seeds: DataFrame, work_refs: DataFrame, works: DataFrame, n: int = MAX_NODES,
              min_shared: int = MIN_SHARED) -> DataFrame:
     """Best coupled works per set: (set_id, work_id, shared, similarity, score, rank).
@@ -182,7 +187,7 @@ def coupling(pool: DataFrame, seeds: DataFrame, work_refs: DataFrame, works: Dat
         works.select("work_id", "cited_by_count"), "work_id", "left")
     order = [F.col("score").desc(), F.coalesce("cited_by_count", F.lit(0)).desc(), F.col("work_id")]
     return topk(rows, ["set_id"], order, n).select(
-        "set_id", "work_id", "shared", F.round("cosine", 4).alias("similarity"), F.round("score", 4).alias("score"), "rank")
+        "set_id", "work_id", "shared", places(F.round("cosine", 9), 4).alias("similarity"), places(F.col("score"), 4).alias("score"), "rank")
 
 
 def coupling_pairs(nodes: DataFrame, work_refs: DataFrame) -> DataFrame:

@@ -484,12 +484,16 @@ TITLE_CHARS = (8, 300)
 
 
 def _names_venue(block: Column) -> Column:
-    """A known first word, or volume, pages or issue numbers."""
-    words = F.concat(F.regexp_replace(F.lower(block), "[^a-z0-9]+", " "), F.lit(" "))
-    start = F.lit(False)
+    """Starts with a known word, or has a volume, page numbers, a range of numbers or an issue in brackets."""
+    shape = F.regexp_replace(F.lower(block), "[0-9]+", "#")
+    start = F.concat(F.regexp_replace(shape, "[^a-z#]+", " "), F.lit(" "))
+    known = F.lit(False)
     for word in VENUE_STARTS:
-        start = start | words.startswith(f"{word} ")
-    return start | block.rlike(r"(?i)\bvol(?:ume)?\b|\bpp?\. ?\d|\d ?[\u2013-] ?\d|\d ?\(\d+\)")
+        known = known | start.startswith(f"{word} ")
+    close = F.regexp_replace(shape, r" ?([(\u2013-]) ?", "$1")
+    numbers = close.contains("#(#)") | close.contains("#-#") | close.contains("#\u2013#")
+    words = F.split(F.replace(F.regexp_replace(shape, "[^a-z#.]+", " "), F.lit("p. #"), F.lit("p.#")), " ")
+    return known | numbers | F.exists(words, lambda w: w.isin("vol", "volume") | w.startswith("vol.") | w.startswith("volume.") | w.startswith("p.#") | w.startswith("pp.#"))
 
 
 def reference_title(blocks: Column, text: Column) -> Column:

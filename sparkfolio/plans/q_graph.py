@@ -217,7 +217,7 @@ def _coupled(spark, sf):
     return sel, work_refs, works, pool, gr.coupling(pool, seeds, work_refs, works)
 
 
-@query("coupling_score", POOL + "," + _COUPLING_SQL + "SELECT set_id, work_id, shared, round(cos, 4) AS similarity, round(score, 4) AS score, rk AS rank FROM cr WHERE rk <= 40")
+@query("coupling_score", POOL + "," + _COUPLING_SQL + "SELECT set_id, work_id, shared, CAST(round(CAST(round(cos, 9) AS DECIMAL(18,9)), 4) AS DOUBLE) AS similarity, CAST(round(CAST(score AS DECIMAL(18,9)), 4) AS DOUBLE) AS score, rk AS rank FROM cr WHERE rk <= 40")
 def coupling_score(spark, sf):
     *_, top = _coupled(spark, sf)
     return top.withColumn("work_id", F.col("work_id") - _OFF)
