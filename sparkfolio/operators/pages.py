@@ -9,6 +9,7 @@ shuffled once, by page; every later window and aggregate reuses that placement.
 from __future__ import annotations
 
 import html.entities
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -65,23 +66,64 @@ def _attr(raw: Column, name: str) -> Column:
     return F.regexp_replace(value, r"""^["']|["']$""", "")
 
 
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("end", T.IntegerType()), T.StructField("rank", T.IntegerType())])))
+def element_ends(pages: pa.Array) -> pa.Array:
+    """Where each element of a page ends: the index of the end tag, and how many elements that tag has closed before it.
+
+    A page is a list with ``+name`` for a start tag, ``-name`` for an end tag and an empty string for anything else.  An
+    end tag closes the last open element of its name and all that were opened inside; without one it closes nothing.
+    Elements that are still open at the end of the page have no end.
+    """
+    ends, ranks, sizes = [], [], []
+    for marks in pages.to_pylist():
+        end, rank = [None] * len(marks), [None] * len(marks)
+        stack: list[int] = []
+        still_open: dict[str, int] = {}
+        for at, mark in enumerate(marks):
+            name = mark[1:]
+            if mark.startswith("+"):
+                stack.append(at)
+                still_open[name] = still_open.get(name, 0) + 1
+            elif mark and still_open.get(name):
+                closed, inner = 0, None
+                while inner != name:
+                    last = stack.pop()
+                    inner = marks[last][1:]
+                    still_open[inner] -= 1
+                    end[last], rank[last] = at, closed
+                    closed += 1
+        ends += end
+        ranks += rank
+        sizes.append(len(marks))
+    bounds = pa.array([0, *accumulate(sizes)], pa.int32())
+    return pa.ListArray.from_arrays(bounds, pa.StructArray.from_arrays([pa.array(ends, pa.int32()), pa.array(ranks, pa.int32())], ["end", "rank"]))
+
+
 def raw_events(pages: DataFrame) -> DataFrame:
-    """(page_id, pos, kind, tag, raw, text): open, close, void and text events in page order."""
+    """(page_id, pos, kind, tag, raw, text, end_pos): start tags, void tags and texts in page order.
+
+    ``end_pos`` is where the element of a start tag ends.  Positions leave room for the ends of all
+    elements that one end tag closes, inner ones first.
+    """
     body = F.regexp_replace(F.coalesce("html", F.lit("")), r"(?is)<(script|style)\b[^>]*>.*?(?:</\1\s*>|\z)", "")
     pattern = r"""(?s)<!--.*?(?:-->|\z)|<[!?][^>]*>|</?[a-zA-Z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>|</?[a-zA-Z][^>]*>|[^<]+|<"""
-    parts = F.regexp_extract_all(body, F.lit(pattern), F.lit(0))
-    ev = pages.select("page_id", F.posexplode(parts).alias("pos", "raw")).repartition("page_id")
-    is_tag = F.col("raw").rlike(r"^</?[a-zA-Z]")
-    ev = ev.filter(~F.col("raw").rlike(r"^<[!?]")).select(
-        "page_id", F.col("pos").cast("long").alias("pos"), "raw", is_tag.alias("is_tag"),
-        F.lower(F.regexp_extract("raw", r"^</?([a-zA-Z][a-zA-Z0-9:_-]*)", 1)).alias("tag"),
-        F.when(~is_tag, unescape(F.col("raw"))).alias("data"))
-    kind = (F.when(~F.col("is_tag"), "text").when(F.col("raw").startswith("</"), "close")
-            .when(F.col("tag").isin(*VOID) | F.col("raw").endswith("/>"), "void").otherwise("open"))
-    ev = ev.select("page_id", "pos", kind.alias("kind"), "tag", "raw", "data", squeeze(F.col("data")).alias("core"))
-    edge = lambda pattern: F.when(F.col("data").rlike(pattern), " ").otherwise("")
+    name = lambda raw: F.lower(F.regexp_extract(raw, r"^</?([a-zA-Z][a-zA-Z0-9:_-]*)", 1))
+    is_void = lambda raw: name(raw).isin(*VOID) | raw.endswith("/>")
+    mark = lambda raw: (F.when(~raw.rlike(r"^</?[a-zA-Z]"), F.lit("")).when(raw.startswith("</"), F.concat(F.lit("-"), name(raw)))
+                        .when(is_void(raw), F.lit("")).otherwise(F.concat(F.lit("+"), name(raw))))
+    cut = pages.select("page_id", F.regexp_extract_all(body, F.lit(pattern), F.lit(0)).alias("parts"))
+    cut = cut.withColumn("ends", element_ends(F.transform("parts", mark))).withColumn("width", F.size("parts").cast("long") + 1)
+    ev = cut.select("page_id", "width", F.posexplode(F.arrays_zip("parts", "ends")).alias("at", "part")).select(
+        "page_id", (F.col("at") * F.col("width")).alias("pos"), F.col("part.parts").alias("raw"),
+        (F.col("part.ends.end") * F.col("width") + F.col("part.ends.rank")).alias("end_pos")).repartition("page_id")
+    is_tag = F.col("raw").rlike(r"^<[a-zA-Z]")
+    ev = ev.filter(~F.col("raw").rlike(r"^<[!?]|^</[a-zA-Z]")).select(
+        "page_id", "pos", "end_pos", "raw", is_tag.alias("is_tag"), name(F.col("raw")).alias("tag"), F.when(~is_tag, unescape(F.col("raw"))).alias("data"))
+    kind = F.when(~F.col("is_tag"), "text").when(is_void(F.col("raw")), "void").otherwise("open")
+    ev = ev.select("page_id", "pos", "end_pos", kind.alias("kind"), "tag", "raw", "data", squeeze(F.col("data")).alias("core"))
+    edge = lambda pattern: F.when(F.col("data").rlike(pattern), " ").otherwise("")
     text = F.when(F.col("core") == "", " ").otherwise(F.concat(edge(r"^\s"), F.col("core"), edge(r"\s$")))
-    return ev.select("page_id", "pos", "kind", "tag", "raw", F.coalesce(text, F.lit("")).alias("text"))
+    return ev.select("page_id", "pos", "kind", "tag", "raw", F.coalesce(text, F.lit("")).alias("text"), "end_pos")
 
 
 def _element_kind(tag: Column, cls: Column, raw: Column) -> Column:
@@ -110,24 +152,18 @@ def _element_kind(tag: Column, cls: Column, raw: Column) -> Column:
 def page_events(pages: DataFrame) -> DataFrame:
     """Visible events with the role of each element and what it closes.
 
-    ``role`` of a close event is the role of the element it ends (``opener``); stray end
-    tags have none.  Skipped blocks are gone, a math element is one text event.
+    An element gives an open event and, where its own end tag or that of an element around it
+    closes it, a close event with the same role and the opening event as ``opener``.  Skipped
+    blocks are gone, a math element is one text event.
     """
     ev = raw_events(pages)
-    by_tag = Window.partitionBy("page_id", "tag").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    step = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
-    ev = ev.withColumn("_sum", F.sum(step).over(by_tag)).withColumn("_low", F.min("_sum").over(by_tag))
-    depth = F.col("_sum") - F.least(F.col("_low"), F.lit(0))
-    stray = (F.col("kind") == "close") & (F.col("_sum") < 0) & (F.col("_sum") == F.col("_low"))
-    label = F.when(F.col("kind") == "open", depth).when((F.col("kind") == "close") & ~stray, depth + 1)
     cls = F.when(F.col("kind") == "open", F.filter(F.split(_attr(F.col("raw"), "class"), r"\s+"), lambda c: c != ""))
-    ev = ev.withColumn("label", label).withColumn("cls", cls).withColumn(
-        "role", F.when(F.col("kind") == "open", _element_kind(F.col("tag"), F.col("cls"), F.col("raw"))))
-    pair = Window.partitionBy("page_id", "tag", "label").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    opened = F.struct(F.col("pos").alias("pos"), F.col("role").alias("role"), F.col("raw").alias("raw"))
-    ev = ev.withColumn("opener", F.when((F.col("kind") == "close") & F.col("label").isNotNull(), F.last(
-        F.when(F.col("kind") == "open", opened), ignorenulls=True).over(pair)))
-    ev = ev.withColumn("role", F.when(F.col("kind") == "close", F.col("opener.role")).otherwise(F.col("role")))
+    ev = ev.withColumn("cls", cls).withColumn("role", F.when(F.col("kind") == "open", _element_kind(F.col("tag"), F.col("cls"), F.col("raw"))))
+    opener = F.struct(F.col("pos").alias("pos"), F.col("role").alias("role"), F.col("raw").alias("raw"))
+    own = F.struct("pos", "kind", "text", "cls", F.lit(None).cast("struct<pos:bigint,role:string,raw:string>").alias("opener"))
+    end = F.struct(F.col("end_pos").alias("pos"), F.lit("close").alias("kind"), F.lit("").alias("text"), F.lit(None).cast("array<string>").alias("cls"), opener.alias("opener"))
+    both = F.when(F.col("end_pos").isNotNull(), F.array(own, end)).otherwise(F.array(own))
+    ev = ev.select("page_id", "tag", "role", "raw", F.inline(both))
     hidden = F.col("role").isin("skip", "math")
     page = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     delta = F.when(hidden & (F.col("kind") == "open"), 1).when(hidden & (F.col("kind") == "close"), -1).otherwise(0)
@@ -141,6 +177,11 @@ def page_events(pages: DataFrame) -> DataFrame:
         F.when(is_math, math_text).when((F.col("kind") == "void") & (F.col("tag") == "br"), " ").otherwise(F.col("text")).alias("text"))
 
 
+#: Columns of ``routed_events`` that count open elements of a role.
+DEPTHS = {"abs": "abstract", "head": "heading", "cap": "caption", "cont": "container", "tab": "tabular", "bib": "bibitem", "block": "bibblock",
+          "lab": "biblabel", "doc": "doctitle"}
+
+
 def routed_events(pages: DataFrame) -> DataFrame:
     """Visible events with their place: open heading, caption, container, cell, bibliography item.
 
@@ -158,32 +199,27 @@ def routed_events(pages: DataFrame) -> DataFrame:
     def last_open(cond):
         return F.last(F.when(cond, F.col("pos")), ignorenulls=True).over(page)
 
-    ev = (ev.withColumn("d_abs", depth("abstract")).withColumn("d_head", depth("heading")).withColumn("d_cap", depth("caption"))
-          .withColumn("d_cont", depth("container")).withColumn("d_tab", depth("tabular")).withColumn("d_bib", depth("bibitem"))
-          .withColumn("d_block", depth("bibblock")).withColumn("d_lab", depth("biblabel")).withColumn("d_doc", depth("doctitle")))
-    ev = ev.withColumn("d_tag", F.sum(F.when(opens("captag") & (F.col("d_cap") > 0), 1).when(
-        closes("captag") & (F.col("d_cap") > 0), -1).otherwise(0)).over(page))
-    ev = ev.withColumn("head_id", F.when(F.col("d_head") > 0, last_open(opens("heading"))))
-    by_depth = Window.partitionBy("page_id", "d_cont").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    ev = ev.withColumn("cont_id", F.when(F.col("d_cont") > 0, F.last(
-        F.when(opens("container"), F.col("pos")), ignorenulls=True).over(by_depth)))
-    ev = ev.withColumn("tab_id", F.when(F.col("d_tab") > 0, last_open(opens("tabular") & (F.col("d_tab") == 1))))
+    # windows of one order that do not need each other are added together: one sort, one operator
+    ev = ev.withColumns({f"d_{name}": depth(role) for name, role in DEPTHS.items()} | {"_head": last_open(opens("heading")), "_bib": last_open(opens("bibitem")),
+        "_block": F.last(F.when(opens("bibblock"), F.col("pos")).when(closes("bibblock"), -F.col("pos")).when(opens("bibitem"), F.lit(0)), ignorenulls=True).over(page),
+        "front": F.sum(F.when(opens("heading") & F.col("raw").rlike("ltx_title_(?:" + "|".join(k for k, v in LEVELS.items() if v == 1) + r")\b"), 1).otherwise(0)).over(page) == 0})
     row_open, row_close = opens("row") & (F.col("d_tab") == 1), closes("row") & (F.col("d_tab") == 1)
     cell_open, cell_close = opens("cell") & (F.col("d_tab") == 1), closes("cell") & (F.col("d_tab") == 1)
-    mark = lambda o, c: F.last(F.when(o, F.col("pos")).when(c, F.lit(-1)), ignorenulls=True).over(page)
-    ev = ev.withColumn("row_id", F.when(F.col("d_tab") > 0, mark(row_open, row_close)))
-    ev = ev.withColumn("cell_id", F.when(F.col("d_tab") > 0, mark(cell_open, cell_close | row_close)))
-    ev = ev.withColumn("bib_id", F.when(F.col("d_bib") > 0, last_open(opens("bibitem"))))
-    block_mark = F.last(F.when(opens("bibblock"), F.col("pos")).when(closes("bibblock"), -F.col("pos")).when(
-        opens("bibitem"), F.lit(0)), ignorenulls=True).over(page)
-    ev = ev.withColumn("block_id", F.when(F.col("d_bib") > 0, block_mark))
-    ev = ev.withColumn("front", F.sum(F.when(opens("heading") & (F.col("raw").rlike(
-        "ltx_title_(?:" + "|".join(k for k, v in LEVELS.items() if v == 1) + r")\b")), 1).otherwise(0)).over(page) == 0)
+    mark = lambda o, c: F.last(F.when(o, F.col("pos")).when(c, F.lit(-1)), ignorenulls=True).over(page)
+    by_depth = Window.partitionBy("page_id", "d_cont").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    inside = lambda depth_col, value: F.when(F.col(depth_col) > 0, value)
+    ev = ev.withColumns({
+        "d_tag": F.sum(F.when(opens("captag") & (F.col("d_cap") > 0), 1).when(closes("captag") & (F.col("d_cap") > 0), -1).otherwise(0)).over(page),
+        "head_id": inside("d_head", F.col("_head")), "bib_id": inside("d_bib", F.col("_bib")), "block_id": inside("d_bib", F.col("_block")),
+        "tab_id": inside("d_tab", last_open(opens("tabular") & (F.col("d_tab") == 1))), "row_id": inside("d_tab", mark(row_open, row_close)),
+        "cell_id": inside("d_tab", mark(cell_open, cell_close | row_close)),
+        "cont_id": inside("d_cont", F.last(F.when(opens("container"), F.col("pos")), ignorenulls=True).over(by_depth))}).drop("_head", "_bib", "_block")
     is_text = F.col("text") != ""
     route = (F.when(~is_text, None).when(F.col("d_head") > 0, "heading").when(F.col("d_cap") > 0, "caption")
              .when(F.col("d_bib") > 0, "bibliography").when(F.col("d_tab") > 0, "cell").when(F.col("d_doc") > 0, "doctitle")
              .otherwise("section"))
-    # Headings, tables, references and links all start here: store the events once.
+    # Headings, tables, references and links all start here: the events are stored once, as their plan repeated in
+    # every branch of a query takes longer to optimise than to run.
     return cut_lineage(ev.withColumn("route", route))
 
 
@@ -303,22 +339,21 @@ def tables(ev: DataFrame, scoped: DataFrame) -> DataFrame:
     grids = grids.withColumn("rows", F.slice(F.transform(filled, lambda r: r["r"]), 1, MAX_ROWS)).drop("cells")
     conts = containers(ev)
     roots = scoped.filter((F.col("kind") == "open") & (F.col("role") == "tabular") & (F.col("d_tab") == 1)).select(
-        "page_id", F.col("pos").alias("tab_id"), F.col("cont_id").alias("c1"), _attr(F.col("raw"), "id").alias("ident"),
+        "page_id", F.col("pos").alias("tab_id"), _attr(F.col("raw"), "id").alias("ident"),
         F.coalesce("scope.title", F.lit("")).alias("section"))
     ends = scoped.filter((F.col("kind") == "close") & (F.col("role") == "tabular") & (F.col("d_tab") == 0)).select(
         "page_id", F.col("opener.pos").alias("tab_id"), F.col("pos").alias("close_pos"), "target")
-    side = lambda n: conts.select("page_id", F.col("cont_id").alias(f"c{n}"), F.col("parent").alias(f"c{n + 1}"),
-                                  F.col("label").alias(f"l{n}"), F.col("caption").alias(f"k{n}"), F.col("is_table").alias(f"t{n}"))
-    t = grids.join(roots, ["page_id", "tab_id"]).join(ends, ["page_id", "tab_id"], "left")
-    for n in (1, 2, 3):
-        t = t.join(side(n), ["page_id", f"c{n}"], "left")
-    inside = F.coalesce("t1", F.lit(False)) | F.coalesce("t2", F.lit(False)) | F.coalesce("t3", F.lit(False))
+    # figure and table blocks around a table, at any depth; the innermost that has a caption or a label names it
+    blocks = conts.select("page_id", "cont_id", F.coalesce("close_pos", F.lit(2**63 - 1)).alias("block_end"), "is_table", "label", "caption")
+    has_name = (F.coalesce("caption", F.lit("")) != "") | (F.coalesce("label", F.lit("")) != "")
+    around = roots.select("page_id", "tab_id").join(blocks, "page_id").filter((F.col("cont_id") < F.col("tab_id")) & (F.col("block_end") > F.col("tab_id")))
+    around = around.groupBy("page_id", "tab_id").agg(F.bool_or("is_table").alias("in_block"), F.max_by(
+        F.struct(F.col("label").alias("l"), F.col("caption").alias("k")), F.when(has_name, F.col("cont_id"))).alias("pick"))
+    t = grids.join(roots, ["page_id", "tab_id"]).join(ends, ["page_id", "tab_id"], "left").join(around, ["page_id", "tab_id"], "left")
+    inside = F.coalesce("in_block", F.lit(False))
     non_empty = F.size(F.filter(F.flatten("rows"), lambda c: c != ""))
     t = t.filter((non_empty >= 2) & ((F.size("rows") >= 2) | inside))
-    named = lambda n: (F.coalesce(f"k{n}", F.lit("")) != "") | (F.coalesce(f"l{n}", F.lit("")) != "")
-    pick = F.when(named(1), F.struct(F.col("l1").alias("l"), F.col("k1").alias("k"))).when(
-        named(2), F.struct(F.col("l2").alias("l"), F.col("k2").alias("k"))).when(
-        named(3), F.struct(F.col("l3").alias("l"), F.col("k3").alias("k")))
+    pick = F.col("pick")
     label, caption = table_label(pick["l"], pick["k"])
     number = F.coalesce(F.nullif(F.regexp_extract("ident", r"\.T(\d+)", 1), F.lit("")),
                         F.nullif(F.regexp_extract("ident", r"^T(\d+)$", 1), F.lit("")))
@@ -329,17 +364,15 @@ def tables(ev: DataFrame, scoped: DataFrame) -> DataFrame:
 
 
 def containers(ev: DataFrame) -> DataFrame:
-    """(page_id, cont_id, close_pos, is_table, parent, label, caption) of figure and table blocks."""
-    before = Window.partitionBy("page_id").orderBy("pos")
-    parent = ev.withColumn("parent", F.lag("cont_id").over(before)).filter(
-        (F.col("kind") == "open") & (F.col("role") == "container")).select(
-        "page_id", F.col("pos").alias("cont_id"), F.array_contains("cls", "ltx_table").alias("is_table"), "parent")
+    """(page_id, cont_id, close_pos, is_table, label, caption) of figure and table blocks."""
+    opened = ev.filter((F.col("kind") == "open") & (F.col("role") == "container")).select(
+        "page_id", F.col("pos").alias("cont_id"), F.array_contains("cls", "ltx_table").alias("is_table"))
     texts = ev.filter((F.col("route") == "caption") & F.col("cont_id").isNotNull()).groupBy("page_id", "cont_id").agg(
         clean_inline(_joined(F.when(F.col("d_tag") == 0, F.col("text")).otherwise(""), F.col("pos"))).alias("caption"),
         F.regexp_replace(clean_inline(_joined(F.when(F.col("d_tag") > 0, F.col("text")).otherwise(""), F.col("pos"))), r"[: ]+$", "").alias("label"))
     ends = ev.filter((F.col("kind") == "close") & (F.col("role") == "container")).select(
         "page_id", F.col("opener.pos").alias("cont_id"), F.col("pos").alias("close_pos"))
-    return parent.join(texts, ["page_id", "cont_id"], "left").join(ends, ["page_id", "cont_id"], "left")
+    return opened.join(texts, ["page_id", "cont_id"], "left").join(ends, ["page_id", "cont_id"], "left")
 
 
 def table_label(label: Column, caption: Column) -> tuple[Column, Column]:
@@ -376,10 +409,10 @@ def section_pieces(scoped: DataFrame, heads: DataFrame, tabs: DataFrame, ev: Dat
     return out.filter(F.col("target").isin(*SECTION_CAPS))
 
 
-def empty_container_lines(scoped: DataFrame, ev: DataFrame) -> DataFrame:
-    """Captions of table blocks without cells, as one bracketed section line each."""
-    held = ev.filter(F.col("tab_id").isNotNull() & F.col("cont_id").isNotNull()).select("page_id", "cont_id").distinct()
-    bare = containers(ev).filter("is_table").join(held, ["page_id", "cont_id"], "left_anti")
+def empty_container_lines(scoped: DataFrame, ev: DataFrame, tabs: DataFrame) -> DataFrame:
+    """Captions of table blocks that hold no table, as one bracketed section line each."""
+    shown = tabs.select(F.col("page_id").alias("of_page"), "tab_id")
+    bare = containers(ev).filter("is_table").join(shown, (F.col("page_id") == F.col("of_page")) & F.col("tab_id").between(F.col("cont_id"), F.col("close_pos")), "left_anti")
     line = F.concat_ws(" ", F.nullif("label", F.lit("")), F.nullif("caption", F.lit("")))
     at = scoped.select("page_id", F.col("pos").alias("close_pos"), "target")
     return bare.join(at, ["page_id", "close_pos"]).filter(line != "").select(
@@ -392,8 +425,9 @@ def sections(pages: DataFrame, hardware: bool = True) -> DataFrame:
     ev = routed_events(pages)
     heads = headings(ev)
     scoped = scoped_events(ev, heads)
-    pieces = section_pieces(scoped, heads, tables(ev, scoped), ev).unionByName(
-        empty_container_lines(scoped, ev).filter(F.col("target").isin(*SECTION_CAPS)))
+    tabs = tables(ev, scoped)
+    pieces = section_pieces(scoped, heads, tabs, ev).unionByName(
+        empty_container_lines(scoped, ev, tabs).filter(F.col("target").isin(*SECTION_CAPS)))
     texts = pieces.groupBy("page_id", F.col("target").alias("section")).agg(
         clean_block(_joined(F.col("piece"), F.struct("pos", "sub"))).alias("text"))
     if hardware:

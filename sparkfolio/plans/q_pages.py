@@ -50,13 +50,29 @@ def is_paper_page(spark, sf):
     return table(spark, sf, "pages").select("page_id", pg.looks_like_paper(html).alias("is_paper"))
 
 
-_VISIBLE = """vis AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<head>.*?</head>', '', 'g'), '(?s)<nav>.*?</nav>', '', 'g'), '(?s)<footer>.*?(</footer>|$)', '', 'g'), '(?s)<!.*?>', '', 'g') AS v FROM pages)"""
-
-
-@query("html_events", "WITH " + _VISIBLE + """
-SELECT page_id, CAST(len(regexp_extract_all(v, '<[a-zA-Z][^>]*>')) AS BIGINT) AS n_open_or_void, CAST(len(regexp_extract_all(v, '</[a-zA-Z][^>]*>')) AS BIGINT) AS n_close,
-  CAST(len(regexp_extract_all(v, '[^<>]+(<|$)')) - len(regexp_extract_all(v, '<[^<>]+(<|$)')) AS BIGINT) AS n_text, md5(regexp_replace(""" + UNESC.format(x="regexp_replace(v, '<[^>]*>', '', 'g')") + """, '\\s+', '', 'g')) AS text_md5
-FROM vis""")
+_LIST = lambda names: "[" + ", ".join(f"'{n}'" for n in names) + "]"
+#: Every page read tag by tag with the stack of its open elements: an end tag closes the last element of its name and all inside;
+#: ``hidden`` is the place in the stack of the outermost skipped element.
+WALK_SQL = f"""tok AS (SELECT page_id, unnest(ts) AS t, unnest(range(len(ts))) AS i FROM (SELECT page_id, regexp_extract_all(
+    regexp_replace(html, '(?is)<(script|style)\\b[^>]*>.*?</(script|style)\\s*>', '', 'g'), '(?s)<!--.*?-->|<[!?][^>]*>|</?[a-zA-Z][^>]*>|[^<]+|<') AS ts FROM pages)),
+named AS (SELECT page_id, i, t, lower(regexp_extract(t, '^</?([a-zA-Z][a-zA-Z0-9]*)', 1)) AS name FROM tok WHERE NOT regexp_matches(t, '^<[!?]')),
+tag AS (SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) AS INT) AS k, t, name, CASE WHEN name = '' THEN 'text' WHEN starts_with(t, '</') THEN 'close'
+    WHEN list_contains({_LIST(pg.VOID)}, name) OR ends_with(t, '/>') THEN 'void' ELSE 'open' END AS kind FROM named),
+walk AS (
+  SELECT page_id, 0 AS k, CAST([] AS VARCHAR[]) AS stack, 0 AS hidden, 0 AS closed, false AS shown, '' AS kind, '' AS t FROM pages
+  UNION ALL
+  SELECT page_id, k, next AS stack, CASE WHEN kind = 'open' AND hidden = 0 AND list_contains({_LIST(pg.SKIP_TAGS)}, name) THEN len(next) WHEN len(next) < hidden THEN 0 ELSE hidden END AS hidden,
+    CASE WHEN kind <> 'close' THEN 0 WHEN hidden = 0 THEN len(stack) - len(next) ELSE greatest(0, hidden - 1 - len(next)) END AS closed,
+    hidden = 0 AND NOT (kind = 'open' AND list_contains({_LIST(pg.SKIP_TAGS)}, name)) AS shown, kind, t
+  FROM (SELECT g.*, w.stack, w.hidden, CASE WHEN g.kind = 'open' THEN list_append(w.stack, g.name) WHEN g.kind = 'close' AND list_contains(w.stack, g.name)
+          THEN w.stack[1:len(w.stack) - list_position(list_reverse(w.stack), g.name)] ELSE w.stack END AS next
+        FROM walk w JOIN tag g ON g.page_id = w.page_id AND g.k = w.k + 1))"""
+
+
+@query("html_events", "WITH RECURSIVE " + WALK_SQL + """
+SELECT page_id, count(*) FILTER (shown AND kind IN ('open', 'void')) AS n_open_or_void, CAST(sum(closed) AS BIGINT) AS n_close, count(*) FILTER (shown AND kind = 'text') AS n_text,
+  md5(regexp_replace(""" + UNESC.format(x="coalesce(string_agg(t, '' ORDER BY k) FILTER (shown AND kind = 'text'), '')") + """, '\\s+', '', 'g')) AS text_md5
+FROM walk GROUP BY page_id""")
 def html_events(spark, sf):
     ev = pg.page_events(table(spark, sf, "pages"))
     pieces = F.array_sort(F.collect_list(F.when(F.col("kind") == "text", F.struct("pos", "text"))))

@@ -167,11 +167,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint ``df`` in the shared folder named by ``spark.checkpoint.dir``.
 
     Only a local master, which has no other machine to share with, gets a folder of its
-    own when none is named; on a cluster without one the plan stays as it is.
+    own when none is named; on a cluster without one ``work_dir`` raises.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        if checkpoint_dir(df.sparkSession) is None and not context.master.startswith("local"):
-            return df
         context.setCheckpointDir(checkpoint_dir(df.sparkSession) or work_dir(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -1,5 +1,7 @@
 """Page extraction on a small paper page with the markup the operators know."""
 
+from html.parser import HTMLParser
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,3 +144,80 @@ def test_span_overlap(spark):
     schema = "g array<array<struct<text:string,colspan:int,rowspan:int>>>"
     out = spark.createDataFrame([(grid,)], schema).select(pg.expand_spans("g").alias("g")).first()["g"]
     assert out == [["a", "b"], ["a", "c"], ["a", "c"], ["d"]]
+
+
+class _Stack(HTMLParser):
+    """Start, end and void tags and texts as a stack of open elements sees them."""
+
+    def __init__(self, text: str):
+        super().__init__()
+        self.stack, self.out = [], []
+        self.feed(text)
+        self.close()
+
+    def shown(self):
+        return not set(self.stack) & set(pg.SKIP_TAGS)
+
+    def handle_starttag(self, tag, attrs):
+        if tag in pg.VOID:
+            self.out += [("void", tag)] * self.shown()
+            return
+        self.stack.append(tag)
+        self.out += [("open", tag)] * self.shown()
+
+    def handle_startendtag(self, tag, attrs):
+        self.out += [("void", tag)] * self.shown()
+
+    def handle_endtag(self, tag):
+        while tag in self.stack:
+            self.out += [("close", self.stack[-1])] * self.shown()
+            if self.stack.pop() == tag:
+                break
+
+    def handle_data(self, data):
+        self.out += [("text", " ".join(data.split()))] * self.shown()
+
+
+UNCLOSED = [
+    "<div><p>one<p>two<b>bold</div>after", "<ul><li>a<li>b<ul><li>c</ul><li>d</ul>", "<div><nav>menu<a>x</div>shown", "<form><p>hidden</form><p>shown</p></form>",
+    "</div><p>x</i></p></p>", "<table><tr><td>1<td>2<tr><td>3</table>end", "<section><header>h<section>s</section>t</section>u</header>v", "<p>open <i>to <b>the end",
+    "<div><div><span></div>x</span></div>y", "<p>a<br>b<br/>c<img src=x></p>", "<head><title>t</head><body>b", "", "plain",
+]
+
+
+def test_unclosed_elements_end_with_their_parent(spark):
+    df = spark.createDataFrame(list(enumerate(UNCLOSED)), "page_id long, html string")
+    got = {}
+    for r in pg.page_events(df).orderBy("page_id", "pos").collect():
+        got.setdefault(r["page_id"], []).append((r["kind"], " ".join(r["text"].split()) if r["kind"] == "text" else r["tag"]))
+    assert {k: v for k, html in enumerate(UNCLOSED) if (v := _Stack(html).out)} == got
+
+
+def test_every_close_names_its_opener(spark):
+    df = spark.createDataFrame(list(enumerate(UNCLOSED)), "page_id long, html string")
+    ev = pg.page_events(df)
+    closes = ev.filter("kind = 'close'").select("page_id", F.col("opener.pos").alias("at"), "tag", "pos")
+    opens = ev.filter("kind = 'open'").select("page_id", F.col("pos").alias("at"), F.col("tag").alias("name"))
+    assert closes.join(opens, ["page_id", "at"], "left").filter("name is null or name <> tag or pos <= at").count() == 0
+    assert closes.groupBy("page_id", "at").count().filter("count > 1").count() == 0
+    assert ev.groupBy("page_id", "pos").count().filter("count > 1").count() == 0
+
+
+NESTED = """<article class="ltx_document"><section class="ltx_section"><h2 class="ltx_title ltx_title_section">1 Results</h2>
+<figure class="ltx_table"><figcaption class="ltx_caption"><span class="ltx_tag">Table 4: </span>Outer</figcaption>
+<div class="ltx_figure"><div class="ltx_figure"><div class="ltx_figure"><div class="ltx_figure">
+<table class="ltx_tabular"><tr><td>deep<td>1</table></div></div></div></div></figure>
+<figure class="ltx_table"><figcaption class="ltx_caption"><span class="ltx_tag">Table 5: </span>Outside</figcaption>
+<figure class="ltx_table"><figcaption class="ltx_caption"><span class="ltx_tag">Tab. 6: </span>Inside</figcaption>
+<table class="ltx_tabular"><tr><td>a<td>b<tr><td>c<td>d</table></figure></figure>
+<figure class="ltx_table"><figcaption class="ltx_caption"><span class="ltx_tag">Table 7: </span>Bare</figcaption></figure>
+<table class="ltx_tabular" id="S1.T9"><tr><td>x<td>y<tr><td>z</table></section></article>"""
+
+
+def test_captions_at_any_depth_and_unclosed_cells(spark):
+    ev = pg.routed_events(spark.createDataFrame([(1, NESTED)], "page_id long, html string"))
+    scoped = pg.scoped_events(ev, pg.headings(ev))
+    tabs = pg.tables(ev, scoped)
+    got = [(r["label"], r["caption"], r["rows"]) for r in tabs.orderBy("table_index").collect()]
+    assert got == [("Table 4", "Outer", [["deep", "1"]]), ("Table 6", "Inside", [["a", "b"], ["c", "d"]]), ("Table 9", "", [["x", "y"], ["z"]])]
+    assert [r["piece"].strip() for r in pg.empty_container_lines(scoped, ev, tabs).collect()] == ["[Table 7 Bare]"]
