@@ -35,12 +35,18 @@ def written(df: DataFrame) -> DataFrame:
 def keep_rows(docs: DataFrame, keep: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` whose (id, hash of the text) is in ``keep`` (doc_id, text_hash)."""
     keys = keep.select(F.col("doc_id").alias("good_id"), F.col("text_hash").alias("good_hash")).distinct()
-    return docs.join(keys, F.col(id_col).eqNullSafe(F.col("good_id")) & (text_hash(text_col) == F.col("good_hash")), "left_semi")
+    row = docs.select(F.struct(*docs.columns).alias("row_of_docs"))  # one column, so no name of ``docs`` can clash
+    kept = row.join(keys, F.col("row_of_docs")[id_col].eqNullSafe(F.col("good_id")) & (_hash_of(F.col("row_of_docs")[text_col]) == F.col("good_hash")), "left_semi")
+    return kept.select("row_of_docs.*")
+
+
+def _hash_of(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
 def text_hash(text_col: str = "text") -> Column:
     """Tells rows with one id apart; a null text has the hash of the empty one."""
-    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    return _hash_of(F.col(text_col))
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = BLOCK) -> Iterator[pa.RecordBatch]:

@@ -11,6 +11,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from sparkfolio.llm import exact_dedup, ngram_join
 from tests.llm.test_llm import SPACE_RUN, brute_components, brute_cut, brute_measures, passage
 
 
@@ -96,3 +97,15 @@ def test_pipeline(spark, corpus):
     whole = corpus_pipeline.run(spark, folder).toPandas()
     key = ["doc_id", "piece", "start", "length", "ids_crc32"]
     assert sorted(map(tuple, whole[key].to_numpy().tolist())) == sorted(map(tuple, got[key].to_numpy().tolist()))
+
+
+def test_stages_that_drop_rows_bear_clashing_names_odd_ids_and_empty_tables(spark):
+    text = " ".join(f"word{k}" for k in range(60))
+    names = ("good_id", "good_hash", "row_of_docs", "text_hash", "set_name", "keys", "row", "rid", "component_id", "keep_id")
+    rows = [(1, text), (2, text), (2, text), (3, text + " more"), (None, text), (4, None), (4, ""), (5, "another short text"), (5, "another short text")]
+    df = spark.createDataFrame([(d, t, *[f"x{k}"] * len(names)) for k, (d, t) in enumerate(rows)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    exact = exact_dedup.drop_copies(df)
+    assert exact.columns == df.columns and {(r["doc_id"], r["text"]) for r in exact.collect()} == {(1, text), (3, text + " more"), (4, None), (4, ""), (5, "another short text")}
+    near = ngram_join.drop_near_copies(df)
+    assert near.columns == df.columns and {r["doc_id"] for r in near.collect()} == {1, 4, 5} and near.filter("doc_id = 1").count() == 1
+    assert exact_dedup.drop_copies(df.limit(0)).count() == 0 and ngram_join.drop_near_copies(df.limit(0)).count() == 0
