@@ -37,6 +37,8 @@ from sparkfolio.llm.wordstore import gather
 #: Sets that one chunk indexes, and shingles of all of them (one set at least).
 CHUNK = 200
 CHUNK_SHINGLES = 400_000
+#: Bits of the map of wanted ids: 4 MB.
+ID_BITS = 1 << 25
 #: Weight of the list length in DivideSkip's choice of long lists.
 MU = 0.0085
 
@@ -264,6 +266,21 @@ def _blocks(lists: DataFrame) -> DataFrame:
     return homes.select(F.col("home").alias("leader"), "rid").unionByName(lists.join(torn, "leader", "left_semi").select("leader", "rid")).distinct()
 
 
+def _likely(bodies: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of ``bodies`` (doc_id, text) whose id may be a ``first_id`` of ``wanted``.
+
+    Most texts have no partner and need not be moved to find that out.  The wanted ids set bits of a map of
+    ``ID_BITS`` bits, whatever their number (so it can be broadcast); a row whose bit is not set goes
+    before the exchange.  With very many wanted ids more bits are set and fewer rows go, which only costs time.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(ID_BITS))
+    marks = wanted.select(place("first_id").alias("place")).groupBy(F.expr("place div 32768").alias("part")).agg(
+        F.bitmap_construct_agg(F.expr("place % 32768")).alias("bits"))
+    placed = bodies.withColumn("place", place("doc_id")).join(F.broadcast(marks), F.expr("place div 32768") == F.col("part"))
+    byte = "cast(conv(hex(substring(bits, cast(place % 32768 div 8 as int) + 1, 1)), 16, 10) as int)"
+    return placed.filter(F.expr(f"shiftright({byte}, cast(place % 8 as int)) & 1 = 1")).select("doc_id", "text")
+
+
 def near_links(docs: DataFrame, width: int = 5, percent: int = 80, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Shingle sets of ``docs`` (doc_id, text) and the links that connect them.
 
@@ -295,7 +312,7 @@ def near_links(docs: DataFrame, width: int = 5, percent: int = 80, chunk: int =
     def with_texts(places: DataFrame) -> DataFrame:
         """A text of each set; the set's document of smallest id has it."""
         of = written(sets.select(F.col("rid").alias("of_rid"), "first_id").join(places.select(F.col("rid").alias("p_rid")).distinct(), F.col("of_rid") == F.col("p_rid"), "left_semi"))
-        named = bodies.join(of, F.col("doc_id").eqNullSafe(F.col("first_id")))
+        named = _likely(bodies, of).join(of, F.col("doc_id").eqNullSafe(F.col("first_id")))
         return places.join(named.select("of_rid", "text"), F.col("rid") == F.col("of_rid")).drop("of_rid")
 
     if rows.filter("doc_id is null").limit(1).count() or rows.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():
