@@ -23,6 +23,9 @@ EDGES_PER_NODE, MIN_EDGE_WEIGHT, DEFAULT_WEIGHT = 4, 0.05, 0.1
 DIRECT_BONUS, INDEX_BONUS, MIN_SHARED = 0.10, 0.08, 1
 PRIOR_CANDIDATES, LIST_SIZE = 30, 10
 
+# Targets of a set that one task counts; a larger set is split by citing work.
+HOT_SET = 100_000
+
 
 def topk(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
     """The first ``k`` rows per group, numbered from 1."""
@@ -145,19 +148,47 @@ def seed_set(refs: DataFrame, selected: DataFrame) -> DataFrame:
     return seeds.join(selected.select("set_id", F.col("paper_id").alias("seed")), ["set_id", "seed"], "left_anti")
 
 
+def listed_citers(seeds: DataFrame, selected: DataFrame, cites: DataFrame, works: DataFrame,
+                  per_work: int = CITERS_FOR_POOL) -> DataFrame:
+    """(target, source, list_pos): the citer lists that a pool is drawn from."""
+    asked = seeds.select(F.col("seed").alias("target")).unionByName(selected.select(F.col("paper_id").alias("target")))
+    return top_citers(cites.join(asked.distinct(), "target", "left_semi"), works, per_work)
+
+
 def citer_pool(seeds: DataFrame, selected: DataFrame, cites: DataFrame, works: DataFrame, n: int = POOL_SIZE,
                per_work: int = CITERS_FOR_POOL) -> DataFrame:
-    """(set_id, work_id, freq, direct): works that cite the most seeds, ties in first-seen order."""
-    sources = seeds.select("set_id", F.col("seed").alias("target"), F.lit(0).alias("kind")).unionByName(
+    """(set_id, work_id, freq, direct, hits): works that cite the most seeds, ties in first-seen order.
+
+    ``freq`` counts listed citations of seeds and selected works, ``hits`` those of seeds alone.
+    A target's citers are one array (``per_work`` at most) that crosses to its sets, so a path costs one
+    array element in the one exchange by set; counting and the first cut need no other. A set with over
+    ``HOT_SET`` targets is split by citing work. Selected works are marked on the way and left out.
+    """
+    lists = listed_citers(seeds, selected, cites, works, per_work).groupBy("target").agg(
+        F.array_sort(F.collect_list(F.struct("list_pos", "source"))).getField("source").alias("citers"))
+    asked = seeds.select("set_id", F.col("seed").alias("target"), F.lit(0).alias("kind")).unionByName(
         selected.select("set_id", F.col("paper_id").alias("target"), F.lit(1).alias("kind")))
-    listed = top_citers(cites.join(sources.select("target").distinct(), "target", "left_semi"), works, per_work)
-    freq = listed.join(sources, "target").groupBy("set_id", "source").agg(
-        F.count(F.lit(1)).alias("freq"), F.max("kind").alias("kind"),
-        F.min(F.struct("kind", "target", "list_pos")).alias("first_seen"))
-    own = selected.select("set_id", F.col("paper_id").alias("source"))
-    rows = freq.join(own, ["set_id", "source"], "left_anti")
-    return topk(rows, ["set_id"], [F.col("freq").desc(), F.col("first_seen")], n).select(
-        "set_id", F.col("source").alias("work_id"), "freq", (F.col("kind") == 1).alias("direct"))
+    own = selected.select("set_id", F.lit(None).alias("target"), F.lit(2).alias("kind"), F.array("paper_id").alias("citers"))
+    rows = asked.join(lists, "target").unionByName(own)
+    hot = asked.groupBy("set_id").agg(F.ceil(F.count(F.lit(1)) / HOT_SET).cast("int").alias("shares")).filter("shares > 1")
+    rows = rows.join(hot, "set_id", "left").withColumn(
+        "share", F.explode(F.sequence(F.lit(1), F.coalesce("shares", F.lit(1)))))
+    mine = F.filter(F.sequence(F.lit(1), F.size("citers")), lambda i: F.pmod(
+        F.xxhash64(F.get(F.col("citers"), i - 1)), F.col("shares")) == F.col("share") - 1)
+    rows = rows.withColumn("at", F.when(F.col("shares").isNotNull(), mine)).withColumn("citers", F.when(
+        F.col("at").isNull(), F.col("citers")).otherwise(F.transform("at", lambda i: F.get(F.col("citers"), i - 1))))
+    rows = rows.select("set_id", "share", "kind", "target", "at", "citers").repartition("set_id", "share")
+    paths = rows.select("set_id", "share", "kind", "target", "at", F.posexplode("citers").alias("pos", "source")).withColumn(
+        "pos", F.coalesce(F.get(F.col("at"), F.col("pos")), F.col("pos") + 1))
+    # Least target and its place per kind: numbers only, so that Spark can count in a hash table.
+    target = lambda kind: F.when(F.col("kind") == kind, F.col("target"))
+    counted = paths.groupBy("set_id", "share", "source").agg(
+        F.count(F.when(F.col("kind") < 2, 1)).alias("freq"), F.count(F.when(F.col("kind") == 0, 1)).alias("hits"),
+        F.max("kind").alias("kind"), F.min(target(0)).alias("seed"), F.min_by("pos", target(0)).alias("seed_pos"),
+        F.min(target(1)).alias("paper"), F.min_by("pos", target(1)).alias("paper_pos")).filter("kind < 2")
+    first_seen = [F.col("seed").isNull(), F.coalesce("seed", "paper"), F.coalesce("seed_pos", "paper_pos")]
+    return topk(counted, ["set_id"], [F.col("freq").desc(), *first_seen], n).select(
+        "set_id", F.col("source").alias("work_id"), "freq", (F.col("kind") == 1).alias("direct"), "hits")
 
 
 def places(value: Column, n: int) -> Column:
@@ -166,20 +197,32 @@ def places(value: Column, n: int) -> Column:
 
 
 def coupling(pool: DataFrame, seeds: DataFrame, work_refs: DataFrame, works: DataFrame, n: int = MAX_NODES,
-             min_shared: int = MIN_SHARED) -> DataFrame:
+             min_shared: int = MIN_SHARED, listed: DataFrame | None = None) -> DataFrame:
     """Best coupled works per set: (set_id, work_id, shared, similarity, score, rank).
 
     ``pool``: (set_id, work_id, direct, in_index); ``work_refs``: distinct (source, target).
     Similarity is the cosine of the two reference sets; the bonuses only order.
+
+    A pool of ``citer_pool`` has counted most shared references already: with its ``hits`` and the citer
+    lists it was drawn from (``listed``), only references outside these lists are still looked up (those to
+    works with more citers than a list holds), and listed citations that ``work_refs`` lacks are taken off.
+    Without ``listed`` every reference of a pool work is looked up; the result is the same.
     """
-    mine = work_refs.join(pool.select(F.col("work_id").alias("source")).distinct(), "source", "left_semi")
-    sizes = mine.groupBy(F.col("source").alias("work_id")).agg(F.count(F.lit(1)).alias("n_refs"))
+    sizes = work_refs.groupBy(F.col("source").alias("work_id")).agg(F.count(F.lit(1)).alias("n_refs"))
     n_seeds = seeds.groupBy("set_id").agg(F.count(F.lit(1)).alias("n_seeds"))
-    shared = mine.join(seeds.withColumnRenamed("seed", "target"), "target").join(
-        pool.select("set_id", F.col("work_id").alias("source")), ["set_id", "source"], "left_semi").groupBy(
-        "set_id", F.col("source").alias("work_id")).agg(F.count(F.lit(1)).alias("shared"))
-    rows = pool.join(sizes, "work_id").join(n_seeds, "set_id", "left").join(shared, ["set_id", "work_id"], "left").withColumn(
-        "shared", F.coalesce("shared", F.lit(0)))
+    change = work_refs.select("source", "target", F.lit(1).alias("d"))
+    if listed is None:
+        pool = pool.withColumn("hits", F.lit(0).cast("long"))
+    else:
+        change = change.unionByName(listed.select("source", "target", F.lit(-1).alias("d"))).groupBy("source", "target").agg(
+            F.sum("d").alias("d")).filter("d <> 0")
+    change = change.join(seeds.select(F.col("seed").alias("target")).distinct(), "target", "left_semi")
+    wanted = seeds.select("set_id", F.col("seed").alias("target"), F.lit(True).alias("wanted"))
+    about = ["set_id", "work_id", "direct", "in_index", "hits"]
+    rows = pool.select(*about).join(change.withColumnRenamed("source", "work_id"), "work_id", "left").join(
+        wanted, ["set_id", "target"], "left").groupBy(*about).agg(F.sum(F.when(F.col("wanted"), F.col("d"))).alias("more"))
+    rows = rows.withColumn("shared", F.col("hits") + F.coalesce("more", F.lit(0))).join(sizes, "work_id").join(
+        n_seeds, "set_id", "left")
     rows = rows.filter((F.col("shared") >= max(1, min_shared)) | F.col("direct"))
     cos = F.coalesce(F.col("shared") / F.sqrt(F.col("n_refs") * F.col("n_seeds")), F.lit(0.0))
     bonus = F.when(F.col("direct"), DIRECT_BONUS).otherwise(0.0) + F.when(F.col("in_index"), INDEX_BONUS).otherwise(0.0)
@@ -196,23 +239,24 @@ def coupling_pairs(nodes: DataFrame, work_refs: DataFrame) -> DataFrame:
     ``nodes`` (set_id, work_id) is a graph's node list, capped per set, so a cited work
     meets itself at most once per pair of those nodes.
     """
-    refs = work_refs.withColumnRenamed("source", "work_id")
-    held = nodes.select("set_id", "work_id").join(refs, "work_id")
-    sizes = held.groupBy("set_id", "work_id").agg(F.count(F.lit(1)).alias("n"))
-    left = held.select("set_id", "target", F.col("work_id").alias("a"))
-    right = held.select("set_id", "target", F.col("work_id").alias("b"))
-    shared = left.join(right, ["set_id", "target"]).filter(F.col("a") < F.col("b")).groupBy("set_id", "a", "b").agg(
-        F.count(F.lit(1)).alias("shared"))
-    size = lambda c, out: sizes.select("set_id", F.col("work_id").alias(c), F.col("n").alias(out))
-    return shared.join(size("a", "na"), ["set_id", "a"]).join(size("b", "nb"), ["set_id", "b"]).select(
+    sizes = work_refs.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    refs = work_refs.join(sizes, "source").withColumnRenamed("source", "work_id")
+    # One list per set and cited work, at most as long as the node list; its pairs need no second copy of the nodes.
+    met = nodes.select("set_id", "work_id").distinct().join(refs, "work_id").groupBy("set_id", "target").agg(
+        F.array_sort(F.collect_list(F.struct("work_id", "n"))).alias("met")).filter(F.size("met") > 1)
+    first = met.select("set_id", "met", F.posexplode("met").alias("i", "a"))
+    pairs = first.select("set_id", "a", F.explode(F.slice(F.col("met"), F.col("i") + 2, F.size("met"))).alias("b"))
+    return pairs.groupBy("set_id", F.col("a.work_id").alias("a"), F.col("b.work_id").alias("b"), F.col("a.n").alias("na"),
+                         F.col("b.n").alias("nb")).agg(F.count(F.lit(1)).alias("shared")).select(
         "set_id", "a", "b", "shared", (F.col("shared") / F.sqrt(F.col("na") * F.col("nb"))).alias("weight"))
 
 
 def topk_edges(pairs: DataFrame, k: int = EDGES_PER_NODE, min_weight: float = MIN_EDGE_WEIGHT) -> DataFrame:
     """(set_id, source, target, weight): edges among the ``k`` strongest of either end, stored once."""
     strong = pairs.filter(F.round("weight", 9) >= min_weight).withColumn("w9", F.round("weight", 9))
-    both = strong.select("set_id", F.col("a").alias("node"), F.col("b").alias("other"), "w9").unionByName(
-        strong.select("set_id", F.col("b").alias("node"), F.col("a").alias("other"), "w9"))
+    end = lambda node, other: F.struct(F.col(node).alias("node"), F.col(other).alias("other"))
+    both = strong.select("set_id", "w9", F.explode(F.array(end("a", "b"), end("b", "a"))).alias("e")).select(
+        "set_id", "e.node", "e.other", "w9")
     best = topk(both, ["set_id", "node"], [F.col("w9").desc(), F.col("other")], k)
     return best.select("set_id", F.least("node", "other").alias("source"), F.greatest("node", "other").alias("target"),
                        F.round("w9", 4).alias("weight")).distinct()

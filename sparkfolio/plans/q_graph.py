@@ -192,14 +192,14 @@ def _similarity_tables(spark, sf):
         (F.col("source") + _OFF).alias("source"), (F.col("source") - 1 + _OFF).alias("target"))
     work_refs = e.select((F.col("source") + _OFF).alias("source"), "target")
     works = _customers(spark, sf, e).withColumn("work_id", F.col("work_id") + _OFF)
-    pool = gr.citer_pool(seeds, sel, work_refs.unionByName(previous), works)
-    return sel, seeds, work_refs, works, pool
+    cites = work_refs.unionByName(previous)
+    return sel, seeds, work_refs, works, gr.citer_pool(seeds, sel, cites, works), gr.listed_citers(seeds, sel, cites, works)
 
 
 @query("pool_topn", POOL + "SELECT set_id, work_id, freq, direct FROM pool WHERE rank <= 300")
 def pool_topn(spark, sf):
-    *_, pool = _similarity_tables(spark, sf)
-    return pool.withColumn("work_id", F.col("work_id") - _OFF)
+    pool = _similarity_tables(spark, sf)[4]
+    return pool.withColumn("work_id", F.col("work_id") - _OFF).drop("hits")
 
 
 _COUPLING_SQL = """
@@ -212,9 +212,9 @@ cr AS (SELECT *, row_number() OVER (PARTITION BY set_id ORDER BY score DESC, c D
 
 
 def _coupled(spark, sf):
-    sel, seeds, work_refs, works, pool = _similarity_tables(spark, sf)
+    sel, seeds, work_refs, works, pool, listed = _similarity_tables(spark, sf)
     pool = pool.withColumn("in_index", F.col("work_id") % 4 == 0)
-    return sel, work_refs, works, pool, gr.coupling(pool, seeds, work_refs, works)
+    return sel, work_refs, works, pool, gr.coupling(pool, seeds, work_refs, works, listed=listed)
 
 
 @query("coupling_score", POOL + "," + _COUPLING_SQL + "SELECT set_id, work_id, shared, CAST(round(CAST(round(cos, 9) AS DECIMAL(18,9)), 4) AS DOUBLE) AS similarity, CAST(round(CAST(score AS DECIMAL(18,9)), 4) AS DOUBLE) AS score, rk AS rank FROM cr WHERE rk <= 40")
