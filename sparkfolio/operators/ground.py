@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sparkfolio.functions.numbers import decimal_tokens, number_tokens, number_variants, report_numbers
 from sparkfolio.functions.text import (
-    casefold, display_equations, flat, is_blank, strip, strip_fences, word_count,
+    bound, casefold, display_equations, flat, is_blank, strip, strip_fences, word_count,
 )
 from sparkfolio.sources.papers import first_row_per_key
 
@@ -75,12 +75,18 @@ def match_tokens(c: Column) -> Column:
 def text_in_source(text: Column, source: Column) -> Column:
     """Every token with a digit, and half of the longer words, occur in the source; no tokens is no support."""
     tokens = F.filter(match_tokens(text), lambda t: ~t.isin(*HARDWARE_STOPWORDS))
-    known = F.array_distinct(match_tokens(source))
-    digits = F.filter(tokens, lambda t: t.rlike(r"\d"))
-    words = F.filter(tokens, lambda t: ~t.rlike(r"\d") & (F.length(t) >= 3))
-    held = F.size(F.filter(words, lambda t: F.array_contains(known, t)))
-    return (F.size(tokens) > 0) & (F.size(F.array_except(digits, known)) == 0) & (
-        (F.size(words) == 0) | (held >= F.size(words) / 2))
+
+    def supported(both: Column) -> Column:
+        tokens, known = both["tokens"], both["known"]
+        # what the source lacks is found in a hash table; only these words are then counted
+        missing = lambda part: F.array_except(part, known)
+        digits = F.filter(tokens, lambda t: t.rlike(r"\d"))
+        words = F.filter(tokens, lambda t: ~t.rlike(r"\d") & (F.length(t) >= 3))
+        half = bound(F.struct(words.alias("all"), missing(words).alias("missing")), lambda w: (F.size(w["all"]) == 0) | (
+            F.size(F.filter(w["all"], lambda t: F.array_contains(w["missing"], t))) <= F.size(w["all"]) / 2))
+        return (F.size(tokens) > 0) & (F.size(missing(digits)) == 0) & half
+
+    return bound(F.struct(tokens.alias("tokens"), F.array_distinct(match_tokens(source)).alias("known")), supported)
 
 
 def claims_subset(claim_text: Column, source: Column) -> Column:

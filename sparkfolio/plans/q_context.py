@@ -78,26 +78,22 @@ def running_budget(spark, sf):
 
 
 @query("context_pack", """
-WITH p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations),
-c AS (SELECT conv_id, turn, role || CAST(turn AS VARCHAR) AS source, trim(text, ' ' || chr(10)) AS t, 300 + turn AS cap FROM p WHERE rn <= 4)
+WITH c AS (SELECT conv_id, turn, role || CAST(turn AS VARCHAR) AS source, trim(text, ' ' || chr(10)) AS t, 300 + turn AS cap FROM conversations)
 SELECT conv_id AS question_id, md5(string_agg('[' || source || ']' || chr(10) || CASE WHEN length(t) <= cap THEN t ELSE rtrim(substring(t, 1, cap - 1)) || '…' END, chr(10) || chr(10) ORDER BY turn % 2, turn)) AS context_md5,
   string_agg('- ' || source, chr(10) ORDER BY turn % 2, turn) AS sources FROM c GROUP BY 1""")
 def context_pack(spark, sf):
-    from sparkfolio.operators.graph import topk
-
-    c = topk(table(spark, sf, "conversations"), ["conv_id"], [F.col("turn")], 4)
-    parts = c.select(F.col("conv_id").alias("question_id"), (F.col("turn") % 2).alias("section_no"), F.col("turn").alias("pos"),
+    parts = table(spark, sf, "conversations").select(F.col("conv_id").alias("question_id"), (F.col("turn") % 2).alias("section_no"), F.col("turn").alias("pos"),
                      F.concat("role", F.col("turn").cast("string")).alias("source"), "text", (F.col("turn") + 300).alias("cap"))
     return cx.pack_context(parts).select("question_id", F.md5("context").alias("context_md5"), "sources")
 
 
 @query("pack_text", """
-SELECT doc_id, length(s) AS chars, md5(s) AS text_md5 FROM (SELECT doc_id, substring('=== ABSTRACT ===' || chr(10) || substring(text, 1, 100) || chr(10) || chr(10) || '=== METHODOLOGY / ARCHITECTURE ===' || chr(10) || text || chr(10) || chr(10) ||
+SELECT doc_id, length(s) AS chars, md5(s) AS text_md5 FROM (SELECT doc_id, substring('=== ABSTRACT ===' || chr(10) || text || chr(10) || chr(10) || '=== METHODOLOGY / ARCHITECTURE ===' || chr(10) || text || chr(10) || chr(10) ||
   CASE WHEN doc_id % 2 = 0 THEN '=== EXPERIMENTAL SETUP / TRAINING DETAILS / HARDWARE ===' || chr(10) || lang || chr(10) || chr(10) ELSE '' END || '=== EXPERIMENTS / BENCHMARKS / RESULTS ===' || chr(10) || text || chr(10) || chr(10) || '=== LIMITATIONS / FUTURE WORK ===' || chr(10) ||
   CASE WHEN doc_id % 3 = 0 THEN chr(10) || chr(10) || '=== TABLES (header row first) ===' || chr(10) || source ELSE '' END, 1, 40000) AS s FROM documents)""")
 def pack_text(spark, sf):
     d = table(spark, sf, "documents")
-    s = cx.pack_paper({"abstract": F.substring("text", 1, 100), "methodology": F.col("text"), "setup": F.when(F.col("doc_id") % 2 == 0, F.col("lang")).otherwise("  "),
+    s = cx.pack_paper({"abstract": F.col("text"), "methodology": F.col("text"), "setup": F.when(F.col("doc_id") % 2 == 0, F.col("lang")).otherwise("  "),
                        "experiments": F.col("text"), "limitations": F.lit(None).cast("string")}, F.when(F.col("doc_id") % 3 == 0, F.col("source")))
     return d.select("doc_id", s.alias("s")).select("doc_id", F.length("s").cast("long").alias("chars"), F.md5("s").alias("text_md5"))
 

@@ -76,21 +76,25 @@ _STOPS = ", ".join(f"'{w}'" for w in gd.HARDWARE_STOPWORDS)
 
 @query("ground_text", f"""
 WITH x AS (SELECT doc_id, list_filter({_MT.format(x="q")}, lambda t: t NOT IN ({_STOPS})) AS tk, list_distinct({_MT.format(x="text")}) AS src FROM (
-  SELECT doc_id, text, array_to_string(list_slice(string_split({sq('text')}, ' '), 4, 9), ' ') || CASE WHEN doc_id % 3 = 0 THEN ' plus some unseen zzword yyword xxword vvword' WHEN doc_id % 7 = 0 THEN ' 8 GPUs' ELSE '' END AS q FROM documents)),
+  SELECT d.doc_id, d.text, CASE WHEN d.doc_id % 2 = 0 THEN d.text ELSE coalesce(n.text, '') END || CASE WHEN d.doc_id % 3 = 0 THEN ' plus some unseen zzword yyword xxword vvword' WHEN d.doc_id % 7 = 0 THEN ' 8 GPUs' ELSE '' END AS q FROM documents d LEFT JOIN documents n ON n.doc_id = d.doc_id + 1)),
 y AS (SELECT doc_id, tk, src, list_filter(tk, lambda t: regexp_matches(t, '\\d')) AS dg, list_filter(tk, lambda t: NOT regexp_matches(t, '\\d') AND length(t) >= 3) AS wd FROM x)
 SELECT doc_id, len(tk) > 0 AND len(list_filter(dg, lambda t: NOT list_contains(src, t))) = 0 AND (len(wd) = 0 OR len(list_filter(wd, lambda t: list_contains(src, t))) >= len(wd) / 2) AS supported FROM y""")
 def ground_text(spark, sf):
-    q = F.concat(F.array_join(F.slice(F.split(tx.squeeze(F.col("text")), " "), 4, 6), " "), F.when(
-        F.col("doc_id") % 3 == 0, " plus some unseen zzword yyword xxword vvword").when(F.col("doc_id") % 7 == 0, " 8 GPUs").otherwise(""))
-    return table(spark, sf, "documents").select("doc_id", gd.text_in_source(q, F.col("text")).alias("supported"))
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    following = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("claim"))
+    claim = F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.coalesce("claim", F.lit("")))
+    q = F.concat(claim, F.when(F.col("doc_id") % 3 == 0, " plus some unseen zzword yyword xxword vvword").when(
+        F.col("doc_id") % 7 == 0, " 8 GPUs").otherwise(""))
+    return d.join(following, "doc_id", "left").select("doc_id", gd.text_in_source(q, F.col("text")).alias("supported"))
 
 
 @query("ground_rows", """
 WITH li AS (SELECT l_orderkey AS paper_id, l_linenumber * 10000000000 + l_partkey * 1000 + CAST(l_quantity AS BIGINT) AS pos, l_returnflag AS benchmark, l_linestatus AS metric, CAST(l_quantity AS BIGINT) AS q, CAST(l_tax * 100 AS BIGINT) AS b, l_linenumber FROM lineitem),
 held AS (SELECT DISTINCT paper_id, q AS v FROM li WHERE l_linenumber % 2 = 0 UNION SELECT DISTINCT paper_id, b FROM li WHERE l_linenumber < 4),
 good AS (SELECT * FROM li WHERE (paper_id, q) IN (SELECT (paper_id, v) FROM held) AND (paper_id, b) IN (SELECT (paper_id, v) FROM held)),
-kept AS (SELECT paper_id, benchmark, metric, q, b, min(pos) AS pos FROM good GROUP BY ALL)
-SELECT li.paper_id, count(*) AS proposed, coalesce(any_value(k.n), 0) AS kept, count(*) - coalesce(any_value(k.n), 0) AS dropped FROM li LEFT JOIN (SELECT paper_id, count(*) AS n FROM kept GROUP BY 1) k ON k.paper_id = li.paper_id GROUP BY li.paper_id""")
+shown AS (SELECT DISTINCT paper_id, q AS v FROM li WHERE l_linenumber <= 3 UNION SELECT DISTINCT paper_id, b FROM li WHERE l_linenumber <= 3),
+kept AS (SELECT paper_id, benchmark, metric, q, b, min(pos) AS pos, (paper_id, q) IN (SELECT (paper_id, v) FROM shown) AND (paper_id, b) IN (SELECT (paper_id, v) FROM shown) AS labelled FROM good GROUP BY ALL)
+SELECT li.paper_id, count(*) AS proposed, coalesce(any_value(k.n), 0) AS kept, count(*) - coalesce(any_value(k.n), 0) AS dropped, coalesce(any_value(k.l), 0) AS labelled FROM li LEFT JOIN (SELECT paper_id, count(*) AS n, count_if(labelled) AS l FROM kept GROUP BY 1) k ON k.paper_id = li.paper_id GROUP BY li.paper_id""")
 def ground_rows(spark, sf):
     li = table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("paper_id"),
@@ -98,59 +102,70 @@ def ground_rows(spark, sf):
         F.col("l_returnflag").alias("benchmark"), F.col("l_linestatus").alias("metric"), F.col("l_linenumber").alias("n"),
         F.concat(F.col("l_quantity").cast("long").cast("string"), F.lit(" ms")).alias("method_value"),
         F.lit("base").alias("baseline_name"), F.round(F.col("l_tax") * 100).cast("long").cast("string").alias("baseline_value"),
-        F.lit("").alias("table_label"), F.lit("").alias("source_quote"))
+        F.lit("Table 1").alias("table_label"), F.lit("").alias("source_quote"))
     held = li.select("paper_id", F.explode(F.array(F.when(F.col("n") % 2 == 0, F.col("method_value")), F.when(F.col("n") < 4, F.col(
         "baseline_value")))).alias("v")).filter("v IS NOT NULL").distinct()
     # An order has a handful of lines, so its source text is short.
     corpus = held.groupBy("paper_id").agg(F.concat_ws(" ; ", F.array_sort(F.collect_list("v"))).alias("text"))
-    tables = li.select("paper_id", F.lit("Table 1").alias("label"), F.lit("").alias("text")).limit(0)
-    return gd.ground_rows(li.drop("n"), corpus, tables)[1]
+    tables = li.filter("n <= 3").groupBy("paper_id").agg(F.concat_ws(" | ", F.array_sort(F.collect_list(F.concat(
+        "method_value", F.lit(" | "), "baseline_value")))).alias("text")).withColumn("label", F.lit("table  1"))
+    kept, counts = gd.ground_rows(li.drop("n"), corpus, tables)
+    labelled = kept.groupBy("paper_id").agg(F.count_if(F.col("table_label") != "").alias("labelled"))
+    return counts.join(labelled, "paper_id", "left").withColumn("labelled", F.coalesce("labelled", F.lit(0)))
 
 
-_REP = "'# T' || chr(10) || '## 1. Intro' || chr(10) || substring(t, 1, 200) || chr(10) || '## 2. Papers' || chr(10) || '### P ' || CAST(doc_id AS VARCHAR) || chr(10) || 'body $$x$$ $$y$$' || chr(10) || '### Q' || chr(10) || 'more' || chr(10) || CASE WHEN doc_id % 3 = 0 THEN '' ELSE '## 3) Context' || chr(10) || substring(t, 1, 50) || chr(10) END || '## 1. Again' || chr(10) || 'late'"
+# Reports around whole texts: five sections or a repeated one, with and without context, bullets and many equations.
+_BULLETS = "\n- **Insight**: a\n* Metrics : b\n• Setup: c"
 
 
 def _reports(spark, sf):
     t = tx.squeeze(F.regexp_replace("text", "[#`$|*]", ""))
-    lit = F.lit
-    rep = F.concat(lit("# T\n## 1. Intro\n"), F.substring(t, 1, 200), lit("\n## 2. Papers\n### P "), F.col("doc_id").cast("string"),
-                   lit("\nbody $$x$$ $$y$$\n### Q\nmore\n"),
-                   F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.concat(lit("## 3) Context\n"), F.substring(t, 1, 50), lit("\n"))),
-                   lit("## 1. Again\nlate"))
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("report_id"), rep.alias("text"), lit(2).alias("n_papers"))
+    lit, k = F.lit, F.col("doc_id")
+    rep = F.concat(lit("# T\n## 1. Intro\n"), t, lit("\n## 2. Papers\n### P "), k.cast("string"), lit("\nbody $$x$$ $$y$$"),
+                   F.when(k % 5 == 0, " $$z$$ $$w$$").otherwise(""), F.when(k % 4 < 2, _BULLETS).otherwise(""), lit("\n### Q\nmore"),
+                   F.when(k % 4 == 0, _BULLETS).otherwise(""), lit("\n"),
+                   F.when(k % 3 == 0, "").otherwise(F.concat(lit("## 3) Context\n"), t, lit("\n"))),
+                   F.when(k % 2 == 0, "## 4. Figures\nf\n## 5. Refs\nr").otherwise("## 1. Again\nlate"))
+    return table(spark, sf, "documents").select(k.alias("report_id"), rep.alias("text"), lit(2).alias("n_papers"))
 
 
 _DT = "d AS (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[#`$|*]', '', 'g'), '\\s+', ' ', 'g')) AS t FROM documents)"
+_BULLETS_SQL = " || ".join("chr(10) || '" + line + "'" for line in _BULLETS.split("\n")[1:])
 
 
-@query("split_report", "WITH " + _DT + """
-SELECT doc_id AS report_id, CAST(1 AS BIGINT) AS number, CAST(0 AS BIGINT) AS unit, 'Intro' AS title, md5(trim(substring(t, 1, 200))) AS body_md5 FROM d
+@query("split_report", "WITH " + _DT + f"""
+SELECT doc_id AS report_id, CAST(1 AS BIGINT) AS number, CAST(0 AS BIGINT) AS unit, 'Intro' AS title, md5(t) AS body_md5 FROM d
 UNION ALL SELECT doc_id, 2, 0, 'Papers', md5('') FROM d
-UNION ALL SELECT doc_id, 2, 1, 'P ' || CAST(doc_id AS VARCHAR), md5('body $$x$$ $$y$$') FROM d UNION ALL SELECT doc_id, 2, 2, 'Q', md5('more') FROM d
-UNION ALL SELECT doc_id, 3, 0, 'Context', md5(trim(substring(t, 1, 50))) FROM d WHERE doc_id % 3 <> 0""")
+UNION ALL SELECT doc_id, 2, 1, 'P ' || CAST(doc_id AS VARCHAR), md5('body $$x$$ $$y$$' || CASE WHEN doc_id % 5 = 0 THEN ' $$z$$ $$w$$' ELSE '' END || CASE WHEN doc_id % 4 < 2 THEN {_BULLETS_SQL} ELSE '' END) FROM d
+UNION ALL SELECT doc_id, 2, 2, 'Q', md5('more' || CASE WHEN doc_id % 4 = 0 THEN {_BULLETS_SQL} ELSE '' END) FROM d
+UNION ALL SELECT doc_id, 3, 0, 'Context', md5(t) FROM d WHERE doc_id % 3 <> 0
+UNION ALL SELECT doc_id, 4, 0, 'Figures', md5('f') FROM d WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 5, 0, 'Refs', md5('r') FROM d WHERE doc_id % 2 = 0""")
 def split_report(spark, sf):
     u = gd.report_units(_reports(spark, sf))
     return u.select("report_id", "number", "unit", "title", F.md5("body").alias("body_md5"))
 
 
-@query("band_equations", "SELECT doc_id AS report_id, CAST(2 AS BIGINT) AS most, true AS ok FROM documents")
+@query("band_equations", "SELECT doc_id AS report_id, CAST(CASE WHEN doc_id % 5 = 0 THEN 4 ELSE 2 END AS BIGINT) AS most, doc_id % 5 <> 0 AS ok FROM documents")
 def band_equations(spark, sf):
     return gd.band_equations(_reports(spark, sf))
 
 
 @query("check_structure", """
-SELECT doc_id AS report_id, 'FAIL' AS status, CASE WHEN doc_id % 3 = 0 THEN 'sections 1,2,1' ELSE 'sections 1,2,3,1' END AS detail FROM documents""")
+SELECT report_id, CASE WHEN ns = '1,2,3,4,5' THEN 'PASS' ELSE 'FAIL' END AS status, CASE WHEN ns = '1,2,3,4,5' THEN '' ELSE 'sections ' || ns END AS detail FROM (
+  SELECT doc_id AS report_id, '1,2' || CASE WHEN doc_id % 3 = 0 THEN '' ELSE ',3' END || CASE WHEN doc_id % 2 = 0 THEN ',4,5' ELSE ',1' END AS ns FROM documents)""")
 def check_structure(spark, sf):
     return gd.check_structure(_reports(spark, sf)).select("report_id", "status", "detail")
 
 
 @query("check_context", "WITH " + _DT + """
-SELECT doc_id AS report_id, CASE WHEN doc_id % 3 = 0 OR trim(substring(t, 1, 50)) = '' THEN 'FAIL' ELSE 'PASS' END AS status FROM d""")
+SELECT doc_id AS report_id, CASE WHEN doc_id % 3 = 0 OR t = '' THEN 'FAIL' ELSE 'PASS' END AS status FROM d""")
 def check_context(spark, sf):
     return gd.check_context(_reports(spark, sf)).select("report_id", "status")
 
 
-@query("check_bullets", "SELECT doc_id AS report_id, 'FAIL' AS status, 'missing=6' AS detail FROM documents")
+@query("check_bullets", """
+SELECT report_id, CASE WHEN n = 0 THEN 'PASS' ELSE 'FAIL' END AS status, 'missing=' || CAST(n AS VARCHAR) AS detail FROM (
+  SELECT doc_id AS report_id, CASE doc_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 3 ELSE 6 END AS n FROM documents)""")
 def check_bullets(spark, sf):
     return gd.check_bullets(_reports(spark, sf)).select("report_id", "status", "detail")
 
@@ -237,7 +252,7 @@ def verdict(spark, sf):
 
 
 @query("style_metrics", f"""
-WITH d AS (SELECT doc_id, trim(regexp_replace(regexp_replace(substring(text, 1, 600), '[^A-Za-z .\\n]', '', 'g'), '\\n+', ' ', 'g')) AS t FROM documents),
+WITH d AS (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[^A-Za-z .\\n]', '', 'g'), '\\n+', ' ', 'g')) AS t FROM documents),
 u AS (SELECT doc_id, 'p' AS kind, 'Head. ' || t AS u FROM d UNION ALL SELECT doc_id, 'b', 'First item. Second part' FROM d UNION ALL SELECT doc_id, 'b', 'two more' FROM d),
 s AS (SELECT doc_id, kind, list_filter(list_transform(string_split(regexp_replace(u, '([.!?;:])\\s+([A-Z0-9"(\\[*])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS ss FROM u),
 l AS (SELECT doc_id, kind, list_transform(ss, lambda x: len(string_split(trim(regexp_replace(x, '\\s+', ' ', 'g')), ' '))) AS ls FROM s)
@@ -245,7 +260,7 @@ SELECT doc_id AS report_id, CAST(sum(len(ls)) AS BIGINT) AS sentences, round(sum
   round(100 * sum(len(list_filter(ls, lambda n: n > 25))) / sum(len(ls)), 1) AS pct_long, CAST(2 AS BIGINT) AS bullets, CAST(1 AS BIGINT) AS paragraphs, CAST(2 AS DOUBLE) AS bullet_ratio,
   CAST(0 AS BIGINT) AS passive, CAST(sum(CASE WHEN kind = 'p' AND len(ls) > 3 THEN 1 ELSE 0 END) AS BIGINT) AS long_paragraphs FROM l GROUP BY doc_id""")
 def style_metrics(spark, sf):
-    t = F.trim(F.regexp_replace(F.regexp_replace(F.substring("text", 1, 600), r"[^A-Za-z .\n]", ""), r"\n+", " "))
+    t = F.trim(F.regexp_replace(F.regexp_replace("text", r"[^A-Za-z .\n]", ""), r"\n+", " "))
     rep = F.concat(F.lit("# Title\n\nHead.\n"), t, F.lit("\n\n- First item.\n  Second part\n* two more\n| a | b |\n```\nx. Y\n```\n## 5. Refs\nNot read."))
     return gd.style_metrics(table(spark, sf, "documents").select(F.col("doc_id").alias("report_id"), rep.alias("text")))
 

@@ -234,7 +234,7 @@ def coverage(spark, sf):
 
 @query("plain_sections", f"""
 WITH d AS (SELECT doc_id, {sq('text')} AS t FROM documents),
-x AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Abstract' || chr(10) || regexp_replace(substring(t, 1, 300), '[^a-zA-Z ]', '', 'g') || chr(10) || '1 Introduction' || chr(10) || 'zz' || chr(10) || 'Methodology' || chr(10) || 'qqq ' || CAST(doc_id AS VARCHAR) || ' yy' || chr(10) || 'Results' || chr(10) || 'www' || chr(10) || 'Limitations' || chr(10) || 'none' ELSE 'Qz ' || regexp_replace(substring(t, 1, 9000), '[^ ]', 'x', 'g') END AS text, t FROM d)
+x AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Abstract' || chr(10) || regexp_replace(t, '[^a-zA-Z ]', '', 'g') || chr(10) || '1 Introduction' || chr(10) || 'zz' || chr(10) || 'Methodology' || chr(10) || 'qqq ' || CAST(doc_id AS VARCHAR) || ' yy' || chr(10) || 'Results' || chr(10) || 'www' || chr(10) || 'Limitations' || chr(10) || 'none' ELSE 'Qz ' || regexp_replace(t, '[^ ]', 'x', 'g') END AS text, t FROM d)
 SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'heading' ELSE 'fallback' END AS heading, CASE WHEN doc_id % 2 = 0 THEN 'success' ELSE 'degraded' END AS parser_status,
   CASE WHEN doc_id % 2 = 0 THEN 'qqq ' || CAST(doc_id AS VARCHAR) || ' yy' ELSE substring(text, 1501, 5000) END AS methodology, CASE WHEN doc_id % 2 = 0 THEN 'www' ELSE substring(text, 6501, 5000) END AS experiments,
   CASE WHEN doc_id % 2 = 0 THEN 'none' ELSE substring(text, 11501, 2500) END AS limitations FROM x""")
@@ -242,10 +242,10 @@ def plain_sections(spark, sf):
     from sparkfolio.functions.text import squeeze
 
     t = squeeze(F.col("text"))
-    with_heads = F.concat(F.lit("Abstract\n"), F.regexp_replace(F.substring(t, 1, 300), "[^a-zA-Z ]", ""), F.lit("\n1 Introduction\nzz\nMethodology\nqqq "),
+    with_heads = F.concat(F.lit("Abstract\n"), F.regexp_replace(t, "[^a-zA-Z ]", ""), F.lit("\n1 Introduction\nzz\nMethodology\nqqq "),
                           F.col("doc_id").cast("string"), F.lit(" yy\nResults\nwww\nLimitations\nnone"))
     text = F.when(F.col("doc_id") % 2 == 0, with_heads).otherwise(
-        F.concat(F.lit("Qz "), F.regexp_replace(F.substring(t, 1, 9000), "[^ ]", "x")))
+        F.concat(F.lit("Qz "), F.regexp_replace(t, "[^ ]", "x")))
     out = pg.text_sections(table(spark, sf, "documents").select("doc_id", text.alias("text")))
     return out.select("doc_id", "heading", "parser_status", "methodology", "experiments", "limitations")
 

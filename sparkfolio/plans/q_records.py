@@ -89,12 +89,12 @@ def identity_join(spark, sf):
 
 
 @query("title_precedence", f"""
-SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN {sq('substring(text, 1, 40)')} WHEN 1 THEN 'ref' WHEN 2 THEN 'own' ELSE 'W' || CAST(doc_id AS VARCHAR) END AS title, CASE doc_id % 4 WHEN 0 THEN 'index' WHEN 1 THEN 'reference' WHEN 2 THEN 'paper' ELSE 'openalex' END AS title_source,
-  CAST(CASE WHEN doc_id % 4 = 0 THEN 2001 WHEN doc_id % 3 <> 0 THEN 2010 ELSE 1999 END AS BIGINT) AS year FROM documents WHERE {sq('substring(text, 1, 40)')} <> ''""")
+SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN {sq('text')} WHEN 1 THEN 'ref' WHEN 2 THEN 'own' ELSE 'W' || CAST(doc_id AS VARCHAR) END AS title, CASE doc_id % 4 WHEN 0 THEN 'index' WHEN 1 THEN 'reference' WHEN 2 THEN 'paper' ELSE 'openalex' END AS title_source,
+  CAST(CASE WHEN doc_id % 4 = 0 THEN 2001 WHEN doc_id % 3 <> 0 THEN 2010 ELSE 1999 END AS BIGINT) AS year FROM documents WHERE {sq('text')} <> ''""")
 def title_precedence(spark, sf):
     k = F.col("doc_id") % 4
-    head = squeeze(F.substring("text", 1, 40))
-    title, source = rs.best_title(F.when(k == 0, F.substring("text", 1, 40)), F.when(k <= 1, "ref"), F.when(k <= 2, "own"), F.lit(" "),
+    head = squeeze(F.col("text"))
+    title, source = rs.best_title(F.when(k == 0, F.col("text")), F.when(k <= 1, "ref"), F.when(k <= 2, "own"), F.lit(" "),
                                   F.concat(F.lit("W"), F.col("doc_id").cast("string")))
     year = rs.best_year(F.when(k == 0, "2001").otherwise(""), F.lit(2010), F.col("doc_id") % 3 == 0, F.lit("1999-05"))
     return table(spark, sf, "documents").filter(head != "").select("doc_id", title.alias("title"), source.alias("title_source"), year.cast("long").alias("year"))

@@ -33,9 +33,9 @@ def clean_id(spark, sf):
 
 @query("normalize_title", f"""
 SELECT doc_id, {norm_sql("t")} AS resolver_form, {norm_sql("regexp_replace(t, '\\$[^$]*\\$', ' ', 'g')")} AS gold_form
-FROM (SELECT doc_id, substring(text, 1, 300) || ' \\alpha* $x_1$ end' AS t FROM documents)""")
+FROM (SELECT doc_id, text || ' \\alpha* $x_1$ end' AS t FROM documents)""")
 def normalize_title(spark, sf):
-    t = F.concat(F.substring("text", 1, 300), F.lit(" \\alpha* $x_1$ end"))
+    t = F.concat("text", F.lit(" \\alpha* $x_1$ end"))
     return table(spark, sf, "documents").select(
         "doc_id", tx.normalize_title(t).alias("resolver_form"), tx.normalize_title(t, drop_math=True).alias("gold_form"))
 
@@ -49,10 +49,10 @@ def tokens_sql(x: str) -> str:
 
 @query("title_jaccard", with_ctes(PAPERS_SQL) + f"""
 SELECT paper_id, {_JAC_SQL.format(a='ta', b='tb')} AS jaccard FROM (
-  SELECT paper_id, {tokens_sql('title')} AS ta, {tokens_sql("CASE WHEN doc_id % 9 = 0 THEN '' ELSE array_to_string(list_slice(string_split(abstract, ' '), 3, 11), ' ') END")} AS tb FROM papers)""")
+  SELECT paper_id, {tokens_sql('title')} AS ta, {tokens_sql("CASE WHEN doc_id % 9 = 0 THEN '' ELSE abstract END")} AS tb FROM papers)""")
 def title_jaccard(spark, sf):
     p = papers(spark, sf)
-    other = F.when(F.col("doc_id") % 9 == 0, "").otherwise(F.array_join(F.slice(F.split("abstract", " "), 3, 9), " "))
+    other = F.when(F.col("doc_id") % 9 == 0, "").otherwise(F.col("abstract"))
     return p.select("paper_id", F.round(tx.title_jaccard(F.col("title"), other), 4).alias("jaccard"))
 
 
@@ -237,9 +237,9 @@ def word_count(spark, sf):
 
 
 @query("strip_fences", """
-SELECT doc_id, md5(substring(text, 1, 400) || chr(10) || chr(10) || 'end') AS stripped FROM documents""")
+SELECT doc_id, md5(trim(text || chr(10) || chr(10) || 'end', ' ' || chr(10) || chr(9) || chr(13))) AS stripped FROM documents""")
 def strip_fences(spark, sf):
-    t = F.concat(F.substring("text", 1, 400), F.lit("\n```bibtex\n## x\n```  \nend"))
+    t = F.concat("text", F.lit("\n```bibtex\n## x\n```  \nend"))
     return table(spark, sf, "documents").select("doc_id", F.md5(tx.strip_fences(t)).alias("stripped"))
 
 
@@ -263,10 +263,10 @@ def year_label(spark, sf):
 
 
 @query("first_heading", f"""
-SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN trim(substring({sq('text')}, 1, 60)) ELSE 'none' END AS heading FROM documents""")
+SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN substring({sq('text')}, 1, 240) ELSE 'none' END AS heading FROM documents""")
 def first_heading(spark, sf):
     body = tx.squeeze(F.col("text"))
-    t = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("## sub\n#   "), F.trim(F.substring(body, 1, 60)), F.lit("  \n# two"))).otherwise(
+    t = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("## sub\n#   "), body, F.lit("  \n# two"))).otherwise(
         F.concat(F.lit("## "), body))
     return table(spark, sf, "documents").select("doc_id", tx.first_heading(t, F.lit("none")).alias("heading"))
 
