@@ -28,6 +28,8 @@ from sparkfolio.session import work_dir
 
 #: Bytes of payload after which a task starts its next archive.
 ROLL = 256 << 20
+#: Compressed bytes that one task reads back.
+TASK_BYTES = 4 << 20
 #: Bytes moved at once while a record is copied.
 COPY = 1 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -255,10 +257,12 @@ def read_records(index: DataFrame, folder: str, partitions: int | None = None) -
     """Records at the places of ``index`` (path, offset, length), checked against their digests.
 
     Returns page_id, url, record_type, payload_digest, payload_bytes, refers_to and payload
-    (null for revisits).  Tasks get stretches of neighbouring records.
+    (null for revisits).  Tasks get stretches of neighbouring records; unless ``partitions`` is
+    given, one for every ``TASK_BYTES`` of compressed records.
     """
-    by = (partitions,) if partitions else ()
-    places = index.select("path", "offset", "length").repartitionByRange(*by, "path", "offset").sortWithinPartitions("path", "offset")
+    if partitions is None:
+        partitions = 1 + (index.agg(F.sum("length")).first()[0] or 0) // TASK_BYTES
+    places = index.select("path", "offset", "length").repartitionByRange(partitions, "path", "offset").sortWithinPartitions("path", "offset")
     return places.mapInArrow(_read(folder), _RECORD)
 
 

@@ -517,3 +517,15 @@ def test_long_license_files(spark):
 
 def test_spaces_are_those_of_the_rule():
     assert sorted(SPACES) == [9, 10, 11, 12, 13, 32]
+
+
+def test_records_are_read_in_stretches_of_bytes(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions
+
+    pages = spark.range(60).selectExpr("id AS page_id", "'http://h/' AS url", "array_join(sequence(id, id + 400), ' ') AS html")
+    index = warc.normalise_archives(warc.write_archives(pages, f"file://{tmp_path}"), f"file://{tmp_path}")
+    total = index.agg(functions.sum("length")).first()[0]
+    monkeypatch.setattr(warc, "TASK_BYTES", total // 6)
+    got = warc.read_records(index, f"file://{tmp_path}").withColumn("task", functions.spark_partition_id())
+    tasks = got.groupBy("task").count().collect()
+    assert len(tasks) >= 5 and sum(r["count"] for r in tasks) == 60
