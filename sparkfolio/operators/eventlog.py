@@ -6,9 +6,13 @@ time blocks of a run (see ``sparkfolio.scale``); final states are map-side aggre
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from decimal import Decimal
 
-from sparkfolio.scale import numbered, position_block, running, time_block
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, DecimalType, LongType
+
+from sparkfolio.scale import cut_lineage, numbered, position_block, running, time_block
 from sparkfolio.sources.papers import first_row_per_key
 
 TERMINAL = ("success", "degraded", "error")
@@ -45,29 +49,27 @@ def fold_steps(events: DataFrame) -> DataFrame:
     A completion sets its outcome; a later start reopens a step unless it is completed; each
     end of the run, in order, closes the steps that run then.
     """
+    ends = F.when(F.col("type").isin(*TERMINAL_TYPES), F.col("type"))
+    # Read backwards, the last end seen so far is the first end after a row.
+    marked = running(events.withColumn("_back", -F.col("seq")), ["run_id"], position_block(F.col("_back")), ["_back"],
+                     lasts={"next_end": ends}, before=["next_end"])
     done = F.when(F.col("type") == "step.completed", F.col("seq"))
     outcome = F.when(F.col("status").isin("error", "failed"), "error").when(F.col("status") == "skipped", "skipped").otherwise("completed")
-    steps = events.filter(F.col("type").startswith("step.")).groupBy("run_id", "node").agg(
-        F.min("seq").alias("first_seq"), F.min_by("ts", "seq").alias("first_ts"), F.max(done).alias("done_seq"),
-        F.max_by(outcome, done).alias("outcome"), F.max(F.when(F.col("type") == "step.started", F.col("seq"))).alias("start_seq"),
-        F.max_by("duration_ms", F.when(F.col("duration_ms").isNotNull(), F.col("seq"))).alias("duration_ms"), F.count(F.lit(1)).alias("n_events"))
-    # Only a step without a completed outcome can still change, and only after its last outcome.
-    open_ = steps.filter(F.coalesce(F.col("outcome") != "completed", F.lit(True))).select(
-        "run_id", "node", F.coalesce("done_seq", F.col("first_seq")).alias("since"), F.col("done_seq").isNull().alias("runs"))
-    ends = events.filter(F.col("type").isin(*TERMINAL_TYPES)).select("run_id", "seq", F.col("type").alias("mark"))
-    starts = events.filter(F.col("type") == "step.started").select("run_id", "node", "seq", F.lit("start").alias("mark"))
-    marks = open_.join(ends, "run_id").unionByName(open_.join(starts, ["run_id", "node"])).filter(F.col("seq") > F.col("since")).unionByName(
-        open_.filter("runs").withColumn("seq", F.col("since")).withColumn("mark", F.lit("start")))
-    # An end closes the step when the mark before it is a start; otherwise it is closed already.
-    before = F.lag("mark").over(Window.partitionBy("run_id", "node").orderBy("seq"))
-    marks = marks.withColumn("closes", (F.col("mark") != "start") & (before == "start"))
-    last = marks.groupBy("run_id", "node").agg(
-        F.max_by("mark", "seq").alias("last_mark"), F.bool_or("closes").alias("closed"),
-        F.bool_or(F.col("closes") & (F.col("mark") == "run.completed")).alias("ended_well"))
-    j = steps.join(last, ["run_id", "node"], "left")
-    status = (F.when(F.col("ended_well"), "completed").when(F.col("last_mark") == "start", "running")
-              .when(F.col("closed"), "error").otherwise(F.col("outcome")))
-    return j.select("run_id", "node", status.alias("status"), "first_ts", "duration_ms", "n_events")
+    start, after = F.col("type") == "step.started", F.col("next_end")
+    steps = marked.filter(F.col("type").startswith("step.")).groupBy("run_id", "node").agg(
+        F.min_by("ts", "seq").alias("first_ts"), F.max(done).alias("done_seq"), F.max_by(outcome, done).alias("outcome"),
+        F.max_by("duration_ms", F.when(F.col("duration_ms").isNotNull(), F.col("seq"))).alias("duration_ms"), F.count(F.lit(1)).alias("n_events"),
+        F.min_by(F.coalesce(after, F.lit("")), "seq").alias("first_end"), F.max(F.when(start & after.isNull(), F.col("seq"))).alias("open_start"),
+        F.max(F.when(start & after.isNotNull(), F.col("seq"))).alias("closed_start"),
+        F.max(F.when(start & (after == "run.completed"), F.col("seq"))).alias("well_start"))
+    # Only starts after the last outcome count; without an outcome the first event is a start too.
+    new = F.col("done_seq").isNull()
+    later = lambda c: F.coalesce(F.col(c) > F.coalesce("done_seq", F.lit(-(2**62))), F.lit(False))
+    status = (F.when(F.col("outcome") == "completed", "completed")
+              .when(later("well_start") | (new & (F.col("first_end") == "run.completed")), "completed")
+              .when(later("open_start") | (new & (F.col("first_end") == "")), "running")
+              .when(later("closed_start") | new, "error").otherwise(F.col("outcome")))
+    return steps.select("run_id", "node", status.alias("status"), "first_ts", "duration_ms", "n_events")
 
 
 def fold_runs(events: DataFrame) -> DataFrame:
@@ -172,9 +174,8 @@ def split_updates(payloads: DataFrame, nodes: DataFrame) -> DataFrame:
 def merge_chunks(chunks: DataFrame, piece_rows: int = 4096) -> DataFrame:
     """(run_id, piece, text, chars): answer text in pieces of consecutive chunks.
 
-    A chunk that repeats the whole text so far (over 8 characters) restarts the text; with
-    ``cumulative_chars`` known to the producer this shows as a chunk flagged ``restart``.
-    Pieces stay bounded however long one answer gets; a short answer is one piece.
+    The text starts at the last chunk that ``flag_restarts`` (or the producer) flagged
+    ``restart``.  Pieces stay bounded however long one answer gets; a short answer is one piece.
     """
     last = chunks.groupBy("run_id").agg(F.max(F.when(F.col("restart"), F.col("pos"))).alias("from_pos"))
     kept = chunks.join(last, "run_id").filter(F.col("from_pos").isNull() | (F.col("pos") >= F.col("from_pos")))
@@ -183,18 +184,75 @@ def merge_chunks(chunks: DataFrame, piece_rows: int = 4096) -> DataFrame:
         F.struct("pos", "text"))), lambda c: c["text"]), "").alias("text")).withColumn("chars", F.length("text").cast("long"))
 
 
-def flag_restarts(chunks: DataFrame) -> DataFrame:
-    """Flag chunks that start with the whole previous text (for short streams held in one row per run)."""
-    start = F.struct(F.lit("").alias("text"), F.array().cast("array<boolean>").alias("flags"))
+#: Safe prime, so that powers of 256 do not repeat; a text's hash is its bytes, as digits to base 256, modulo it.
+HASH_MOD = 2**88 - 797
+
+
+@F.pandas_udf(DecimalType(38, 0))
+def _placed_hash(text: pd.Series, end: pd.Series) -> pd.Series:
+    """Hash of a chunk scaled to its place, so that the hash of consecutive chunks is a sum."""
+    inverse = pow(256, -1, HASH_MOD)
+    return pd.Series([Decimal(int.from_bytes(t.encode()) % HASH_MOD * pow(inverse, e, HASH_MOD) % HASH_MOD) for t, e in zip(text, end, strict=True)])
+
 
-    def step(acc: Column, c: Column) -> Column:
-        again = (F.length(acc["text"]) > 8) & c["text"].startswith(acc["text"])
-        return F.struct(F.when(again, c["text"]).otherwise(F.concat(acc["text"], c["text"])).alias("text"),
-                        F.concat(acc["flags"], F.array(again)).alias("flags"))
+@F.pandas_udf(ArrayType(LongType()))
+def _repeated(text: pd.Series, at: pd.Series, starts: pd.Series) -> pd.Series:
+    """Of (size, r, total), by size: each r from which the chunks up to byte ``at`` hash like as many bytes of ``text``."""
+    found = []
+    for t, end, asked in zip(text, at, starts, strict=True):
+        data, seen, value, same = t.encode(), 0, 0, []
+        for a in asked:
+            size, total = a["size"], int(a["total"]) % HASH_MOD
+            value = (value * pow(256, size - seen, HASH_MOD) + int.from_bytes(data[seen:size])) % HASH_MOD
+            seen = size
+            if value == total * pow(256, end, HASH_MOD) % HASH_MOD:
+                same.append(a["r"])
+        found.append(same)
+    return pd.Series(found)
 
-    rows = chunks.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("cs"))
-    z = rows.select("run_id", F.explode(F.arrays_zip("cs", F.aggregate("cs", start, step)["flags"].alias("flags"))).alias("z"))
-    return z.select("run_id", "z.cs.pos", "z.cs.text", F.col("z.flags").alias("restart"))
+
+def flag_restarts(chunks: DataFrame) -> DataFrame:
+    """(run_id, pos, text, restart): flag the chunks that start with the whole text so far, over 8 characters.
+
+    No run is collected: each chunk's hash is scaled to its byte offset, so running sums over
+    blocks of a run give the hash of any stretch of chunks.  A chunk can only repeat the text since an
+    earlier restart (or the run's first chunk) that lies at most its own length back, so a run's
+    candidate pairs grow with its text; restarts then follow from one another by doubling steps.
+    Null texts count as empty; (run_id, pos) is unique.  The hash has 88 bits.
+    """
+    base = chunks.select("run_id", "pos", F.coalesce("text", F.lit("")).alias("text")).withColumn("n", F.octet_length("text").cast("long"))
+    block = position_block(F.col("pos"))
+    sized = running(base, ["run_id"], block, ["pos"], sums={"ends": F.col("n"), "chars": F.length("text").cast("long")})
+    placed = cut_lineage(running(sized.withColumn("h", _placed_hash("text", "ends")), ["run_id"], block, ["pos"], sums={"hashes": F.col("h")}))
+    first = placed.groupBy("run_id").agg(F.min_by("text", F.when(F.col("n") > 0, F.col("pos"))).alias("head"), F.min("pos").alias("first_pos"))
+    starts = F.col("text").startswith(F.col("head")) & (F.length("text") > 8)
+    able = placed.join(first, "run_id").filter(starts | (F.col("pos") == F.col("first_pos"))).select(
+        "run_id", "pos", "text", (F.col("ends") - F.col("n")).alias("at"), (F.col("chars") - F.length("text")).alias("at_chars"),
+        (F.col("hashes") - F.col("h")).alias("sum_at"), (F.col("pos") > F.col("first_pos")).alias("later"), "n")
+    # Slices of bytes in powers of two: a chunk meets the starts in its own and the slice before.
+    origin = able.select("run_id", F.col("pos").alias("r"), F.col("at").alias("r_at"), F.col("at_chars").alias("r_chars"), F.col("sum_at").alias("r_sum"))
+    asked = able.filter("later").drop("text").withColumn("w", F.ceil(F.log2("n")).cast("int")).withColumn(
+        "slot", F.expr("explode(array(shiftright(at, w), shiftright(at, w) - 1))"))
+    offered = origin.join(asked.select("run_id", "w").distinct(), "run_id").withColumn("slot", F.expr("shiftright(r_at, w)"))
+    size = F.col("at") - F.col("r_at")
+    pairs = asked.join(offered, ["run_id", "w", "slot"]).filter((F.col("r") < F.col("pos")) & (size <= F.col("n")) & (F.col("at_chars") - F.col("r_chars") > 8))
+    # At most one start per nine bytes of a chunk: the list is no longer than the chunk.
+    listed = pairs.groupBy("run_id", "pos").agg(F.array_sort(F.collect_list(F.struct(
+        size.alias("size"), F.col("r").cast("long").alias("r"), (F.col("sum_at") - F.col("r_sum")).alias("total")))).alias("starts"))
+    hit = able.select("run_id", "pos", "text", "at").join(listed, ["run_id", "pos"]).select("run_id", "pos", F.explode(_repeated("text", "at", "starts")).alias("r"))
+    step = cut_lineage(hit.groupBy("run_id", "r").agg(F.min("pos").alias("to")))
+    reached = cut_lineage(first.select("run_id", F.col("first_pos").alias("r")))
+    found = reached
+    # ``step`` covers 1, 2, 4, ... restarts; what it reaches from the known ones doubles each time.
+    while True:
+        new = cut_lineage(found.join(step, ["run_id", "r"]).select("run_id", F.col("to").alias("r")).join(found, ["run_id", "r"], "left_anti"))
+        if new.isEmpty():
+            break
+        found = cut_lineage(found.unionByName(new))
+        step = cut_lineage(step.join(step.select("run_id", F.col("r").alias("to"), F.col("to").alias("to2")), ["run_id", "to"]).select(
+            "run_id", "r", F.col("to2").alias("to")))
+    restarts = found.join(reached, ["run_id", "r"], "left_anti").select("run_id", F.col("r").alias("pos"), F.lit(True).alias("restart"))
+    return base.drop("n").join(restarts, ["run_id", "pos"], "left").withColumn("restart", F.coalesce("restart", F.lit(False)))
 
 
 def lifecycle_once(events: DataFrame) -> DataFrame:

@@ -97,8 +97,8 @@ def tiered_candidates(papers: DataFrame, repos: DataFrame, limit: int = 5) -> Da
     """(paper_id, rank, url, tier): repositories by id, title words, author and title words; URL once.
 
     ``papers``: (paper_id, arxiv_id, title, author); ``repos``: (url, name, description, stars).
-    Query words and repository words meet by equality, tier by tier; a later tier is only
-    used where the earlier ones gave too few.
+    A query meets the repositories of its rarest word, whose other words are then verified; a
+    later tier is only used where the earlier ones gave too few.
     """
     from sparkfolio.operators.graph import topk
 
@@ -111,9 +111,13 @@ def tiered_candidates(papers: DataFrame, repos: DataFrame, limit: int = 5) -> Da
         F.struct(F.lit(2).alias("tier"), F.col("tw").alias("ws")),
         F.struct(F.lit(3).alias("tier"), F.concat(F.array(last), F.slice("tw", 1, 3)).alias("ws")))).alias("q")).select(
         "paper_id", "q.tier", F.array_distinct(F.filter("q.ws", lambda w: w.isNotNull() & (w != ""))).alias("ws")).filter(F.size("ws") > 0)
-    have = repos.select("url", "stars", F.explode(tokens(F.concat_ws(" ", "name", "description"))).alias("w"))
-    hit = asked.select("paper_id", "tier", F.size("ws").alias("n"), F.explode("ws").alias("w")).join(have, "w").groupBy(
-        "paper_id", "tier", "url", "stars", "n").agg(F.count(F.lit(1)).alias("m")).filter("m = n")
+    have = repos.select("url", "stars", tokens(F.concat_ws(" ", "name", "description")).alias("have"))
+    by_word = have.withColumn("w", F.explode("have"))
+    # A repository with all words of a query has its rarest one; a word that no repository has ends the query.
+    counts = by_word.groupBy("w").agg(F.count(F.lit(1)).alias("uses"))
+    rarest = asked.withColumn("w", F.explode("ws")).join(counts, "w").groupBy("paper_id", "tier", "ws").agg(
+        F.min_by("w", F.struct("uses", "w")).alias("w"), F.count(F.lit(1)).alias("known")).filter(F.col("known") == F.size("ws"))
+    hit = rarest.join(by_word, "w").filter(F.size(F.array_except("ws", "have")) == 0)
     best = hit.groupBy("paper_id", "url").agg(F.min("tier").alias("tier"), F.max("stars").alias("stars"))
     per_tier = topk(best, ["paper_id", "tier"], [F.col("stars").desc(), F.col("url")], limit, "tier_rank")
     return topk(per_tier, ["paper_id"], [F.col("tier"), F.col("tier_rank")], limit).select("paper_id", "rank", "url", "tier")

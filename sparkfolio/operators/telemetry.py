@@ -200,10 +200,9 @@ def flatten_timings(records: DataFrame, key: str, payload: str = "payload") -> D
     level = records.select(key, F.lit("").alias("path"), F.try_parse_json(payload).alias("v"))
     out = None
     for _ in range(4):
-        level.createOrReplaceTempView("_sparkfolio_level")
-        parts = level.sparkSession.sql(
-            f"SELECT l.{key}, l.path, t.pos, t.key AS k, t.value AS v FROM _sparkfolio_level l, LATERAL variant_explode(l.v) t "
-            "WHERE schema_of_variant(l.v) LIKE 'OBJECT%'")
+        objects = level.filter(F.schema_of_variant("v").startswith("OBJECT"))
+        parts = objects.lateralJoin(records.sparkSession.tvf.variant_explode(F.col("v").outer()).toDF("pos", "k", "part")).select(
+            key, "path", "pos", "k", F.col("part").alias("v"))
         named = parts.filter(name_ok(F.trim("k")) & (F.col("pos") < 128)).select(
             key, F.when(F.col("path") == "", F.trim("k")).otherwise(F.concat("path", F.lit("."), F.trim("k"))).alias("path"), "v")
         kind = F.schema_of_variant("v")

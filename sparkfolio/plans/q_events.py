@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from sparkfolio.functions.text import word_count
 from sparkfolio.operators import eventlog as el, telemetry as tm
@@ -312,11 +312,31 @@ def run_summary(spark, sf):
     return el.run_summary(ev).select("run_id", "quick", F.coalesce("seconds", F.lit(-1)).alias("seconds"))
 
 
-@query("merge_chunks", """
-SELECT conv_id AS run_id, CAST(0 AS BIGINT) AS piece, md5(string_agg(text, '' ORDER BY turn)) AS text_md5, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY 1""")
+# Every third message repeats the whole conversation before it, as a cumulative producer does.
+CHUNKS_SQL = """WITH RECURSIVE c AS (
+  SELECT conv_id, row_number() OVER w AS pos, CASE WHEN turn % 3 = 2 THEN coalesce(string_agg(text, '' ) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') ELSE '' END || text AS text
+  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+f AS (SELECT conv_id, pos, text AS so_far, false AS again FROM c WHERE pos = 1
+  UNION ALL SELECT c.conv_id, c.pos, CASE WHEN length(so_far) > 8 AND starts_with(c.text, so_far) THEN '' ELSE so_far END || c.text, length(so_far) > 8 AND starts_with(c.text, so_far)
+  FROM f JOIN c ON c.conv_id = f.conv_id AND c.pos = f.pos + 1)"""
+
+
+def _chunks(spark, sf):
+    so_far = Window.partitionBy("conv_id").orderBy("turn")
+    before = F.array_join(F.collect_list("text").over(so_far.rowsBetween(Window.unboundedPreceding, -1)), "")
+    text = F.concat(F.when(F.col("turn") % 3 == 2, before).otherwise(""), "text")
+    return table(spark, sf, "conversations").select(F.col("conv_id").alias("run_id"), F.row_number().over(so_far).alias("pos"), text.alias("text"))
+
+
+@query("flag_restarts", CHUNKS_SQL + "SELECT conv_id AS run_id, CAST(pos AS BIGINT) AS pos, again AS restart FROM f")
+def flag_restarts(spark, sf):
+    return el.flag_restarts(_chunks(spark, sf)).select("run_id", F.col("pos").cast("long").alias("pos"), "restart")
+
+
+@query("merge_chunks", CHUNKS_SQL + """
+SELECT conv_id AS run_id, CAST(0 AS BIGINT) AS piece, md5(arg_max(so_far, pos)) AS text_md5, CAST(length(arg_max(so_far, pos)) AS BIGINT) AS chars FROM f GROUP BY 1""")
 def merge_chunks(spark, sf):
-    c = table(spark, sf, "conversations").select(F.col("conv_id").alias("run_id"), F.col("turn").alias("pos"), "text", F.lit(False).alias("restart"))
-    return el.merge_chunks(c).select("run_id", "piece", F.md5("text").alias("text_md5"), "chars")
+    return el.merge_chunks(el.flag_restarts(_chunks(spark, sf))).select("run_id", "piece", F.md5("text").alias("text_md5"), "chars")
 
 
 @query("lifecycle_once", EV + """

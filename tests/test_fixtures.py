@@ -312,6 +312,44 @@ def test_chunk_restart(spark):
     chunks = spark.createDataFrame([(1, 0, "Hello wor"), (1, 1, "Hello world and"), (1, 2, " more"), (2, 0, "ab"), (2, 1, "abab")], "run_id int, pos int, text string")
     got = {r["run_id"]: r["text"] for r in el.merge_chunks(el.flag_restarts(chunks)).collect()}
     assert got == {1: "Hello world and more", 2: "ababab"}
+    assert el.flag_restarts(chunks.limit(0)).count() == 0
+
+
+def test_chunk_restart_against_a_fold(spark):
+    rng, table, want = random.Random(5), [], []
+    for run in range(40):
+        so_far = ""
+        for pos in range(rng.randint(1, 25)):
+            kind = rng.random()
+            text = so_far + rng.choice(["", "é", "more "]) if kind < 0.4 else None if kind < 0.5 else so_far[: rng.randint(0, 12)] if kind < 0.6 else rng.choice(["aa", "aaaaaaaaa", "ab é"])
+            again = len(so_far) > 8 and (text or "").startswith(so_far)
+            so_far = text if again else so_far + (text or "")
+            table.append((run, pos, text))
+            want.append((run, pos, again))
+    chunks = spark.createDataFrame(table, "run_id long, pos long, text string")
+    assert sorted((r["run_id"], r["pos"], r["restart"]) for r in el.flag_restarts(chunks).collect()) == want
+    assert sum(w[2] for w in want) > 50
+
+
+def test_steps_against_a_fold(spark):
+    rng, table, want = random.Random(6), [], {}
+    for run in range(60):
+        state = {}
+        for seq in range(1, rng.randint(2, 30)):
+            kind, node = rng.choice(["step.started", "step.started", "step.updated", "step.completed", "run.failed", "run.completed"]), rng.choice("ab")
+            status = rng.choice(["error", "skipped", "ok"])
+            table.append((run, seq, seq, kind, node if kind.startswith("step") else None, status, None))
+            if kind == "run.completed" or kind == "run.failed":
+                state = {n: ("completed" if kind == "run.completed" else "error") if s == "running" else s for n, s in state.items()}
+            elif kind == "step.completed":
+                state[node] = {"ok": "completed"}.get(status, status)
+            elif node not in state or (kind == "step.started" and state[node] != "completed"):
+                state[node] = "running"
+        want |= {(run, n): s for n, s in state.items()}
+    events = spark.createDataFrame(table, "run_id long, seq long, ts long, type string, node string, status string, duration_ms long")
+    got = {(r["run_id"], r["node"]): r["status"] for r in el.fold_steps(events).collect()}
+    assert got.keys() == want.keys()
+    assert got == want
 
 
 # --- streams -----------------------------------------------------------------
