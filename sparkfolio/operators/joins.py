@@ -190,6 +190,33 @@ def thread_views(messages: DataFrame) -> DataFrame:
                       "n_messages", "n_user", "last_pos")
 
 
+def thread_snapshots(threads: DataFrame, messages: DataFrame, runs: DataFrame, artifacts: DataFrame, piece_rows: int = 1000) -> DataFrame:
+    """(thread_id, piece, title, updated_at, messages, runs, artifacts): threads with nested lists.
+
+    ``threads``: (thread_id, title, updated_at); the children have (thread_id, pos, at) and their own
+    columns, which become lists of structs in order of ``pos``.  A long thread comes in pieces of
+    ``piece_rows`` positions; a thread without children has one empty piece.  A default title is
+    replaced by the first user message, ``updated_at`` is the latest time of the thread and its children.
+    """
+    from sparkfolio.functions.redact import safe_text
+
+    def rows(df: DataFrame, name: str) -> DataFrame:
+        return df.select("thread_id", F.floor(F.col("pos") / piece_rows).alias("piece"), F.struct("pos", *[c for c in df.columns if c not in ("thread_id", "pos")]).alias(name))
+
+    children = threads.select("thread_id", F.lit(0).cast("long").alias("piece"))
+    for df, name in ((messages, "messages"), (runs, "runs"), (artifacts, "artifacts")):
+        children = children.unionByName(rows(df, name), allowMissingColumns=True)
+    lists = children.groupBy("thread_id", "piece").agg(*[F.array_sort(F.collect_list(n)).alias(n) for n in ("messages", "runs", "artifacts")])
+    first = messages.groupBy("thread_id").agg(F.min_by("content", F.when(F.col("role") == "user", F.col("pos"))).alias("asked"))
+    times = messages.select("thread_id", "at").unionByName(runs.select("thread_id", "at")).unionByName(artifacts.select("thread_id", "at")).groupBy(
+        "thread_id").agg(F.max("at").alias("last_at"))
+    title = F.when(F.col("title") != "New research", F.col("title")).otherwise(F.coalesce(
+        F.nullif(F.substring(safe_text(F.col("asked"), 8000), 1, 160), F.lit("")), F.lit("New research")))
+    heads = threads.join(first, "thread_id", "left").join(times, "thread_id", "left").select(
+        "thread_id", title.alias("title"), F.greatest("updated_at", "last_at").alias("updated_at"))
+    return heads.join(lists, "thread_id").select("thread_id", "piece", "title", "updated_at", "messages", "runs", "artifacts")
+
+
 def run_results(runs: DataFrame, papers: DataFrame) -> DataFrame:
     """(run_id, n_papers, n_bibtex, report_ready, seconds): the public result of each run.
 

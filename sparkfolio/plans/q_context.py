@@ -231,6 +231,27 @@ def thread_view(spark, sf):
     return jn.thread_views(c)
 
 
+@query("thread_snapshot", """
+WITH c AS (SELECT *, turn + 10 * (conv_id % 3) AS moment FROM conversations)
+SELECT conv_id AS thread_id, turn // 4 AS piece, any_value(title) AS title, any_value(updated) AS updated_at, count(*) AS n_messages, md5(string_agg(role || text, '|' ORDER BY turn)) AS messages_md5,
+  coalesce(string_agg('run-' || CAST(turn AS VARCHAR), ',' ORDER BY turn) FILTER (role = 'assistant'), '') AS runs,
+  coalesce(string_agg('report-' || CAST(turn AS VARCHAR), ',' ORDER BY turn) FILTER (role = 'assistant' AND length(text) % 2 = 0), '') AS artifacts
+FROM c JOIN (SELECT conv_id, greatest(conv_id % 50, max(moment)) AS updated, CASE WHEN conv_id % 4 = 1 THEN 'Thread ' || CAST(conv_id AS VARCHAR)
+  ELSE coalesce(nullif(substring(trim(arg_min(text, turn) FILTER (role = 'user'), ' ' || chr(10)), 1, 160), ''), 'New research') END AS title FROM c GROUP BY conv_id) USING (conv_id) GROUP BY ALL""")
+def thread_snapshot(spark, sf):
+    c = table(spark, sf, "conversations").select(
+        F.col("conv_id").alias("thread_id"), F.col("turn").alias("pos"), (F.col("turn") + 10 * (F.col("conv_id") % 3)).alias("at"), "role", F.col("text").alias("content"))
+    id_ = F.col("thread_id")
+    threads = c.select("thread_id", F.when(id_ % 4 == 1, F.concat(F.lit("Thread "), id_.cast("string"))).otherwise("New research").alias("title"), (id_ % 50).alias("updated_at")).distinct()
+    answers = c.filter("role = 'assistant'")
+    runs = answers.select("thread_id", "pos", "at", F.concat(F.lit("run-"), F.col("pos").cast("string")).alias("run_id"))
+    artifacts = answers.filter(F.length("content") % 2 == 0).select("thread_id", "pos", "at", F.concat(F.lit("report-"), F.col("pos").cast("string")).alias("artifact_id"))
+    out = jn.thread_snapshots(threads, c, runs, artifacts, piece_rows=4)
+    return out.select("thread_id", "piece", "title", "updated_at", F.size("messages").cast("long").alias("n_messages"),
+                      F.md5(F.array_join(F.transform("messages", lambda m: F.concat(m["role"], m["content"])), "|")).alias("messages_md5"),
+                      F.array_join(F.transform("runs", lambda r: r["run_id"]), ",").alias("runs"), F.array_join(F.transform("artifacts", lambda a: a["artifact_id"]), ",").alias("artifacts"))
+
+
 @query("run_result", with_ctes(PAPERS_SQL) + """
 SELECT CAST(doc_id % 40 AS BIGINT) AS run_id, count(*) AS n_papers, count(quality) AS n_bibtex, doc_id % 40 % 4 <> 0 AND doc_id % 40 % 5 <> 0 AS report_ready, CAST(CASE WHEN doc_id % 40 % 3 = 0 THEN 7 ELSE 100 END AS BIGINT) AS seconds FROM papers LEFT JOIN labels USING (doc_id) GROUP BY ALL""")
 def run_result(spark, sf):

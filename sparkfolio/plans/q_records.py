@@ -35,6 +35,46 @@ def read_goldset(spark, sf):
     return back.select(F.col("survey_id").cast("long").alias("query_id"), "query", F.explode("gold").alias("paper_id"))
 
 
+@query("read_runs", """
+WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS id, doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text FROM documents)
+SELECT 'run' || id AS run_id, CASE WHEN doc_id % 3 = 0 THEN 'baseline' ELSE 'output' END AS layout, CASE WHEN doc_id % 3 = 0 THEN 'unknown' WHEN doc_id % 3 = 1 THEN 'success' ELSE 'running' END AS status,
+  doc_id / 2 AS total_seconds, '2401.' || id AS arxiv_id, field, md5(CASE field WHEN 'problem' THEN lang WHEN 'method' THEN text ELSE '' END) AS text_md5
+FROM d, (SELECT unnest(['problem', 'method', 'result', 'limitation']) AS field)""")
+def read_runs(spark, sf):
+    # Each document is the note of one run; every third run has the older layout.
+    id_, lines = F.col("doc_id").cast("string"), lambda *c: F.to_json(F.struct(*c))
+    d = table(spark, sf, "documents").withColumn("paper", F.concat(F.lit("arxiv_2401."), id_)).withColumn("folder", F.concat(F.lit("/runs/run"), id_))
+    note = F.struct(F.col("lang").alias("problem"), F.col("text").alias("method"))
+    file = lambda name, text: F.struct(F.concat("folder", F.lit(name)).alias("path"), text.alias("text"))
+    older = F.array(
+        file("/run.json", lines((F.col("doc_id") / 2).alias("total_seconds"), F.struct(F.create_map("paper", F.lit("notes/a.json")).alias("pmrl_by_paper")).alias("artifacts"))),
+        file("/notes/a.json", F.to_json(note)))
+    newer = F.array(
+        file("/run.json", lines(F.lit("running").alias("status"), (F.col("doc_id") / 2).alias("total_seconds"))),
+        file("/state.json", lines(F.when(F.col("doc_id") % 3 == 1, "success").alias("status"), F.array(F.struct(F.col("paper").alias("paper_id"), note.alias("notes"))).alias("selected_papers"))))
+    files = d.select(F.explode(F.when(F.col("doc_id") % 3 == 0, older).otherwise(newer)).alias("f")).select("f.path", "f.text")
+    runs, notes = rec.run_artifacts(files)
+    return runs.join(notes, "run_id").select("run_id", "layout", "status", "total_seconds", "arxiv_id", "field", F.md5("text").alias("text_md5"))
+
+
+@query("read_threads", """
+SELECT 't' || CAST(conv_id AS VARCHAR) AS thread_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, role, md5(text) AS content_md5, CASE WHEN conv_id % 2 = 0 THEN 'New research' ELSE 'Talk' END AS title,
+  CASE WHEN turn % 2 = 0 THEN 'success' ELSE 'error' END AS status FROM conversations WHERE conv_id % 7 <> 0 AND conv_id % 5 <> 0""")
+def read_threads(spark, sf):
+    # One file per conversation; every seventh is of another version, every fifth is cut short.
+    c = table(spark, sf, "conversations")
+    entry = F.struct("turn", "role", F.col("text").alias("content"), F.concat(F.lit("r"), F.col("turn").cast("string")).alias("runId"))
+    lists = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(entry)).alias("messages"))
+    status = lambda m: F.struct(m["runId"].alias("runId"), F.when(m["turn"] % 2 == 0, "success").otherwise("running").alias("status"))
+    text = F.to_json(F.struct(
+        F.when(F.col("conv_id") % 7 == 0, 2).otherwise(1).alias("version"), F.concat(F.lit("t"), F.col("conv_id").cast("string")).alias("threadId"),
+        F.when(F.col("conv_id") % 2 == 1, "Talk").otherwise(" ").alias("title"), "messages", F.transform("messages", status).alias("runs")))
+    files = lists.select(F.when(F.col("conv_id") % 5 == 0, F.left(text, F.length(text) - 1)).otherwise(text).alias("text"))
+    threads, messages, runs = rec.thread_records(files)
+    return threads.join(messages, "thread_id").join(runs.select("thread_id", "pos", "status"), ["thread_id", "pos"]).select(
+        "thread_id", F.col("pos").cast("long").alias("pos"), "role", F.md5("content").alias("content_md5"), "title", "status")
+
+
 @query("read_atom", with_ctes(PAPERS_SQL) + """
 SELECT paper_id || 'v1' AS arxiv_id, title, date AS published, primary_category || ',x' AS subjects, CASE WHEN title <> '' THEN 'complete' ELSE 'missing' END AS metadata_status FROM papers WHERE regexp_matches(paper_id, '^\\d{4}\\.')""")
 def read_atom(spark, sf):

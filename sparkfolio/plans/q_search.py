@@ -9,6 +9,7 @@ from sparkfolio.plans.bindings import (
     GOLD_SQL, PAPERS_SQL, QUERIES_SQL, gold, norm_sql, paper_id, papers, search_queries, with_ctes,
 )
 from sparkfolio.plans.registry import query, table
+from sparkfolio.session import work_dir
 
 _STOP = ", ".join(f"'{w}'" for w in se.QUERY_STOPWORDS)
 QTERMS_SQL = f"""qterms AS (
@@ -90,6 +91,13 @@ def search_and_or(spark, sf):
     return se.search_papers(search_queries(spark, sf), papers(spark, sf), 5, stem=False, max_terms=None)
 
 
+@query("search_stored", FULL + "SELECT query_id, rank, paper_id, score, tier FROM ranked WHERE rank <= 5")
+def search_stored(spark, sf):
+    path = work_dir(spark) + "/index"
+    se.write_index(papers(spark, sf), path, stem=False)
+    return se.search_index(spark, path, search_queries(spark, sf), 5, stem=False, max_terms=None)
+
+
 @query("search_stemmed", None)
 def search_stemmed(spark, sf):
     return se.search_papers(search_queries(spark, sf), papers(spark, sf), 5, stem=True, max_terms=None)

@@ -48,47 +48,49 @@ def read_atom(spark: SparkSession, path: str) -> DataFrame:
         metadata_status(F.col("title"), F.col("authors"), F.col("published"), F.col("subjects")).alias("metadata_status"))
 
 
-def _run_of(depth: int = 1) -> Column:
-    """Run folder name from the file path."""
-    return F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1 - depth)
+def file_texts(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
+    """(path, text): each file of a folder, subfolders included, as one row."""
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
+    return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
-def read_run_artifacts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(runs, notes) of a folder of runs in both layouts.
+def run_artifacts(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(runs, notes) of the files (path, text) of run folders in both layouts.
 
     A run with ``state.json`` is a run output; else its ``run.json`` names one note file
     per paper.  runs: (run_id, layout, status, total_seconds); notes: (run_id, paper_id,
     arxiv_id, field, text).
     """
-    load = lambda schema, glob, depth=1: spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option(
-        "pathGlobFilter", glob).json(path).withColumn("run_id", _run_of(depth))
+    parts = F.split("path", "/")
+    named = files.select(F.element_at(parts, -1).alias("name"), F.try_element_at(parts, F.lit(-2)).alias("folder"),
+                         F.try_element_at(parts, F.lit(-3)).alias("above"), "text")
+    load = lambda schema, name: named.filter(F.col("name") == name).select(F.col("folder").alias("run_id"), F.from_json("text", schema).alias("r")).select("run_id", "r.*")
     meta = load(sc.RUN_META, "run.json")
     state = load(sc.RUN_STATE, "state.json").withColumnRenamed("status", "state_status")
     runs = meta.join(state.select("run_id", "state_status", F.lit(True).alias("has_state")), "run_id", "left").select(
         "run_id", F.when(F.col("has_state"), "output").otherwise("baseline").alias("layout"),
         F.coalesce("state_status", "status", F.lit("unknown")).alias("status"), "total_seconds")
     def fields(c: str) -> Column:
-        return F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(F.col(f"{c}.{f}" if c else f), F.lit("")).alias("text"))
-                                   for f in NOTE_FIELDS]))
+        return F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(F.col(f"{c}.{f}"), F.lit("")).alias("text")) for f in NOTE_FIELDS]))
 
+    own_id = F.regexp_extract("paper_id", "^arxiv_(.*)$", 1)
     new = state.select("run_id", F.explode("selected_papers").alias("p")).select(
-        "run_id", "p.paper_id", F.coalesce("p.arxiv_id", F.regexp_extract("p.paper_id", "^arxiv_(.*)$", 1)).alias("arxiv_id"),
-        fields("p.notes").alias("n"))
+        "run_id", "p.paper_id", F.coalesce("p.arxiv_id", F.regexp_extract("p.paper_id", "^arxiv_(.*)$", 1)).alias("arxiv_id"), fields("p.notes").alias("n"))
     listed = meta.join(state.select("run_id"), "run_id", "left_anti").select("run_id", F.explode("artifacts.pmrl_by_paper").alias("paper_id", "rel"))
-    files = spark.read.schema(sc.NOTE_FILE).option("multiLine", True).option("recursiveFileLookup", True).option(
-        "pathGlobFilter", "*.json").json(path).withColumn("path", F.col("_metadata.file_path"))
-    files = files.withColumn("rel", F.concat_ws("/", F.element_at(F.split("path", "/"), -2), F.element_at(F.split("path", "/"), -1))).withColumn(
-        "run_id", F.element_at(F.split("path", "/"), -3))
-    old = listed.join(files, ["run_id", "rel"], "left").select(
-        "run_id", "paper_id", F.regexp_extract("paper_id", "^arxiv_(.*)$", 1).alias("arxiv_id"), fields("").alias("n"))
+    note_files = named.select(F.col("above").alias("run_id"), F.concat_ws("/", "folder", "name").alias("rel"), F.from_json("text", sc.NOTE_FILE).alias("note"))
+    old = listed.join(note_files, ["run_id", "rel"], "left").select("run_id", "paper_id", own_id.alias("arxiv_id"), fields("note").alias("n"))
     notes = new.unionByName(old).select("run_id", "paper_id", "arxiv_id", "n.field", "n.text")
     return runs, notes
 
 
-def read_threads(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(threads, messages, runs) of stored thread files; other versions and broken files are skipped."""
-    raw = spark.read.schema(sc.THREAD).option("multiLine", True).option("mode", "PERMISSIVE").option(
-        "columnNameOfCorruptRecord", "_corrupt").json(path)
+def read_run_artifacts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """``run_artifacts`` of a folder of run folders."""
+    return run_artifacts(file_texts(spark, path))
+
+
+def thread_records(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(threads, messages, runs) of thread files (text); other versions and broken files are skipped."""
+    raw = files.select(F.from_json("text", sc.THREAD, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("t")).select("t.*")
     ok = raw.filter((F.col("version") == 1) & F.col("_corrupt").isNull() & F.col("threadId").isNotNull())
     threads = ok.select(F.col("threadId").alias("thread_id"), F.when(is_blank(F.col("title")), "New research").otherwise(
         F.substring("title", 1, 160)).alias("title"), F.col("createdAt").alias("created_at"), F.col("updatedAt").alias("updated_at"))
@@ -99,6 +101,11 @@ def read_threads(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame,
     return threads, messages, runs
 
 
+def read_threads(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``thread_records`` of a folder of thread files."""
+    return thread_records(file_texts(spark, path))
+
+
 def lenient_notes(records: DataFrame, payload: str = "payload") -> DataFrame:
     """Notes from machine-written JSON: numbers read as text, NULL as default, a bad list as empty.
 

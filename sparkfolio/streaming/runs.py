@@ -1,19 +1,22 @@
 """Run events as a stream: numbering, replay guard, folding and throttling.
 
 Folded state uses built-in streaming aggregates, which combine rows on the map side, so
-a run with most of the traffic is no single task's load.  Only what is sequential by
-nature (consecutive numbers, emit decisions) keeps per-run state in Python, reading
-Arrow chunks one at a time.
+a run with most of the traffic is no single task's load.  Numbers and replay guards run per
+micro-batch as the batch operators do, with the last seq of each run as a written table.
+Only the decisions when to emit keep per-run state in Python, reading Arrow chunks one at a time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from sparkfolio.scale import numbered, running, time_block
+
 EVENT_SCHEMA = ("run_id long, event_id long, ts timestamp, type string, node string, status string, seq long, duration_ms long, "
                 "delta string")
 
@@ -47,36 +50,49 @@ def fold_steps_stream(events: DataFrame) -> DataFrame:
         F.max(F.when(F.col("type") == "step.started", F.col("seq"))).alias("start_seq"), F.count(F.lit(1)).alias("n_events"))
 
 
-def _count_up(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Numbers of one run's events of one trigger, which Arrow may hand over in several chunks."""
-    seq = state.get[0] if state.exists else 0
-    rows = pd.concat(list(chunks)).sort_values(["ts", "event_id"])
-    state.update((seq + len(rows),))
-    yield pd.DataFrame({"run_id": key[0], "event_id": rows["event_id"].to_numpy(), "seq": range(seq + 1, seq + 1 + len(rows))})
+def _with_last_seq(folder: str, kept: Callable[[DataFrame, DataFrame], DataFrame], highest: Callable[[DataFrame, DataFrame], DataFrame]):
+    """Batch function that writes ``kept(batch, last)`` and, per run, its highest seq so far.
+
+    ``last`` is (run_id, last_seq) after the batch before.  Both results lie in folders of
+    the batch's number and are written over when a batch is repeated after a failure.
+    """
+    def run(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        last = spark.read.parquet(f"{folder}/last/{number - 1}") if number else spark.createDataFrame([], "run_id long, last_seq long")
+        target = f"{folder}/events/batch={number}"
+        kept(batch, last).write.mode("overwrite").parquet(target)
+        seen = highest(batch, spark.read.parquet(target)).groupBy("run_id").agg(F.max("seq").alias("last_seq"))
+        last.unionByName(seen).groupBy("run_id").agg(F.max("last_seq").alias("last_seq")).write.mode("overwrite").parquet(f"{folder}/last/{number}")
+
+    return run
+
+
+def _start(events: DataFrame, folder: str, batch: Callable[[DataFrame, int], None], trigger: dict) -> StreamingQuery:
+    writer = events.writeStream.foreachBatch(batch).option("checkpointLocation", f"{folder}/checkpoint")
+    return (writer.trigger(**trigger) if trigger else writer).start()
 
 
-def _only_newer(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    last = state.get[0] if state.exists else None
-    rows = pd.concat(list(chunks)).sort_values(["ts", "event_id"])
-    highest = rows["seq"].cummax().shift().fillna(-(2**62)).clip(lower=-(2**62) if last is None else last)
-    if len(rows):
-        state.update((int(max(rows["seq"].max(), -(2**62) if last is None else last)),))
-    yield rows[(rows["seq"] > highest) | (rows["seq"] <= 0)][["run_id", "event_id", "seq"]]
+def drop_replayed_stream(events: DataFrame, folder: str, **trigger) -> StreamingQuery:
+    """Write to ``folder/events`` (run_id, event_id, seq) of the events whose seq is above every seq of
+    the run that came before, like the batch ``drop_replayed``: repeated and late numbers go however
+    late they are.  Inside one trigger events count in time order; a run's events split by time."""
+    def kept(batch: DataFrame, last: DataFrame) -> DataFrame:
+        rows = running(batch.select("run_id", "event_id", "ts", "seq"), ["run_id"], time_block(F.col("ts")), ["ts", "event_id"],
+                       maxes={"before": F.col("seq")}, before=["before"]).join(last, "run_id", "left")
+        highest = F.greatest("before", "last_seq")
+        return rows.filter(highest.isNull() | (F.col("seq") > highest) | (F.col("seq") <= 0)).select("run_id", "event_id", "seq")
 
+    return _start(events, folder, _with_last_seq(folder, kept, lambda batch, written: batch), trigger)
 
-def drop_replayed_stream(events: DataFrame) -> DataFrame:
-    """(run_id, event_id, seq) of the events whose seq is above every seq of the run that came
-    before, like the batch ``drop_replayed``: repeated and late numbers go however late they are.
-    Inside one trigger events count in time order; a trigger's events of one run are held in memory."""
-    return events.select("run_id", "event_id", "ts", "seq").groupBy("run_id").applyInPandasWithState(
-        _only_newer, "run_id long, event_id long, seq long", "last_seq long", "append", GroupStateTimeout.NoTimeout)
 
+def number_events(events: DataFrame, folder: str, **trigger) -> StreamingQuery:
+    """Write to ``folder/events`` (run_id, event_id, seq): consecutive numbers per run in arrival order,
+    inside one trigger by time.  A run's events of a trigger are numbered in blocks of time."""
+    def kept(batch: DataFrame, last: DataFrame) -> DataFrame:
+        rows = numbered(batch.select("run_id", "event_id", "ts"), ["run_id"], time_block(F.col("ts")), ["ts", "event_id"])
+        return rows.join(last, "run_id", "left").select("run_id", "event_id", (F.col("seq") + F.coalesce("last_seq", F.lit(0))).alias("seq"))
 
-def number_events(events: DataFrame) -> DataFrame:
-    """Consecutive ``seq`` per run in arrival order (inside one trigger by time).  A trigger's
-    events of one run are held in memory."""
-    return events.select("run_id", "event_id", "ts").groupBy("run_id").applyInPandasWithState(
-        _count_up, "run_id long, event_id long, seq long", "seq long", "append", GroupStateTimeout.NoTimeout)
+    return _start(events, folder, _with_last_seq(folder, kept, lambda batch, written: written), trigger)
 
 
 MIN_CHARS, MIN_SECONDS = 256, 0.15

@@ -11,7 +11,7 @@ from sparkfolio.functions import ids, numbers as nb, redact as rd, text as tx
 from sparkfolio.functions.stem import nfkd_fold, stem_word
 from sparkfolio.functions.tex import tex_to_text
 from sparkfolio.operators import (
-    context as cx, eventlog as el, filters as fl, graph as gr, ground as gd, markdown as mk, recall as rc, resolve as rs, search as se,
+    context as cx, eventlog as el, filters as fl, graph as gr, ground as gd, joins as jn, markdown as mk, recall as rc, resolve as rs, search as se,
 )
 from sparkfolio.sources import pages as sp, papers as src, records as rec
 from sparkfolio.streaming import runs as st
@@ -268,6 +268,17 @@ def test_threads(spark, tmp_path):
     assert messages.count() == 1
 
 
+def test_thread_snapshots(spark):
+    threads = spark.createDataFrame([(1, "New research", 5), (2, "Mine", 9), (3, "New research", 1)], "thread_id int, title string, updated_at int")
+    messages = spark.createDataFrame([(1, 1, 7, "user", " Ask  me "), (1, 0, 6, "assistant", "hi"), (1, 2, 8, "user", "x"), (2, 0, 2, "user", "y")],
+                                     "thread_id int, pos int, at int, role string, content string")
+    runs = spark.createDataFrame([(1, 0, 20, "r1")], "thread_id int, pos int, at int, run_id string")
+    out = jn.thread_snapshots(threads, messages, runs, runs.limit(0), piece_rows=2).orderBy("thread_id", "piece").collect()
+    assert [(r["thread_id"], r["piece"], r["updated_at"], [m["pos"] for m in r["messages"]], len(r["runs"]), len(r["artifacts"])) for r in out] == [
+        (1, 0, 20, [0, 1], 1, 0), (1, 1, 20, [2], 0, 0), (2, 0, 9, [0], 0, 0), (3, 0, 1, [], 0, 0)]
+    assert out[0]["title"].startswith("Ask") and [r["title"] for r in out[2:]] == ["Mine", "New research"]
+
+
 def test_run_artifacts(spark, tmp_path):
     new, old = tmp_path / "new", tmp_path / "old"
     (old / "notes").mkdir(parents=True)
@@ -384,9 +395,11 @@ def test_stream_fold_equals_batch(spark, event_files):
     assert sorted(map(tuple, got.select("run_id", "last_seq", "status", "answer_chars").collect())) == sorted(map(tuple, batch.collect()))
 
 
-def test_stream_numbers_and_dedupe(spark, event_files):
+def test_stream_numbers_and_dedupe(spark, event_files, tmp_path):
     ev = st.read_events(spark, event_files)
-    rows = drain(st.number_events(ev), spark, "numbered", "append").collect()
+    st.number_events(st.read_events(spark, event_files, files_per_trigger=1), str(tmp_path), availableNow=True).awaitTermination()
+    rows = spark.read.parquet(f"{tmp_path}/events").collect()
+    assert len(rows) == 400
     per = {}
     for r in rows:
         per.setdefault(r["run_id"], []).append(r["seq"])
@@ -434,15 +447,12 @@ def test_stream_numbers_and_late_seq(spark, tmp_path):
 
     put(0, [(k, 100 - k, 100 - k) for k in range(100)])
     put(1, [(500, 1000, 7), (501, 1001, 200), (502, 1002, 0)])
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
-    try:
-        for name, make in (("numbered", st.number_events), ("newer", st.drop_replayed_stream)):
-            q = make(st.read_events(spark, str(tmp_path / "ev"))).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).option(
-                "checkpointLocation", str(tmp_path / f"cp_{name}")).start()
-            q.awaitTermination()
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    got = {r["event_id"]: r["seq"] for r in spark.table("numbered").collect()}
-    assert [got[k] for k in range(99, -1, -1)] == list(range(1, 101)) and len(got) == 103
-    kept = {r["event_id"] for r in spark.table("newer").collect()}
-    assert kept == set(range(100)) | {501, 502}
+    for name, make in (("numbered", st.number_events), ("newer", st.drop_replayed_stream)):
+        make(st.read_events(spark, str(tmp_path / "ev"), files_per_trigger=1), str(tmp_path / name), availableNow=True).awaitTermination()
+    put(2, [(600, 2000, 200), (601, 2001, 201)])
+    for name, make in (("numbered", st.number_events), ("newer", st.drop_replayed_stream)):
+        make(st.read_events(spark, str(tmp_path / "ev"), files_per_trigger=1), str(tmp_path / name), availableNow=True).awaitTermination()
+    got = {r["event_id"]: r["seq"] for r in spark.read.parquet(str(tmp_path / "numbered" / "events")).collect()}
+    assert [got[k] for k in range(99, -1, -1)] == list(range(1, 101)) and sorted(got.values()) == list(range(1, 106))
+    kept = {r["event_id"] for r in spark.read.parquet(str(tmp_path / "newer" / "events")).collect()}
+    assert kept == set(range(100)) | {501, 502, 601}
