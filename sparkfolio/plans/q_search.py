@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sparkfolio.functions.stem import with_stem
 from sparkfolio.operators import recall as rc, search as se
 from sparkfolio.plans.bindings import (
     GOLD_SQL, PAPERS_SQL, QUERIES_SQL, gold, norm_sql, paper_id, papers, search_queries, with_ctes,
 )
 from sparkfolio.plans.registry import query, table
+from sparkfolio.plans.stem_sql import stems_sql
 from sparkfolio.session import work_dir
 
 _STOP = ", ".join(f"'{w}'" for w in se.QUERY_STOPWORDS)
@@ -98,7 +100,18 @@ def search_stored(spark, sf):
     return se.search_index(spark, path, search_queries(spark, sf), 5, stem=False, max_terms=None)
 
 
-@query("search_stemmed", None)
+STEMS_SQL = stems_sql("SELECT term FROM post0 UNION SELECT term FROM qidx0") + """,
+qidx AS (SELECT query_id, stem AS term, sum(weight) AS weight, count(*) OVER (PARTITION BY query_id) AS n_terms FROM qidx0 JOIN stems USING (term) GROUP BY query_id, stem),
+post AS (SELECT paper_id, length, stem AS term, sum(tf_title) AS tf_title, sum(tf_abstract) AS tf_abstract FROM post0 JOIN stems USING (term) GROUP BY paper_id, length, stem)"""
+STEMMED = with_ctes(PAPERS_SQL, QUERIES_SQL, QTERMS_SQL, QIDX_SQL.replace("qidx AS", "qidx0 AS"), POST_SQL.replace("post AS", "post0 AS"), STEMS_SQL, HITS_SQL, RANKED_SQL)
+
+
+@query("stem_words", with_ctes(PAPERS_SQL, POST_SQL, stems_sql("SELECT DISTINCT term FROM post")) + "SELECT term, stem FROM stems")
+def stem_words(spark, sf):
+    return with_stem(se.postings(papers(spark, sf)).select("term").distinct()).select("term", "stem")
+
+
+@query("search_stemmed", STEMMED + "SELECT query_id, rank, paper_id, score, tier FROM ranked WHERE rank <= 5")
 def search_stemmed(spark, sf):
     return se.search_papers(search_queries(spark, sf), papers(spark, sf), 5, stem=True, max_terms=None)
 

@@ -456,3 +456,18 @@ def test_stream_numbers_and_late_seq(spark, tmp_path):
     assert [got[k] for k in range(99, -1, -1)] == list(range(1, 101)) and sorted(got.values()) == list(range(1, 106))
     kept = {r["event_id"] for r in spark.read.parquet(str(tmp_path / "newer" / "events")).collect()}
     assert kept == set(range(100)) | {501, 502, 601}
+
+
+def test_stems_in_sql_against_the_function():
+    import duckdb
+    from sparkfolio.plans.stem_sql import stems_sql
+
+    rng = random.Random(9)
+    ends = ["", "s", "sses", "ies", "eed", "ed", "ing", "y", "ational", "izer", "ization", "iveness", "biliti", "logi", "icate", "ful", "ness", "ement", "ion", "ou", "e", "ll", "able"]
+    words = {"".join(rng.choice("aeioubcdlmstyyz") for _ in range(rng.randint(0, 6))) + rng.choice(ends) for _ in range(5000)}
+    words |= {"caresses", "ponies", "agreed", "plastered", "hopping", "filing", "happy", "relational", "adoption", "controlling", "sky", "é", "a1b", "is"}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE words (term VARCHAR)")
+    con.executemany("INSERT INTO words VALUES (?)", [(w,) for w in sorted(words)])
+    got = dict(con.execute("WITH " + stems_sql("SELECT term FROM words") + " SELECT term, stem FROM stems").fetchall())
+    assert got == {w: stem_word(w) for w in words}
