@@ -1,16 +1,16 @@
 """Toxicity classifier that is regularised by counterfactuals.
 
 A logistic model over words is fitted on a bounded sample of labelled rows, weighted back to the
-share of each label among all of them.  For every pair
-of identity terms of one list, the squared difference of their log odds (what a swap changes in a
-linear model) is part of the loss, weighted by how often the first term is sampled, plus one: a
-mention alone must not move the score.  No text is rewritten or scored again, and texts that hold
-both terms, or words with the same beginnings, are not treated apart.
+share of each label among all of them.  Identity terms of each sampled text are swapped for others
+of their list, the text is featured again, and the squared change of the score, averaged over the
+swapped texts, is part of the loss: a mention alone must not move the score.
 Scoring reads every whole text where it lies.
 """
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkfolio.llm.common import mix, per_row, raw, span_hashes, text_slices, word_spans, words
+from sparkfolio.llm.common import mix, per_row, raw, span_hashes, text_slices, word_spans
 
 #: Bounds of the training sample: rows with label 1 and with label 0.
 MOST_TOXIC, MOST_CLEAN = 3_000, 5_000
@@ -40,6 +40,8 @@ IDENTITY = (
     ("femmes", "hommes", "musulmans", "chrétiens", "juifs", "étrangers", "réfugiés"),
     ("mujeres", "hombres", "musulmanes", "cristianos", "judíos", "extranjeros", "refugiados"),
 )
+#: Swapped versions of a sampled text that has identity terms.
+SWAPS = 3
 #: Letters of a word: ASCII letters in lower case, digits and all bytes beyond ASCII; the rest is space.
 _PLAIN = np.array([c if c >= 128 or chr(c).isalnum() else 32 for c in range(256)], np.uint8)
 _PLAIN[65:91] += 32
@@ -77,13 +79,8 @@ def text_words(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return [np.unique(x) for x in np.split(flat[np.argsort(owner, kind="stable")], cuts)]
 
 
-def word_hash(word: str) -> np.uint64:
-    data = np.frombuffer(word.encode(), np.uint8)
-    return words(_PLAIN[data], np.array([0, len(data)]))[0][0]
-
-
-def _features(word: str) -> np.ndarray:
-    data = np.frombuffer(word.encode(), np.uint8)
+def _features(text: bytes) -> np.ndarray:
+    data = np.frombuffer(text, np.uint8)
     return text_words(data, np.array([0, len(data)]))[0]
 
 
@@ -92,17 +89,51 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
 
 
+_PLACE = {term.encode(): (group, i) for group in IDENTITY for i, term in enumerate(group)}
+_TERM = re.compile(rb"(?i)(?<![a-z0-9\x80-\xff])(?:" + b"|".join(sorted(map(re.escape, _PLACE), key=len, reverse=True)) + rb")(?![a-z0-9\x80-\xff])")
+
+
+def swapped_texts(text: bytes) -> list[bytes]:
+    """``SWAPS`` versions of a text with every identity term replaced by another of its list, in the
+    capitals of the old one; which one follows from the text.  Nothing for a text without terms."""
+    if not _TERM.search(text):
+        return []
+    seed = zlib.crc32(text)
+
+    def other(turn: int):
+        def swap(match: re.Match) -> bytes:
+            group, i = _PLACE[match[0].lower()]
+            term = group[(i + 1 + (seed + turn) % (len(group) - 1)) % len(group)].encode()
+            return term.upper() if match[0].isupper() else term.capitalize() if match[0][:1].isupper() else term
+        return swap
+
+    return [_TERM.sub(other(k), text) for k in range(SWAPS)]
+
+
+_LISTS = pa.list_(pa.list_(pa.int64()))
+
+
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in text_slices(batches):
-        got = [x.view(np.int64) for x in text_words(*raw(batch.column("text")))]
-        yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("weight"), pa.array(got, pa.list_(pa.int64()))], names=["label", "weight", "words"])
+        data, offsets = raw(batch.column("text"))
+        rows = text_words(data, offsets)
+        gone, come = [], []
+        for k, own in enumerate(rows):
+            versions = swapped_texts(data[offsets[k]: offsets[k + 1]].tobytes())
+            new = [_features(v) for v in versions]
+            gone.append([np.setdiff1d(own, x).view(np.int64) for x in new])
+            come.append([np.setdiff1d(x, own).view(np.int64) for x in new])
+        got = [x.view(np.int64) for x in rows]
+        yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("weight"), pa.array(got, pa.list_(pa.int64())), pa.array(gone, _LISTS), pa.array(come, _LISTS)],
+                                         names=["label", "weight", "words", "gone", "come"])
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN) -> DataFrame:
-    """(label, weight, words) of the labelled rows outside the held-out fold, in the order of a
+    """(label, weight, words, gone, come) of the labelled rows outside the held-out fold, in the order of a
     hash of the id: all of them, or ``most_toxic`` and ``most_clean`` if there are more.
 
-    ``weight``: how many labelled rows of its label a sampled row stands for.
+    ``weight``: how many labelled rows of its label a sampled row stands for; ``gone`` and ``come``:
+    the words that each swapped version of the text loses and gains.
     """
     usable = labels.select(F.col("doc_id").alias("l_id"), F.col(label_col).cast("int").alias("label")).filter("l_id is not null and label in (0, 1)").filter(~held_out(F.col("l_id")))
     usable = usable.groupBy("l_id").agg(F.max("label").alias("label"))
@@ -111,7 +142,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label_col: str = "toxic"
     picked = [usable.filter(F.col("label") == k).orderBy(by, "l_id").limit(n).withColumn("weight", F.lit(max(1.0, whole.get(k, 0) / max(n, 1))))
               for k, n in ((1, most_toxic), (0, most_clean))]
     ids = F.broadcast(picked[0].unionByName(picked[1]))  # most_toxic + most_clean rows at most
-    return docs.join(ids, F.col("doc_id") == F.col("l_id")).select("label", "weight", "text").mapInArrow(_featured, "label int, weight double, words array<long>")
+    return docs.join(ids, F.col("doc_id") == F.col("l_id")).select("label", "weight", "text").mapInArrow(_featured, "label int, weight double, words array<long>, gone array<array<long>>, come array<array<long>>")
 
 
 class Model:
@@ -132,9 +163,13 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total, -40, 40)))
 
 
-def fit(labels: np.ndarray, rows: list[np.ndarray], weights: np.ndarray | None = None, ridge: float = 1e-4, fairness: float = 1.0, steps: int = 300, least_texts: int = LEAST_TEXTS,
-        least_z: float = LEAST_Z, most_words: int = MOST_WORDS, identity: tuple[tuple[str, ...], ...] = IDENTITY) -> Model:
-    """Logistic loss + ``ridge`` * |w|^2 / 2 + ``fairness`` * mean squared difference of the log odds of paired identity terms.
+#: For each row the words that its swapped versions lose and gain.
+Swaps = list[list[tuple[np.ndarray, np.ndarray]]]
+
+
+def fit(labels: np.ndarray, rows: list[np.ndarray], weights: np.ndarray | None = None, swaps: Swaps | None = None, ridge: float = 1e-4, fairness: float = 10.0, steps: int = 300,
+        least_texts: int = LEAST_TEXTS, least_z: float = LEAST_Z, most_words: int = MOST_WORDS, identity: tuple[tuple[str, ...], ...] = IDENTITY) -> Model:
+    """Logistic loss + ``ridge`` * |w|^2 / 2 + ``fairness`` * mean squared change of the score over the swapped rows.
 
     ``weights``: labelled rows that each row stands for, 1 when not given.  Texts with the same
     words count once; then each label weighs as much as the labelled rows it has, so neither
@@ -156,8 +191,8 @@ def fit(labels: np.ndarray, rows: list[np.ndarray], weights: np.ndarray | None =
     flat = np.concatenate(rows)
     owner = np.repeat(np.arange(n), counts)
     found, uses = np.unique(flat, return_counts=True)
-    features = [[_features(w) for w in group] for group in identity]  # a swap changes the word and its beginnings
-    terms = np.unique(np.concatenate([x for group in features for x in group])) if features else np.zeros(0, np.uint64)
+    features = [_features(w.encode()) for group in identity for w in group]  # a swap changes the word and its beginnings
+    terms = np.unique(np.concatenate(features)) if features else np.zeros(0, np.uint64)
     mine = np.bincount(np.searchsorted(found, flat), np.repeat(labels, counts), len(found))
     toxic, mean = labels.sum(), uses / n
     apart = mine / toxic - (uses - mine) / (n - toxic)
@@ -170,16 +205,18 @@ def fit(labels: np.ndarray, rows: list[np.ndarray], weights: np.ndarray | None =
     column, row = at[known], owner[known]
     size = len(vocabulary)
 
-    # swaps: with term b of a list in the place of term a, a text scores sum(b) - sum(a) more
-    spread = [np.searchsorted(vocabulary, x) for group in features for x in group]
-    part = np.concatenate(spread) if spread else np.zeros(0, int)
-    term = np.repeat(np.arange(len(spread)), [len(x) for x in spread])
-    seen = np.bincount(column, minlength=size)
-    often_seen = np.array([1.0 + seen[np.searchsorted(vocabulary, word_hash(w))] if word_hash(w) in vocabulary else 1.0 for group in identity for w in group])
-    edges = np.cumsum([0, *(len(group) for group in identity)])
-    pairs = [(i, j) for low, high in zip(edges, edges[1:], strict=False) for i in range(low, high) for j in range(low, high) if i != j]
-    left, right = np.array(pairs, int).reshape(-1, 2).T
-    push = often_seen[left] / often_seen[left].sum() if len(left) else often_seen
+    def columns(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(version, column) of the words of swapped versions that the model has."""
+        words_ = np.concatenate([*lists, np.zeros(0, np.uint64)])
+        place = np.minimum(np.searchsorted(vocabulary, words_), size - 1) if size else np.zeros(len(words_), int)
+        have = vocabulary[place] == words_ if size else np.zeros(0, bool)
+        return np.repeat(np.arange(len(lists)), [len(x) for x in lists])[have], place[have]
+
+    versions = [(i, gone, come) for i, old in enumerate(keep) for gone, come in (swaps[old] if swaps else [])]
+    of = np.array([v[0] for v in versions], int)
+    gone_at, gone_col = columns([v[1] for v in versions])
+    come_at, come_col = columns([v[2] for v in versions])
+    push = mass[of] / mass[of].sum() if len(of) else np.zeros(0)
 
     weight, bias = np.zeros(size), constant.bias
     first, second = np.zeros(size + 1), np.zeros(size + 1)
@@ -187,11 +224,14 @@ def fit(labels: np.ndarray, rows: list[np.ndarray], weights: np.ndarray | None =
         margin = np.bincount(row, weight[column], n) + bias
         miss = (1 / (1 + np.exp(-np.clip(margin, -40, 40))) - labels) * mass
         slope = np.append(np.bincount(column, miss[row], size) + ridge * weight, miss.sum())
-        if len(left):
-            value = np.bincount(term, weight[part], len(spread))
-            change = 2 * fairness * push * (value[right] - value[left])
-            pull = np.bincount(right, change, len(spread)) - np.bincount(left, change, len(spread))
-            slope[:size] += np.bincount(part, pull[term], size)
+        if len(of):
+            shift = np.bincount(come_at, weight[come_col], len(of)) - np.bincount(gone_at, weight[gone_col], len(of))
+            score, other = (1 / (1 + np.exp(-np.clip(m, -40, 40))) for m in (margin[of], margin[of] + shift))
+            change = 2 * fairness * push * (score - other)
+            by_shift = -change * other * (1 - other)
+            by_margin = np.bincount(of, change * score * (1 - score) + by_shift, n)
+            slope += np.append(np.bincount(column, by_margin[row], size) + np.bincount(come_col, by_shift[come_at], size) - np.bincount(gone_col, by_shift[gone_at], size),
+                               by_margin.sum())
         first = 0.9 * first + 0.1 * slope
         second = 0.999 * second + 0.001 * slope**2
         move = 0.05 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-9)
@@ -207,7 +247,9 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", most_tox
         return fit(np.zeros(0), [])
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
     values, ends = lists.flatten().to_numpy().view(np.uint64), np.cumsum(lists.value_lengths().to_numpy())
-    return fit(sample.column("label").to_numpy().astype(float), np.split(values, ends[:-1]), sample.column("weight").to_numpy(), **options)
+    words_ = lambda x: np.array(x, np.int64).view(np.uint64)
+    swaps = [[(words_(g), words_(c)) for g, c in zip(gone, come, strict=True)] for gone, come in zip(sample.column("gone").to_pylist(), sample.column("come").to_pylist(), strict=True)]
+    return fit(sample.column("label").to_numpy().astype(float), np.split(values, ends[:-1]), sample.column("weight").to_numpy(), swaps, **options)
 
 
 def _score(model: Model):

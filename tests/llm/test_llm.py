@@ -367,9 +367,27 @@ def test_swaps_even_out_identity_terms():
         data = np.frombuffer(t.encode(), np.uint8)
         return toxicity.text_words(data, np.array([0, len(data)]))[0]
     sets = [featured(t) for t in texts]
+    versions = [[v.decode() for v in toxicity.swapped_texts(t.encode())] for t in texts]
+    swaps = [[(np.setdiff1d(s, featured(v)), np.setdiff1d(featured(v), s)) for v in vs] for s, vs in zip(sets, versions, strict=True)]
+    assert sum(map(len, versions)) == toxicity.SWAPS * sum("muslim" in t or "christian" in t for t in texts)
     probe = [featured("a muslim walk by the river"), featured("a christian walk by the river")]
-    gap = [abs(np.subtract(*toxicity.fit(np.array(labels), sets, fairness=f).score(probe))) for f in (0.0, 20.0)]
+    models = [toxicity.fit(np.array(labels), sets, swaps=swaps, fairness=f) for f in (0.0, 20.0)]
+    gap = [abs(np.subtract(*m.score(probe))) for m in models]
     assert gap[1] < 0.5 * gap[0]
+    # the penalised quantity, from whole swapped texts scored again
+    moved = [np.mean([(m.score([sets[i]])[0] - m.score([featured(v)])[0]) ** 2 for i, vs in enumerate(versions) for v in vs]) for m in models]
+    assert moved[1] < 0.3 * moved[0]
+
+
+def test_swapped_texts():
+    text = "Muslim WOMEN and blackbird, gay; flüchtlinge!".encode()
+    got = toxicity.swapped_texts(text)
+    assert len(got) == toxicity.SWAPS and toxicity.swapped_texts(b"blackbird") == [] and toxicity.swapped_texts(b"") == []
+    for version in got:
+        first, second, _, bird, fourth, last = version.decode().split()
+        assert first[0].isupper() and first != "Muslim" and first.lower() in toxicity.IDENTITY[4]
+        assert second.isupper() and second != "WOMEN" and second.lower() in toxicity.IDENTITY[0]
+        assert bird == "blackbird," and fourth != "gay;" and fourth[:-1] in toxicity.IDENTITY[2] and last != "flüchtlinge!" and last[:-1] in toxicity.IDENTITY[8]
 
 
 def test_toxicity(spark, odd, empty):
