@@ -66,3 +66,49 @@ def test_pool_and_coupling_of_empty_tables(spark):
     assert pool.collect() == []
     assert gr.coupling(pool, sd, rf, wk, listed=gr.listed_citers(none(sd), none(sel), ct, wk)).collect() == []
     assert gr.citer_pool(sd, sel, none(ct), wk).collect() == []
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sets_are_counted_one_by_one(spark):
+    """No table of all (set, work) counts or (set, target) lists: sets stream through one exchange each."""
+    _, _, _, _, _, (sd, sel, ct, wk), rf = _case(spark, random.Random(2))
+    nodes = spark.createDataFrame([(1, 3), (1, 4), (2, 3)], "set_id int, work_id int")
+    for df in (gr.citer_pool(sd, sel, ct, wk), gr.coupling_pairs(nodes, rf), gr.most_cited(nodes, rf)):
+        assert "MapInArrow" in _plan(df)
+
+
+@pytest.mark.parametrize("text", [False, True])
+def test_pairs_and_prior_works_match_brute_force(spark, text):
+    rng = random.Random(7)
+    name = (lambda n: f"w{n:03d}") if text else (lambda n: n)
+    kind = "string" if text else "int"
+    refs = {w: {rng.choice([name(t) for t in range(40, 60)] + [None]) for _ in range(5)} for w in map(name, range(30))}
+    nodes = {(s, name(rng.randrange(32))) for s in (0, 1, 2, None) for _ in range(12)}
+    picked = {(s, name(rng.randrange(40, 60))) for s in (0, 1, 2, None) for _ in range(3)}
+    nd = spark.createDataFrame(list(nodes), f"set_id int, work_id {kind}")
+    rf = spark.createDataFrame([(w, t) for w, ts in refs.items() for t in ts], f"source {kind}, target {kind}")
+    pairs = {}
+    for s, a in nodes:
+        for r, b in nodes:
+            if s == r and a < b and (n := len(refs.get(a, set()) & refs.get(b, set()))):
+                pairs[s, a, b] = (n, n / (len(refs[a]) * len(refs[b])) ** 0.5)
+    got = {tuple(r)[:3]: tuple(r)[3:] for r in gr.coupling_pairs(nd, rf).collect()}
+    assert got.keys() == pairs.keys()
+    assert all(got[k][0] == n and got[k][1] == pytest.approx(w) for k, (n, w) in pairs.items())
+    support = {}
+    for s, w in nodes:
+        for t in refs.get(w, ()):
+            support[s, t] = support.get((s, t), 0) + 1
+    assert {(r[0], r[1]): r[2] for r in gr.most_cited(nd, rf).collect()} == support
+    known = spark.createDataFrame([(name(t),) for t in range(40, 60, 2)], f"work_id {kind}")
+    sel = spark.createDataFrame(list(picked), f"set_id int, paper_id {kind}")
+    allowed = {name(t) for t in range(40, 60, 2)}
+    left = {k: v for k, v in support.items() if k not in {p for p in picked if p[0] is not None} and k[1] in allowed}
+    want = {}
+    for s in {k[0] for k in left}:
+        ranked = sorted((-v, t) for (r, t), v in left.items() if r == s)[:10]
+        want |= {(s, t): (-v, i) for i, (v, t) in enumerate(ranked, 1)}
+    assert {(r["set_id"], r["work_id"]): (r["support"], r["rank"]) for r in gr.prior_works(nd, sel, rf, known).collect()} == want
