@@ -33,6 +33,9 @@ QUERY_STOPWORDS = (
 KEYWORD_STOPWORDS = ("the", "and", "for", "with", "from", "into", "using", "based", "via", "its", "are", "that")
 INDEX_BUCKETS = 256
 
+# Query terms up to this number are sent to every task.
+FEW_TERMS = 200_000
+
 
 def query_terms(queries: DataFrame, max_terms: int | None = MAX_QUERY_TERMS) -> DataFrame:
     """(query_id, pos, term): distinct content words of each query, the first ``max_terms`` or all (None)."""
@@ -99,6 +102,9 @@ def bm25_hits(terms: DataFrame, index: DataFrame, corpus: DataFrame) -> DataFram
     freq = F.col("tf_title") * TITLE_WEIGHT + F.col("tf_abstract") * ABSTRACT_WEIGHT
     norm = K1 * (1 - B + B * F.col("length") / corpus.select("avg_length").scalar())
     part = F.col("idf") * freq * (K1 + 1) / (freq + norm)
+    if terms.limit(FEW_TERMS + 1).count() <= FEW_TERMS:
+        # All terms of a paper stand in one task, where its scores are summed: no exchange of (query, paper) rows.
+        asked, weighted = asked.repartition("paper_id"), F.broadcast(weighted)
     return (
         asked.join(weighted, "term")
         .groupBy("query_id", "paper_id", "n_terms")
