@@ -24,8 +24,8 @@ from sparkfolio.llm.wordstore import WordStore
 CAPACITY = (2048, 2048, 2048 * 2048)
 #: Pieces that are packed together.
 BLOCK_ROWS = 20_000
-#: Chunks of text whose ids a worker keeps for the texts that follow.
-STORED = 1_000_000
+#: Chunks of text whose ids a worker keeps for the texts that follow; at a million they took several hundred MB of each worker.
+STORED = 150_000
 #: Runs of these after a word are a token of their own.
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _END_CHUNK, _END = "\n<end of document>\n", bytes(4)
