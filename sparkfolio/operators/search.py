@@ -1,22 +1,25 @@
 """Ranked full-text search for a table of queries over a table of papers.
 
 The index is a postings table: one row per (paper, term) with the term counts of
-both fields and the paper's token count.  Counting runs before the shuffle, and
-when only some terms are asked for a semi-join on the term is pushed below the
-count, so an ad-hoc search shuffles only the rows of its own terms.
+both fields and the paper's token count.  A paper's terms are counted (and stemmed)
+where its row lies, without an exchange of tokens; only papers that share an id are
+grouped.  An ad-hoc search shuffles only the rows of its own terms.
 
 A frequent term is no single group anywhere: postings join the query-term side, which
 Spark broadcasts when it is small and else splits at the skewed term, and scores are
-summed per (query, paper).
+summed per (query, paper), in tasks of a bounded number of such rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from sparkfolio.functions.stem import with_stem
+from sparkfolio.functions.stem import kept_stem, with_stem
 from sparkfolio.functions.text import fold_accents, index_tokens, normalize_title
 from sparkfolio.operators.filters import modern_ids
 
@@ -35,6 +38,10 @@ INDEX_BUCKETS = 256
 
 # Query terms up to this number are sent to every task.
 FEW_TERMS = 200_000
+# (query, paper) rows that one task should sum.
+TASK_HITS = 250_000
+# Papers that one numpy step counts.
+STEP_PAPERS = 500
 
 
 def query_terms(queries: DataFrame, max_terms: int | None = MAX_QUERY_TERMS) -> DataFrame:
@@ -59,16 +66,44 @@ def index_query_terms(queries: DataFrame, stem: bool = False, max_terms: int | N
 def postings(papers: DataFrame, key: str = "paper_id", stem: bool = False) -> DataFrame:
     """(paper_id, term, tf_title, tf_abstract, length) of every paper."""
     title, abstract = index_tokens(F.col("title")), index_tokens(F.col("abstract"))
-    rows = papers.select(F.col(key).alias("paper_id"), title.alias("t"), abstract.alias("a")).withColumn(
-        "length", (F.size("t") + F.size("a")).cast("long"))
-    in_title = lambda flag: (lambda x: F.struct(x.alias("term"), F.lit(flag).alias("title")))
-    tokens = rows.select("paper_id", "length", F.explode(
-        F.concat(F.transform("t", in_title(1)), F.transform("a", in_title(0)))).alias("x")
-    ).select("paper_id", "length", F.col("x.term").alias("term"), F.col("x.title").alias("title"))
-    if stem:
-        tokens = with_stem(tokens).drop("term").withColumnRenamed("stem", "term")
-    return tokens.groupBy("paper_id", "length", "term").agg(
-        F.sum("title").alias("tf_title"), F.sum(1 - F.col("title")).alias("tf_abstract"))
+    rows = papers.select(F.col(key).alias("paper_id"), title.alias("t"), abstract.alias("a")).filter(
+        "t IS NOT NULL AND a IS NOT NULL")
+    number = lambda name: T.StructField(name, T.LongType())
+    schema = T.StructType([rows.schema["paper_id"], number("length"), T.StructField("term", T.StringType()),
+                           number("tf_title"), number("tf_abstract")])
+    index = rows.mapInArrow(_counted(stem), schema)
+    if papers.groupBy(key).count().filter("count > 1").limit(1).count():
+        # Rows of one id and length are one paper.
+        index = index.groupBy("paper_id", "length", "term").agg(
+            F.sum("tf_title").alias("tf_title"), F.sum("tf_abstract").alias("tf_abstract"))
+    return index
+
+
+def _counted(stem: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Term counts of rows (paper_id, t, a), each row for itself."""
+    def lists(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        return pc.list_value_length(column).to_numpy().astype(np.int64), column.flatten()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, STEP_PAPERS):
+                batch = whole.slice(k, STEP_PAPERS)
+                (n_t, title), (n_a, abstract) = lists(batch.column("t")), lists(batch.column("a"))
+                tokens = pa.concat_arrays([title, abstract]).dictionary_encode()
+                words = tokens.dictionary
+                code = tokens.indices.to_numpy().astype(np.int64)
+                if stem:
+                    stems = pa.array([kept_stem(w) for w in words.to_pylist()], pa.string()).dictionary_encode()
+                    words, code = stems.dictionary, stems.indices.to_numpy().astype(np.int64)[code]
+                paper = np.concatenate([np.repeat(np.arange(len(n)), n) for n in (n_t, n_a)])
+                found, at, count = np.unique(paper * max(1, len(words)) + code, return_inverse=True, return_counts=True)
+                in_title = np.bincount(at[: len(title)], minlength=len(found))
+                row, term = found // max(1, len(words)), found % max(1, len(words))
+                yield pa.RecordBatch.from_arrays([
+                    batch.column("paper_id").take(pa.array(row)), pa.array((n_t + n_a)[row]), words.take(pa.array(term)),
+                    pa.array(in_title), pa.array(count - in_title)], ["paper_id", "length", "term", "tf_title", "tf_abstract"])
+
+    return run
 
 
 def doc_stats(papers: DataFrame, key: str = "paper_id") -> DataFrame:
@@ -104,7 +139,9 @@ def bm25_hits(terms: DataFrame, index: DataFrame, corpus: DataFrame) -> DataFram
     part = F.col("idf") * freq * (K1 + 1) / (freq + norm)
     if terms.limit(FEW_TERMS + 1).count() <= FEW_TERMS:
         # All terms of a paper stand in one task, where its scores are summed: no exchange of (query, paper) rows.
-        asked, weighted = asked.repartition("paper_id"), F.broadcast(weighted)
+        # There are as many tasks as these rows need, so that what a task holds does not grow with the papers.
+        n_hits = terms.select("query_id").distinct().count() * (corpus.select("n_docs").first() or [0])[0]
+        asked, weighted = asked.repartition(max(1, -(-n_hits // TASK_HITS)), "paper_id"), F.broadcast(weighted)
     return (
         asked.join(weighted, "term")
         .groupBy("query_id", "paper_id", "n_terms")
