@@ -9,32 +9,35 @@ with the piece.  A block leaves at most a few part-filled bins among thousands.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkfolio.llm.common import raw, text_slices, written
-from sparkfolio.llm.wordstore import WordStore
+from sparkfolio.llm.common import per_row, raw, text_slices, written
+from sparkfolio.llm.wordstore import gather
 
 #: Tokens, documents and attention cost that a sequence can hold.
 CAPACITY = (2048, 2048, 2048 * 2048)
 #: Pieces that are packed together.
 BLOCK_ROWS = 20_000
-#: Chunks of text whose ids a worker keeps for the texts that follow; at a million they took several hundred MB of each worker.
+#: Words whose ids a worker keeps for the texts that follow: those of the last texts, half of them at least.
 STORED = 150_000
 #: Runs of these after a word are a token of their own.
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-_END_CHUNK, _END = "\n<end of document>\n", bytes(4)
 
 
 class _Words:
     """Ids of space-free chunks.  A chunk that is one Latin-1 word with ASCII punctuation after it,
     or without, is looked up as lower-case word and punctuation: the tokenizer lower-cases, and
-    cuts between letters and punctuation.  All others go to the tokenizer as they are."""
+    cuts between letters and punctuation.  All others go to the tokenizer as they are.
+
+    Ids are kept in two generations: a word that is not asked for while one fills is forgotten
+    with the next.  The result does not depend on what is kept."""
 
     def __init__(self, path: str):
         import os
@@ -47,17 +50,20 @@ class _Words:
         vocabulary = self.tool.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[k for w, k in vocabulary.items() if w.endswith("</w>")]] = True
-        self.marks: dict[str, bytes] = {"": b""}  # ids as bytes: small, and quick to put together
-        self.words: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}  # ids as bytes: small, and quick to put together
+        self.old: dict[str, bytes] = {}
+
+    def __len__(self) -> int:
+        return len(self.young) + len(self.old)
 
     def _plain(self, chunks: list[str]) -> list[bytes]:
-        return [np.array(x.ids, np.int32).tobytes() for x in self.tool.encode_batch(chunks, add_special_tokens=False)]
+        return [np.array(x.ids, np.int32).tobytes() for x in self.tool.encode_batch_fast(chunks, add_special_tokens=False)]
 
     def _single(self, words: list[str]) -> list[bytes]:
         """Ids of words of letters: each ends with its one word-end token."""
         out = []
-        for k in range(0, len(words), 4096):
-            ids = np.array(self.tool.encode(" ".join(words[k : k + 4096]), add_special_tokens=False).ids, np.int32)
+        for k in range(0, len(words), 512):
+            ids = np.array(self.tool.encode_batch_fast([" ".join(words[k : k + 512])], add_special_tokens=False)[0].ids, np.int32)
             cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             whole = ids.tobytes()
             out += [whole[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
@@ -65,34 +71,69 @@ class _Words:
             raise AssertionError("a word of letters must end with one word-end token")
         return out
 
-    def __call__(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.words) + len(self.marks) > STORED:
-            self.words, self.marks = {}, {"": b""}
-        split = []
-        for x in chunks:
-            word = x.rstrip(PUNCTUATION)
-            split.append((word.lower(), x[len(word) :]) if word.isalpha() and max(word) < "Ā" else (None, x))
-        for known, wanted, tool in ((self.words, {w for w, _ in split if w is not None}, self._single), (self.marks, {x for w, x in split if w is not None}, self._plain)):
-            new = [w for w in wanted if w not in known]
-            known.update(zip(new, tool(new), strict=True))
-        rest = iter(self._plain([x for w, x in split if w is None and x != _END_CHUNK]))
-        rows = [self.words[w] + self.marks[x] if w is not None else _END if x == _END_CHUNK else next(rest) for w, x in split]
+    def _ids(self, words: list[str], tool: Callable[[list[str]], list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different words, end to end, and how many each has."""
+        rows = [self.young.get(w) for w in words]
+        for i in [i for i, x in enumerate(rows) if x is None]:
+            rows[i] = self.old.get(words[i])
+        missing = [i for i, x in enumerate(rows) if x is None]
+        for i, x in zip(missing, tool([words[i] for i in missing]), strict=True):
+            rows[i] = x
+        for k in range(0, len(words), STORED // 2):  # a step fills one generation at most
+            if len(self.young) + STORED // 2 > STORED:
+                self.young, self.old = {}, self.young
+            self.young.update(zip(words[k : k + STORED // 2], rows[k : k + STORED // 2], strict=True))
         return np.frombuffer(b"".join(rows), np.int32), np.fromiter(map(len, rows), np.int64, len(rows)) // 4
 
+    def __call__(self, chunks: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different chunks, end to end, and how many each has."""
+        word = pc.utf8_rtrim(chunks, characters=PUNCTUATION)
+        (data, offsets), (head, ends) = raw(chunks), raw(word)
+        latin = per_row(head >= 0xC4, ends) == 0  # lead bytes of letters beyond Latin-1
+        plain = pc.utf8_is_alpha(word).to_numpy(zero_copy_only=False) & latin
+        size = np.diff(ends)[plain]
+        marks, count = gather(data, offsets[:-1][plain] + size, np.diff(offsets)[plain] - size)
+        cuts = np.concatenate(([0], np.cumsum(count))).astype(np.int32)
+        marks = pa.StringArray.from_buffers(len(count), pa.py_buffer(cuts), pa.py_buffer(marks)).dictionary_encode()
+        words = pc.utf8_lower(word.filter(pa.array(plain))).dictionary_encode()
+        tables = [self._ids(words.dictionary.to_pylist(), self._single), self._ids(marks.dictionary.to_pylist(), self._plain),
+                  self._ids(chunks.filter(pa.array(~plain)).to_pylist(), self._plain)]
+        flat = np.concatenate([x for x, _ in tables])
+        count = np.concatenate([n for _, n in tables])
+        n_words, n_marks = len(words.dictionary), len(marks.dictionary)
+        # A chunk is one entry of the tables or two: a word and what follows it.
+        first = np.empty(len(chunks), np.int64)
+        first[plain] = words.indices.to_numpy(zero_copy_only=False)
+        first[~plain] = n_words + n_marks + np.arange(len(chunks) - len(size))
+        entry = np.insert(first, np.flatnonzero(plain) + 1, n_words + marks.indices.to_numpy(zero_copy_only=False))
+        ids, count = gather(flat, (np.cumsum(count) - count)[entry], count[entry])
+        starts = np.cumsum(1 + plain) - (1 + plain)
+        return ids, np.add.reduceat(count, starts) if len(starts) else count
+
+    def texts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts, each with id 0 at its end, end to end, and how many each text has."""
+        lines = pc.replace_substring(pc.fill_null(column.cast(pa.string()), ""), "\n", " ")
+        chunks = pc.split_pattern(lines, " ")
+        seen = chunks.flatten().dictionary_encode()
+        ids, count = self(seen.dictionary)
+        ids, count = np.append(ids, np.int32(0)), np.append(count, 1)
+        ends = np.cumsum(pc.list_value_length(chunks).to_numpy(zero_copy_only=False))
+        entry = np.insert(seen.indices.to_numpy(zero_copy_only=False), ends, len(seen.dictionary))
+        out, counts = gather(ids, (np.cumsum(count) - count)[entry], count[entry])
+        total = np.concatenate(([0], np.cumsum(counts)))[ends + np.arange(1, len(ends) + 1)]
+        return out, np.diff(total, prepend=0)
+
 
 @cache
-def _store(path: str) -> WordStore:
-    return WordStore(_Words(path), STORED)
+def _store(path: str) -> _Words:
+    return _Words(path)
 
 
 def _pieces(path: str, size: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = _store(path)
         for batch in text_slices(batches, most=4 << 20):
-            data, offsets = raw(batch.column("text"))
-            whole = data.tobytes()
-            rows = [store.numbers([*whole[offsets[i] : offsets[i + 1]].decode().replace("\n", " ").split(" "), _END_CHUNK]) for i in range(batch.num_rows)]
-            ids, counts = store.ids(rows)
+            ids, counts = store.texts(batch.column("text"))
             n = -(-counts // size)
             doc = np.repeat(np.arange(len(counts)), n)
             piece = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
