@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from sparkfolio.operators import graph as gr
 
@@ -112,3 +113,38 @@ def test_pairs_and_prior_works_match_brute_force(spark, text):
         ranked = sorted((-v, t) for (r, t), v in left.items() if r == s)[:10]
         want |= {(s, t): (-v, i) for i, (v, t) in enumerate(ranked, 1)}
     assert {(r["set_id"], r["work_id"]): (r["support"], r["rank"]) for r in gr.prior_works(nd, sel, rf, known).collect()} == want
+
+
+def _cited(spark, seed):
+    """Sets, references, citing works with repeated and null keys, and counts; one work is cited by most."""
+    rng = random.Random(seed)
+    sel = [(i // 3, i % 3, f"p{i}") for i in range(30)]
+    refs = [(i // 3, i % 3, f"p{i}", k, rng.choice([f"s{rng.randrange(12)}", f"p{rng.randrange(30)}"])) for i in range(30) for k in range(8)]
+    cites = [(f"c{rng.randrange(90)}", "p4" if rng.random() < 0.4 else f"p{rng.randrange(30)}") for _ in range(600)] + [(None, "p4"), ("c1", None), ("p5", "p4")]
+    works = [(f"{x}{i}", rng.choice([None, 1, 2, 3]), rng.choice([None, 2001, 2002])) for x in "pcs" for i in range(80)]
+    return (spark.createDataFrame(sel, "set_id int, pos int, paper_id string"),
+            spark.createDataFrame(refs + refs[:9], "set_id int, source_pos int, source string, ref_index int, target string"),
+            spark.createDataFrame(cites, "source string, target string"), spark.createDataFrame(works, "work_id string, cited_by_count int, year int"))
+
+
+def test_graphs_in_many_tasks_are_those_of_one(spark, monkeypatch):
+    tables = _cited(spark, 3)
+    rows = lambda: [sorted(map(tuple, df.collect()), key=str) for df in (*gr.citation_graph(*tables), gr.followups(tables[0], *tables[2:]), gr.support(tables[1]))]
+    want = rows()
+    monkeypatch.setattr(gr, "TASK_ROWS", 40)
+    assert rows() == want
+
+
+def test_graph_tasks_grow_with_the_rows(spark, monkeypatch):
+    """Spark alone would merge these few bytes into one task, whatever the number of rows."""
+    monkeypatch.setattr(gr, "TASK_ROWS", 40, raising=False)
+    tables = _cited(spark, 4)
+    for df in (*gr.citation_graph(*tables), gr.followups(tables[0], *tables[2:])):
+        assert df.rdd.getNumPartitions() >= 15
+
+
+def test_a_frequent_group_is_cut_in_many_tasks(spark):
+    rows = spark.range(5000).select(F.lit(1).alias("g"), F.col("id").alias("x"), F.pmod(F.hash("id"), F.lit(50)).alias("v"))
+    order = [F.col("v").desc(), F.col("x")]
+    pairs = lambda df: [tuple(r) for r in df.select("x", "rank").orderBy("rank").collect()]
+    assert pairs(gr.topk_dealt(rows, ["g"], order, 9, 20, "x")) == pairs(gr.topk(rows, ["g"], order, 9))
