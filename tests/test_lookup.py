@@ -40,6 +40,13 @@ def test_repositories_match_brute_force(spark):
         assert {(x["paper_id"], x["rank"]): (x["url"], x["tier"]) for x in jn.tiered_candidates(p, r).collect()} == want
 
 
+def test_a_repeated_paper_finds_what_one_row_finds(spark):
+    _, _, p, r = _tables(spark, random.Random(2))
+    rows = lambda df: sorted(tuple(x) for x in jn.tiered_candidates(df, r).collect())
+    want = rows(p)
+    assert want and rows(p.unionByName(p.filter("paper_id % 2 = 0"))) == want
+
+
 def test_equal_queries_are_looked_up_once(spark):
     _, _, p, r = _tables(spark, random.Random(1))
     assert re.search(r"Aggregate \[ws#\d+\], \[ws#\d+, min_by", _plan(jn.tiered_candidates(p, r)))
