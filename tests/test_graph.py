@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -148,3 +149,53 @@ def test_a_frequent_group_is_cut_in_many_tasks(spark):
     order = [F.col("v").desc(), F.col("x")]
     pairs = lambda df: [tuple(r) for r in df.select("x", "rank").orderBy("rank").collect()]
     assert pairs(gr.topk_dealt(rows, ["g"], order, 9, 20, "x")) == pairs(gr.topk(rows, ["g"], order, 9))
+
+
+def _rows(*frames):
+    return [sorted(map(tuple, df.collect()), key=str) for df in frames]
+
+
+def test_graphs_in_passes_are_those_of_one(spark, monkeypatch):
+    """Large graphs are made some sets after the other; what is left to run does not rank citations again."""
+    tables = _cited(spark, 5)
+    both = lambda: (*gr.citation_graph(*tables), gr.followups(tables[0], *tables[2:]))
+    want = _rows(*both())
+    for name, value in (("TASK_ROWS", 10), ("PASS_TASKS", 1), ("MAX_PASSES", 3)):
+        monkeypatch.setattr(gr, name, value, raising=False)
+    got = both()
+    assert _rows(*got) == want
+    assert "Window" not in _plan(got[1]) and "Aggregate" not in _plan(got[2])
+
+
+def test_pools_in_passes_are_those_of_one(spark, monkeypatch):
+    works, _, _, _, _, (sd, sel, ct, wk), rf = _case(spark, random.Random(11))
+    marked = lambda pool: pool.selectExpr("*", "work_id % 4 = 0 AS in_index")
+    pool = gr.citer_pool(sd, sel, ct, wk, n=15, per_work=6)
+    lists = gr.listed_citers(sd, sel, ct, wk, per_work=6)
+    nodes = pool.select("set_id", "work_id")
+    made = lambda pool, **passes: _rows(
+        pool, gr.coupling(marked(pool), sd, rf, wk, listed=lists, **passes), gr.coupling(marked(pool), sd, rf, wk, **passes),
+        gr.coupling_edges(nodes, rf, **passes), gr.most_cited(nodes, rf, **passes), gr.prior_works(nodes, sel, rf, rf.selectExpr("target AS work_id"), **passes))
+    want = made(pool)
+    monkeypatch.setattr(gr, "PASS_IDS", 20, raising=False)
+    monkeypatch.setattr(gr, "MAX_PASSES", 2, raising=False)
+    pool = gr.citer_pool(sd, sel, ct, wk, n=15, per_work=6)
+    assert "MapInArrow" not in _plan(pool) and "Join" not in _plan(pool)
+    assert want[0] and want[3] and made(pool, passes=2) == want
+
+
+def test_stored_rows_leave_no_exchange_on_disk(spark):
+    from sparkfolio.scale import stored
+
+    files = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(
+        spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle")}
+    before = files()
+    parts = [spark.range(2000).groupBy((F.col("id") % 500).alias("k")).agg(F.count(F.lit(1)).alias("n")).filter(f"k % 2 = {i}") for i in range(2)]
+    df = stored(*parts)
+    for _ in range(50):  # removed by a message to the executors
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before
+    assert df.count() == 500 and df.agg(F.sum("n")).first()[0] == 2000 and df.columns == ["k", "n"]
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
